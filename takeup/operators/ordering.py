@@ -129,7 +129,8 @@ def order_statistics(rows: DataFrame, group: Sequence[str], value: str, steps: i
     def up(a: Column) -> Column:
         return -down(-a)
 
-    low_from, low_to = up(first), up(after) - 1
+    low_from = up(first)
+    low_to = F.when(F.col("all_n") == 1, m).otherwise(up(after) - 1)
     high_from, high_to = down(first - 1) + 1, down(after - 1)
     ends = runs.select(
         *group, F.col(value).alias("_v"), (F.col("all_n") - 1).alias("_span"),
