@@ -10,22 +10,27 @@ NEUTRAL = 0.5
 
 
 def align_scores(spine: DataFrame, scores: DataFrame, models: Sequence[str], targets: Sequence[str],
-                 key: str = "customer_id", default: float = NEUTRAL) -> DataFrame:
-    """``(key, model, target, score)`` for every spine key, model and label; what the
-    score table lacks gets the neutral score, what the spine lacks is dropped.
+                 labels: DataFrame | None = None, key: str = "customer_id", default: float = NEUTRAL) -> DataFrame:
+    """``(key, model, target, score[, y])`` for every spine key, model and label; what
+    the score table lacks gets the neutral score, what the spine lacks is dropped.
+    ``labels``, one row per key, adds the label value ``y``.
 
     Scores are gathered to one row per key (at most models x labels cells), so one
-    exchange on the key serves the gathering and the join; the grid is then unfolded
+    exchange on the key serves the gathering and the joins; the grid is then unfolded
     in place.
     """
     wanted = scores.where(F.col("model").isin(*models) & F.col("target").isin(*targets))
     cell = F.concat_ws("|", "model", "target")
     gathered = wanted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(cell, "score"))).alias("_s"))
-    grid = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("target"), F.lit(f"{m}|{t}").alias("_c"))
-                     for m in models for t in targets])
-    rows = spine.select(key).join(gathered, key, "left").select(key, "_s", F.inline(grid))
-    return rows.select(key, "model", "target",
-                       F.coalesce(F.try_element_at("_s", F.col("_c")), F.lit(default)).alias("score"))
+    rows = spine.select(key).join(gathered, key, "left")
+    if labels is not None:
+        rows = rows.join(labels.select(key, F.array(*[F.col(t).cast("int") for t in targets]).alias("_y")), key, "left")
+    grid = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("target"), F.lit(f"{m}|{t}").alias("_c"),
+                              F.lit(i).alias("_i")) for m in models for i, t in enumerate(targets)])
+    unfolded = rows.select("*", F.inline(grid))
+    score = F.coalesce(F.try_element_at("_s", F.col("_c")), F.lit(default)).alias("score")
+    y = [] if labels is None else [F.get("_y", F.col("_i")).alias("y")]
+    return unfolded.select(key, "model", "target", score, *y)
 
 
 def fold_average(scores: DataFrame, key: str = "customer_id") -> DataFrame:

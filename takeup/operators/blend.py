@@ -63,28 +63,28 @@ def equal_weights(k: int) -> Weights:
 
 # -- rank table --------------------------------------------------------------
 
-def rank_table(scores: DataFrame, models: Sequence[str], labels: DataFrame | None = None, key: str = "customer_id",
-               salts: int | None = None, **lookup) -> DataFrame:
-    """``(target, key, [y,] n, r)``: one row per key and label with the doubled
-    average ranks of all models, staged and stored by label.
-
-    ``scores`` must be aligned (every key has every model). Rows are exchanged by
-    label and a bucket of the key, so that later tasks each see one label: the
-    state of a weight search on the map side is then one label's.
+def rank_table(scores: DataFrame, models: Sequence[str], key: str = "customer_id", salts: int | None = None,
+               **lookup) -> DataFrame:
+    """``(target, key, n, r[, y])``: one row per key and label with the doubled average
+    ranks of all models, staged and stored by label.
+
+    ``scores`` must be aligned (every key has every model); its label value ``y`` is
+    kept. Rows are exchanged by label and a bucket of the key, so that later tasks
+    each see one label: the state of a weight search on the map side is then one
+    label's.
     """
     spark = scores.sparkSession
-    ranked = average_ranks(scores.select(key, "model", "target", "score"), ["model", "target"], "score", key, **lookup)
+    extra = [c for c in ("y",) if c in scores.columns]
+    ranked = average_ranks(scores, ["model", "target"], "score", key, **lookup)
     if salts is None:
         salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
     ranked = ranked.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(salts)))
     ranked = ranked.repartition("target", "_bucket")
     rows = ranked.groupBy("target", "_bucket", key).agg(
         F.max("n").alias("n"),
-        F.array(*[F.max(F.when(F.col("model") == m, F.col("rank2"))) for m in models]).alias("r"))
-    rows = rows.drop("_bucket")
-    if labels is not None:
-        rows = rows.join(labels.select(key, "target", "y"), [key, "target"])
-    return stage(rows, "ranks", ["target"])
+        F.array(*[F.max(F.when(F.col("model") == m, F.col("rank2"))) for m in models]).alias("r"),
+        *[F.max(c).alias(c) for c in extra])
+    return stage(rows.drop("_bucket"), "ranks", ["target"])
 
 
 def blended(weights: Column, ranks: Column) -> Column:
