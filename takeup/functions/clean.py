@@ -1,94 +1,90 @@
-"""Filling, clipping and guarding of single columns."""
+"""Filling, clipping and guarding of single columns (SQL text in, SQL text out)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 NULL_LEVEL = "__NA__"
 
 
-def as_col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def number(v: float) -> str:
+    """Double literal."""
+    return f"{float(v)!r}D" if abs(v) != float("inf") else f"double('{'-' if v < 0 else ''}Infinity')"
 
 
-def finite(c: Column | str) -> Column:
+def finite(c: str) -> str:
     """Value as double with NaN and infinities turned into null."""
-    x = as_col(c).cast("double")
-    return F.when(F.abs(x) < F.lit(float("inf")), x)
+    return f"(CASE WHEN abs(cast({c} as double)) < double('Infinity') THEN cast({c} as double) END)"
 
 
-def fill_category(c: Column | str, default: int = -1) -> Column:
+def fill_category(c: str, default: int = -1) -> str:
     """Integer-coded category, null as its own code."""
-    return F.coalesce(as_col(c).cast("int"), F.lit(default))
+    return f"coalesce(cast({c} as int), {default})"
 
 
-def fill_number(c: Column | str, default: float = 0.0) -> Column:
+def fill_number(c: str, default: float = 0.0) -> str:
     """Number with null, NaN and infinities replaced."""
-    return F.coalesce(finite(c), F.lit(default))
+    return f"coalesce({finite(c)}, {number(default)})"
 
 
-def fill_float(c: Column | str, default: float = 0.0) -> Column:
+def fill_float(c: str, default: float = 0.0) -> str:
     """Single-precision storage form of :func:`fill_number`."""
-    return fill_number(c, default).cast("float")
+    return f"cast({fill_number(c, default)} as float)"
 
 
-def category_level(c: Column | str) -> Column:
+def category_level(c: str) -> str:
     """Category as text, null as its own level."""
-    return F.coalesce(as_col(c).cast("string"), F.lit(NULL_LEVEL))
+    return f"coalesce(cast({c} as string), '{NULL_LEVEL}')"
 
 
-def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+def clip(x: str, low: float, high: float) -> str:
+    return f"least(greatest({x}, {number(low)}), {number(high)})"
 
 
-def fill_clip(c: Column | str, default: float, low: float | None = None, high: float | None = None) -> Column:
+def fill_clip(x: str, default: float, low: float | None = None, high: float | None = None) -> str:
     """Null and NaN become ``default``, then the value is clipped. Infinities are
     kept for the clip, as they are legitimate results of an overflow."""
-    x = as_col(c).cast("double")
-    x = F.coalesce(F.nanvl(x, F.lit(default)), F.lit(default))
-    return x if low is None else clip(x, low, high)
+    filled = f"coalesce(nanvl(cast({x} as double), {number(default)}), {number(default)})"
+    return filled if low is None else clip(filled, low, high)
 
 
-def guard(x: Column, when_small: Column | float, eps: float = 0.001) -> Column:
+def guard(x: str, when_small: str = "1.0D", eps: float = 0.001) -> str:
     """Denominator that is never closer to zero than ``eps``."""
-    small = when_small if isinstance(when_small, Column) else F.lit(float(when_small))
-    return F.when(F.abs(x) < eps, small).otherwise(x)
+    return f"(CASE WHEN abs({x}) < {number(eps)} THEN {when_small} ELSE {x} END)"
 
 
-def signed_guard(x: Column, eps: float = 0.001) -> Column:
+def signed_guard(x: str, eps: float = 0.001) -> str:
     """Denominator pushed away from zero to ``eps``, keeping its sign."""
-    return guard(x, F.when(x >= 0, F.lit(eps)).otherwise(F.lit(-eps)), eps)
+    return guard(x, f"CASE WHEN {x} >= 0 THEN {number(eps)} ELSE {number(-eps)} END", eps)
 
 
-def standardised(c: Column | str, mean: float, std: float) -> Column:
+def standardised(c: str, mean: float, std: float) -> str:
     """``(x - mean) / std`` with null read as zero; a std below 1e-8 counts as 1."""
-    return (fill_number(c) - F.lit(float(mean))) / F.lit(float(std) if std >= 1e-8 else 1.0)
+    return f"(({fill_number(c)} - {number(mean)}) / {number(std if std >= 1e-8 else 1.0)})"
 
 
-def null_flag(c: Column | str) -> Column:
-    return finite(c).isNull().cast("int")
+def null_flag(c: str) -> str:
+    return f"cast({finite(c)} IS NULL as int)"
 
 
-def corrupted(clean: Column, was_null: Column, draw: Column, rate: float) -> Column:
+def corrupted(clean: str, was_null: str, draw: str, rate: float) -> str:
     """Zero the cell when it held a value and its draw falls below ``rate``."""
-    return F.when(~was_null & (draw < F.lit(rate)), F.lit(0.0)).otherwise(clean)
+    return f"(CASE WHEN NOT ({was_null}) AND {draw} < {number(rate)} THEN 0.0D ELSE {clean} END)"
 
 
-def logit(p: Column, eps: float = 1e-7) -> Column:
+def logit(p: str, eps: float = 1e-7) -> str:
     q = clip(p, eps, 1.0 - eps)
-    return F.ln(q / (F.lit(1.0) - q))
+    return f"ln({q} / (1.0D - {q}))"
 
 
-def sigmoid(x: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+def sigmoid(x: str) -> str:
+    return f"(1.0D / (1.0D + exp(-({x}))))"
 
 
-def asymmetric_log_loss(z: Column, y: Column, gamma_neg: float = 4.0, gamma_pos: float = 1.0,
-                        margin: float = 0.05, eps: float = 1e-8) -> Column:
+def asymmetric_log_loss(z: str, y: str, gamma_neg: float = 4.0, gamma_pos: float = 1.0,
+                        margin: float = 0.05, eps: float = 1e-8) -> str:
     """Focused log-loss of one logit: easy negatives are shifted by ``margin``
     and damped by the power ``gamma_neg``, easy positives by ``gamma_pos``."""
-    p = sigmoid(z)
-    shifted = F.greatest(p - F.lit(margin), F.lit(eps)) if margin > 0 else p
-    miss_pos = F.pow(1.0 - p, F.lit(gamma_pos)) * F.ln(F.greatest(p, F.lit(eps)))
-    miss_neg = F.pow(shifted, F.lit(gamma_neg)) * F.ln(F.greatest(1.0 - shifted, F.lit(eps)))
-    return -(y * miss_pos) - (1.0 - y) * miss_neg
+    p, tiny = sigmoid(z), number(eps)
+    shifted = f"greatest({p} - {number(margin)}, {tiny})" if margin > 0 else p
+    miss_pos = f"pow(1.0D - {p}, {number(gamma_pos)}) * ln(greatest({p}, {tiny}))"
+    miss_neg = f"pow({shifted}, {number(gamma_neg)}) * ln(greatest(1.0D - {shifted}, {tiny}))"
+    return f"(-({y} * {miss_pos}) - (1.0D - {y}) * {miss_neg})"

@@ -6,17 +6,12 @@ which ``rand()`` does not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
+def hash_text(*parts: str | int) -> str:
+    """md5 of the parts joined by ``-``; literal text is passed quoted."""
+    return f"md5(concat_ws('-', {', '.join(f'cast({p} as string)' for p in parts)}))"
 
-def hash_text(*parts: Column | str | int) -> Column:
-    """md5 of the parts joined by ``-``. Strings name columns; wrap literal text
-    in ``F.lit``."""
-    cols = [F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.md5(F.concat_ws("-", *[c.cast("string") for c in cols]))
 
-
-def hash_uniform(*parts: Column | str | int) -> Column:
+def hash_uniform(*parts: str | int) -> str:
     """Uniform draw in [0, 1) from the first 32 bits of the hash."""
-    head = F.substring(hash_text(*parts), 1, 8)
-    return F.conv(head, 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return f"(cast(conv(substring({hash_text(*parts)}, 1, 8), 16, 10) as bigint) / 4294967296.0D)"

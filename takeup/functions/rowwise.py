@@ -9,56 +9,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+FINITE = "abs(v) < double('Infinity')"
 
 
-def values_of(cols: Sequence[str]) -> Column:
-    return F.array(*[F.col(c) for c in cols]).cast("array<double>")
+def values_of(cols: Sequence[str]) -> str:
+    return f"cast(array({', '.join(f'`{c}`' for c in cols)}) as array<double>)"
 
 
-def valid(values: Column) -> Column:
+def valid(values: str) -> str:
     """Drop null, NaN and infinite entries."""
-    return F.filter(values, lambda v: F.abs(v) < F.lit(float("inf")))
+    return f"filter({values}, v -> {FINITE})"
 
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+def zero_filled(values: str) -> str:
+    return f"transform({values}, v -> CASE WHEN {FINITE} THEN v ELSE 0.0D END)"
 
 
-def nonzero(values: Column) -> Column:
-    return F.size(F.filter(values, lambda v: v != 0))
+def total(values: str) -> str:
+    return f"aggregate({values}, 0.0D, (acc, v) -> acc + v)"
 
 
-def mean_present(values: Column) -> Column:
+def nonzero(values: str) -> str:
+    return f"size(filter({values}, v -> v != 0))"
+
+
+def mean_present(values: str) -> str:
     """Mean of the entries of an array without nulls; null when it is empty."""
-    return F.try_divide(total(values), F.size(values))
+    return f"try_divide({total(values)}, size({values}))"
 
 
-def spread(values: Column, mean: Column, width: Column | int | None = None) -> Column:
+def spread(values: str, mean: str, width: int | None = None) -> str:
     """Population standard deviation in two passes. With ``width``, entries
     missing from ``values`` up to that many count as zero."""
-    squares = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
+    squares = f"aggregate({values}, 0.0D, (acc, v) -> acc + (v - {mean}) * (v - {mean}))"
     if width is None:
-        return F.sqrt(F.try_divide(squares, F.size(values)))
-    n = F.lit(width) if isinstance(width, int) else width
-    return F.sqrt((squares + (n - F.size(values)) * mean * mean) / n)
+        return f"sqrt(try_divide({squares}, size({values})))"
+    return f"sqrt(({squares} + ({width} - size({values})) * {mean} * {mean}) / {width})"
 
 
-def quantile(sorted_values: Column, size: int, q: float) -> Column:
+def quantile(sorted_values: str, size: int, q: float) -> str:
     """Linear interpolation at ``q * (size - 1)`` of a sorted array."""
     position = q * (size - 1)
     low = int(position)
     share = position - low
-    a = F.element_at(sorted_values, low + 1)
-    if share == 0.0:
-        return a
-    b = F.element_at(sorted_values, low + 2)
-    return a + (b - a) * F.lit(share)
+    a = f"{sorted_values}[{low}]"
+    return a if share == 0.0 else f"({a} + ({sorted_values}[{low + 1}] - {a}) * {share!r}D)"
 
 
-def descending_ranks(values: Column) -> Column:
+def descending_ranks(values: str) -> str:
     """0-based rank of every entry, largest first, ties by position: sort the
     positions by value, then sort the ranks by position."""
-    keyed = F.transform(values, lambda v, i: F.struct((-v).alias("k"), i.alias("i")))
-    placed = F.transform(F.sort_array(keyed), lambda s, r: F.struct(s["i"].alias("i"), r.alias("r")))
-    return F.transform(F.sort_array(placed), lambda s: s["r"])
+    keyed = f"transform({values}, (v, i) -> struct(-v as k, i as i))"
+    placed = f"transform(sort_array({keyed}), (s, r) -> struct(s.i as i, r as r))"
+    return f"transform(sort_array({placed}), s -> s.r)"

@@ -24,10 +24,10 @@ def align_scores(spine: DataFrame, scores: DataFrame, models: Sequence[str], tar
     gathered = wanted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(cell, "score"))).alias("_s"))
     rows = spine.select(key).join(gathered, key, "left")
     if labels is not None:
-        rows = rows.join(labels.select(key, F.array(*[F.col(t).cast("int") for t in targets]).alias("_y")), key, "left")
-    grid = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("target"), F.lit(f"{m}|{t}").alias("_c"),
-                              F.lit(i).alias("_i")) for m in models for i, t in enumerate(targets)])
-    unfolded = rows.select("*", F.inline(grid))
+        rows = rows.join(labels.selectExpr(key, f"cast(array({', '.join(targets)}) as array<int>) as _y"), key, "left")
+    grid = ", ".join(f"struct('{m}' as model, '{t}' as target, '{m}|{t}' as _c, {i} as _i)"
+                     for m in models for i, t in enumerate(targets))
+    unfolded = rows.selectExpr("*", f"inline(array({grid}))")
     score = F.coalesce(F.try_element_at("_s", F.col("_c")), F.lit(default)).alias("score")
     y = [] if labels is None else [F.get("_y", F.col("_i")).alias("y")]
     return unfolded.select(key, "model", "target", score, *y)
@@ -42,4 +42,4 @@ def to_wide(scores: DataFrame, targets: Sequence[str], prefix: str, key: str = "
             value: str = "score") -> DataFrame:
     """One row per key, one column ``<prefix><target>`` per label."""
     wide = scores.groupBy(key).pivot("target", list(targets)).agg(F.first(value))
-    return wide.select(key, *[F.col(t).alias(f"{prefix}{t}") for t in targets])
+    return wide.selectExpr(key, *[f"{t} as {prefix}{t}" for t in targets])

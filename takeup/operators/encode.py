@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from takeup.functions.clean import as_col, category_level
+from takeup.functions.clean import category_level, number
 from takeup.operators.lookup import keyed_lookup
 from takeup.session import stage
 
 ALL_FOLDS = -1
 
 
-def explode_levels(df: DataFrame, cats: Sequence[str], keep: Sequence[str | Column], own_null_level: bool) -> DataFrame:
+def level_of(c: str, own_null_level: bool) -> str:
+    return category_level(c) if own_null_level else f"cast({c} as string)"
+
+
+def explode_levels(df: DataFrame, cats: Sequence[str], keep: Sequence[str], own_null_level: bool) -> DataFrame:
     """One row per (row, category column): ``cat`` and its text ``level``. Null is
     its own level or null."""
-    level = category_level if own_null_level else (lambda c: as_col(c).cast("string"))
-    items = F.array(*[F.struct(F.lit(c).alias("cat"), level(c).alias("level")) for c in cats])
-    return df.select(*keep, F.inline(items))
+    items = ", ".join(f"struct('{c}' as cat, {level_of(c, own_null_level)} as level)" for c in cats)
+    return df.selectExpr(*keep, f"inline(array({items}))")
 
 
 # -- which categories qualify ------------------------------------------------
@@ -87,8 +90,8 @@ def frequency_encode(rows: DataFrame, cats: Sequence[str], population: DataFrame
 
 # -- target means ------------------------------------------------------------
 
-def smoothed(total: Column, n: Column, prior: Column, smoothing: float) -> Column:
-    return (total + F.lit(smoothing) * prior) / (n + F.lit(smoothing))
+def smoothed(total: str, n: str, prior: str, smoothing: float) -> str:
+    return f"({total} + {number(smoothing)} * ({prior})) / ({n} + {number(smoothing)})"
 
 
 def fit_target_means(train: DataFrame, cats: Sequence[str], labels: Sequence[str], fold: str | None = None,
@@ -101,38 +104,30 @@ def fit_target_means(train: DataFrame, cats: Sequence[str], labels: Sequence[str
     left with no rows and so gets the prior. Labels stay side by side as aggregate
     columns, so a row is multiplied by the number of categories only.
     """
-    fold_col = F.col(fold) if fold else F.lit(ALL_FOLDS)
-    cells = explode_levels(train, cats, [fold_col.alias("fold"), *labels], own_null_level)
+    cells = explode_levels(train, cats, [f"{fold or ALL_FOLDS} as fold", *labels], own_null_level)
     stats = cells.groupBy("cat", "level", "fold").agg(
-        F.count("*").alias("n"), *[F.sum(F.col(t).cast("double")).alias(f"s_{t}") for t in labels])
+        F.count("*").alias("n"), *[F.expr(f"sum(cast({t} as double)) as s_{t}") for t in labels])
     # the table below has at most categories x levels x folds rows; staged because
     # several windows and the full-fit branch read it
     stats = stage(stats, "target_sums")
-    by_cat, by_level, by_fold = (Window.partitionBy("cat"), Window.partitionBy("cat", "level"),
-                                 Window.partitionBy("cat", "fold"))
-
-    def over(w) -> dict[str, Column]:
-        return {m: F.sum(m).over(w) for m in ["n", *[f"s_{t}" for t in labels]]}
-
-    cat_all, level_all, fold_all = over(by_cat), over(by_level), over(by_fold)
-    priors = {t: cat_all[f"s_{t}"] / cat_all["n"] for t in labels}
-    fold_priors = {t: F.try_divide(cat_all[f"s_{t}"] - fold_all[f"s_{t}"], cat_all["n"] - fold_all["n"])
-                   for t in labels} if prior == "fold" else priors
-    full = stats.select(
-        "cat", "level", F.lit(ALL_FOLDS).alias("fold"), level_all["n"].alias("n"),
-        *[smoothed(level_all[f"s_{t}"], level_all["n"], priors[t], smoothing).alias(f"e_{t}") for t in labels],
-        F.row_number().over(by_level.orderBy("fold")).alias("_first")).where("_first = 1").drop("_first")
+    sums = ["n", *[f"s_{t}" for t in labels]]
+    within = {"c": "cat", "l": "cat, level", "f": "cat, fold"}
+    stats = stats.selectExpr("*", *[f"sum({m}) OVER (PARTITION BY {by}) as {w}_{m}" for w, by in within.items() for m in sums],
+                             "row_number() OVER (PARTITION BY cat, level ORDER BY fold) as first")
+    overall = {t: f"c_s_{t} / c_n" for t in labels}
+    outside = {t: f"try_divide(c_s_{t} - f_s_{t}, c_n - f_n)" for t in labels} if prior == "fold" else overall
+    full = stats.where("first = 1").selectExpr(
+        "cat", "level", f"{ALL_FOLDS} as fold", "l_n as n",
+        *[f"{smoothed(f'l_s_{t}', 'l_n', overall[t], smoothing)} as e_{t}" for t in labels])
     if fold is None:
         return full
-    held_out = stats.select(
-        "cat", "level", "fold", "n",
-        *[smoothed(level_all[f"s_{t}"] - F.col(f"s_{t}"), level_all["n"] - F.col("n"), fold_priors[t], smoothing)
-          .alias(f"e_{t}") for t in labels])
+    held_out = stats.selectExpr("cat", "level", "fold", "n", *[
+        f"{smoothed(f'(l_s_{t} - s_{t})', '(l_n - n)', outside[t], smoothing)} as e_{t}" for t in labels])
     return held_out.unionByName(full)
 
 
 def label_priors(train: DataFrame, labels: Sequence[str]) -> dict[str, float]:
-    row = train.agg(*[F.avg(F.col(t).cast("double")).alias(t) for t in labels]).first()
+    row = train.selectExpr(*[f"avg(cast({t} as double)) as {t}" for t in labels]).first()
     return {t: row[t] for t in labels}
 
 
@@ -141,29 +136,25 @@ def apply_target_means(rows: DataFrame, encodings: DataFrame, names: dict[str, t
                        key: str = "customer_id", **lookup) -> DataFrame:
     """Add the columns ``{name: (cat, label)}``. Rows whose ``fold`` is null (test)
     use the full fit; a level without an encoding gets the label's prior."""
-    level = category_level if own_null_level else (lambda c: as_col(c).cast("string"))
-    fold_col = F.coalesce(F.col(fold), F.lit(ALL_FOLDS)) if fold else F.lit(ALL_FOLDS)
     by_cat: dict[str, dict[str, str]] = {}
     for name, (cat, label) in names.items():
         by_cat.setdefault(cat, {})[name] = label
-    out = rows.withColumn("_fold", fold_col)
+    out = rows.withColumn("_fold", F.expr(f"coalesce({fold}, {ALL_FOLDS})" if fold else f"{ALL_FOLDS}"))
     for cat, wanted in by_cat.items():
-        one = encodings.where(F.col("cat") == cat).select(
-            F.col("level").alias("_level"), F.col("fold").alias("_fold"), F.col("n").alias("_n"),
-            *[F.col(f"e_{t}").alias(f"_e_{name}") for name, t in wanted.items()])
-        out = keyed_lookup(out.withColumn("_level", level(cat)), one, ["_level", "_fold"], weight="_n",
-                           spread_by=[key], staged=True, **lookup)
-        out = out.withColumns({name: F.coalesce(f"_e_{name}", F.lit(priors[t])) for name, t in wanted.items()})
-        out = out.drop("_level", "_n", *[f"_e_{name}" for name in wanted])
+        one = encodings.where(f"cat = '{cat}'").selectExpr(
+            "level as _level", "fold as _fold", "n as _n", *[f"e_{t} as _e_{name}" for name, t in wanted.items()])
+        kept = out.columns
+        out = keyed_lookup(out.withColumn("_level", F.expr(level_of(cat, own_null_level))), one, ["_level", "_fold"],
+                           weight="_n", spread_by=[key], staged=True, **lookup)
+        out = out.selectExpr(*kept, *[f"coalesce(_e_{name}, {number(priors[t])}) as {name}" for name, t in wanted.items()])
     return out.select(*rows.columns, *names)
 
 
 def encoding_dispersion(encodings: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Population std over all train rows of every held-out encoding, from the
     encoding table alone: each of its rows stands for ``n`` equal train values."""
-    items = F.array(*[F.struct(F.lit(i).alias("label_ordinal"), F.lit(t).alias("target"),
-                               F.col(f"e_{t}").alias("e")) for i, t in enumerate(labels)])
-    cells = encodings.where(F.col("fold") != ALL_FOLDS).select("cat", "n", F.inline(items))
+    items = ", ".join(f"struct({i} as label_ordinal, '{t}' as target, e_{t} as e)" for i, t in enumerate(labels))
+    cells = encodings.where(F.col("fold") != ALL_FOLDS).selectExpr("cat", "n", f"inline(array({items}))")
     mean = cells.groupBy("cat", "label_ordinal", "target").agg(
         (F.sum(F.col("n") * F.col("e")) / F.sum("n")).alias("mean"))
     # (cat, label) pairs: bounded by the schema

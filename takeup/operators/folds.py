@@ -10,6 +10,7 @@ from takeup.functions.hashing import hash_text, hash_uniform
 from takeup.operators.labels import RARE_SAMPLE_RATE, any_positive, label_stats
 
 BLOCK_DIGITS = 4
+QUOTED_ROWS = "'rows'"
 
 
 def stratified_folds(rows: DataFrame, stratum: Column, k: int = 5, seed: int = 42, key: str = "customer_id",
@@ -21,7 +22,7 @@ def stratified_folds(rows: DataFrame, stratum: Column, k: int = 5, seed: int = 4
     block sizes (a table of at most 16^block_digits rows per stratum, hence the
     broadcast) give each block its starting number.
     """
-    marked = rows.select(F.col(key), stratum.cast("int").alias("stratum"), hash_text(key, F.lit(seed)).alias("_h"))
+    marked = rows.select(F.col(key), stratum.cast("int").alias("stratum"), F.expr(hash_text(key, seed)).alias("_h"))
     marked = marked.withColumn("_block", F.substring("_h", 1, block_digits))
     before = Window.partitionBy("stratum").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (marked.groupBy("stratum", "_block").agg(F.count("*").alias("_n"))
@@ -49,7 +50,7 @@ def reduce_rows(labels: DataFrame, targets: Sequence[str], ratio: float = 0.3, s
     """Keep every row that is positive on a rare label and a hash-chosen share of
     the others: one narrow predicate, no shuffle."""
     rare = rare_targets(labels, targets, rate)
-    keep = hash_uniform(key, F.lit(seed), F.lit("rows")) < F.lit(ratio)
+    keep = F.expr(f"{hash_uniform(key, seed, QUOTED_ROWS)} < {ratio}D")
     if rare:
         keep = any_positive(rare) | keep
     return labels.where(keep)

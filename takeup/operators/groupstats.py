@@ -16,11 +16,10 @@ from takeup.session import stage
 def fit_group_stats(train: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFrame:
     """``(cat, level, n, mean_<num>..., std_<num>...)`` in one aggregation; the
     sample std of a single row is null."""
-    values = [finite(c).alias(c) for c in nums]
-    cells = explode_levels(train.select(*cats, *values), cats, list(nums), False).where(F.col("level").isNotNull())
+    cells = explode_levels(train, cats, [f"{finite(c)} as {c}" for c in nums], False).where("level IS NOT NULL")
     return cells.groupBy("cat", "level").agg(
-        F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in nums],
-        *[F.stddev_samp(c).alias(f"std_{c}") for c in nums])
+        F.count("*").alias("n"), *[F.expr(f"{f}({c}) as {m}_{c}") for m, f in (("mean", "avg"), ("std", "stddev_samp"))
+                                   for c in nums])
 
 
 def apply_group_stats(rows: DataFrame, stats: DataFrame, cats: Sequence[str], nums: Sequence[str],
@@ -29,17 +28,18 @@ def apply_group_stats(rows: DataFrame, stats: DataFrame, cats: Sequence[str], nu
     column serves all its numbers."""
     out, names = rows, []
     for cat in cats:
-        one = stats.where(F.col("cat") == cat).select(
-            F.col("level").alias("_level"), F.col("n").alias("_n"),
-            *[F.col(f"{m}_{c}").alias(f"_{m}_{c}") for c in nums for m in ("mean", "std")])
+        one = stats.where(f"cat = '{cat}'").selectExpr(
+            "level as _level", "n as _n", *[f"{m}_{c} as _{m}_{c}" for c in nums for m in ("mean", "std")])
+        kept = out.columns
         out = keyed_lookup(out.withColumn("_level", F.col(cat).cast("string")), one, ["_level"], weight="_n",
                            spread_by=[key], staged=True, **lookup)
         made = {}
         for c in nums:
-            x, mean, std = finite(c), F.col(f"_mean_{c}"), F.coalesce(f"_std_{c}", F.lit(1.0))
-            made[f"zscore_{cat}_{c}"] = fill_clip((x - F.coalesce(mean, F.lit(0.0))) / guard(std, 1.0), 0.0)
-            made[f"ratio_{cat}_{c}"] = fill_clip(x / guard(F.coalesce(mean, F.lit(1.0)), 1.0), 1.0, -100.0, 100.0)
-        out = out.withColumns(made).drop("_level", "_n", *[f"_{m}_{c}" for c in nums for m in ("mean", "std")])
+            std = guard(f"coalesce(_std_{c}, 1.0D)")
+            mean = guard(f"coalesce(_mean_{c}, 1.0D)")
+            made[f"zscore_{cat}_{c}"] = fill_clip(f"({finite(c)} - coalesce(_mean_{c}, 0.0D)) / {std}", 0.0)
+            made[f"ratio_{cat}_{c}"] = fill_clip(f"{finite(c)} / {mean}", 1.0, -100.0, 100.0)
+        out = out.selectExpr(*kept, *[f"{e} as {n}" for n, e in made.items()])
         names += list(made)
     return out.select(*rows.columns, *names)
 
@@ -57,13 +57,12 @@ def pair_features(rows: DataFrame, nums: Sequence[str], first: int = 8) -> DataF
     made = {}
     for a, b in combinations(nums[:first], 2):
         x, y = finite(a), finite(b)
-        made[f"mult_{a}_{b}"] = fill_clip(x * y, 0.0)
-        made[f"div_{a}_{b}"] = fill_clip(x / signed_guard(y), 0.0, -1000.0, 1000.0)
-    return rows.select("*", *[e.alias(n) for n, e in made.items()])
+        made[f"mult_{a}_{b}"] = fill_clip(f"({x} * {y})", 0.0)
+        made[f"div_{a}_{b}"] = fill_clip(f"({x} / {signed_guard(y)})", 0.0, -1000.0, 1000.0)
+    return rows.selectExpr("*", *[f"{e} as {n}" for n, e in made.items()])
 
 
 def transform_features(rows: DataFrame, nums: Sequence[str], first: int = 20) -> DataFrame:
     """``log1p_x`` and ``sqrt_x`` of the absolute value."""
-    return rows.select("*", *[e.alias(n) for c in nums[:first] for n, e in (
-        (f"log1p_{c}", fill_clip(F.log1p(F.abs(finite(c))), 0.0)),
-        (f"sqrt_{c}", fill_clip(F.sqrt(F.abs(finite(c))), 0.0)))])
+    return rows.selectExpr("*", *[f"{fill_clip(f'{f}(abs({finite(c)}))', 0.0)} as {f}_{c}"
+                                  for c in nums[:first] for f in ("log1p", "sqrt")])

@@ -6,6 +6,8 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from takeup.functions.rowwise import mean_present, values_of
+
 # Labels known to be hard get their own learner settings. Fixed values.
 HARD_TARGETS = frozenset({"target_3_1", "target_5_2", "target_6_1", "target_9_3", "target_9_6"})
 RARE_RATE = 0.005       # learner settings
@@ -14,16 +16,15 @@ RARE_SAMPLE_RATE = 0.01  # row reduction and importance weights
 
 def long_labels(labels: DataFrame, targets: Sequence[str], key: str, extra: Sequence[str] = ()) -> DataFrame:
     """One row per (key, target): column ``y``."""
-    items = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("int").alias("y")) for t in targets])
-    return labels.select(key, *extra, F.inline(items))
+    items = ", ".join(f"struct('{t}' as target, cast({t} as int) as y)" for t in targets)
+    return labels.selectExpr(key, *extra, f"inline(array({items}))")
 
 
 def label_stats(labels: DataFrame, targets: Sequence[str]) -> DataFrame:
     """One row per label from a single pass: rows with a value, positives, rate."""
-    packed = labels.agg(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("target"), F.count(t).alias("n"),
-                 F.coalesce(F.sum(F.col(t).cast("bigint")), F.lit(0)).alias("n_pos"))
-        for i, t in enumerate(targets)]).alias("s"))
+    items = ", ".join(f"struct({i} as ordinal, '{t}' as target, count({t}) as n, "
+                      f"coalesce(sum(cast({t} as bigint)), 0L) as n_pos)" for i, t in enumerate(targets))
+    packed = labels.selectExpr(f"array({items}) as s")
     return packed.select(F.inline("s")).withColumn("rate", F.try_divide("n_pos", "n"))
 
 
@@ -44,14 +45,10 @@ def positive_weight(rate: Column, threshold: float = RARE_SAMPLE_RATE, cap: floa
 
 
 def any_positive(targets: Sequence[str]) -> Column:
-    flags = [F.coalesce(F.col(t), F.lit(0)) > 0 for t in targets]
-    out = flags[0]
-    for f in flags[1:]:
-        out = out | f
-    return out
+    return F.expr(" OR ".join(f"coalesce({t}, 0) > 0" for t in targets))
 
 
 def composite_label(targets: Sequence[str]) -> Column:
     """Mean over the labels of a row, missing labels skipped."""
-    present = F.array_compact(F.array(*[F.col(t).cast("double") for t in targets]))
-    return F.try_divide(F.aggregate(present, F.lit(0.0), lambda a, v: a + v), F.size(present))
+    values = f"array_compact({values_of(targets)})"
+    return F.expr(mean_present(values))

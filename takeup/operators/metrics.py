@@ -36,7 +36,7 @@ def area(pairs2: str = "pairs2", pos: str = "pos", neg: str = "neg") -> Column:
 def auc(scored: DataFrame, group: Sequence[str], score: str = "score", y: str = "y") -> DataFrame:
     """ROC AUC per group with ties counted half; rows whose label or score is
     missing are left out."""
-    rows = scored.select(*group, finite(score).alias("_s"), F.col(y).alias("_y"))
+    rows = scored.selectExpr(*group, f"{finite(score)} as _s", f"{y} as _y")
     rows = rows.where(F.col("_s").isNotNull() & F.col("_y").isNotNull())
     counts = distinct_values(rows, group, "_s", class_counts(F.col("_y")))
     return concordance(counts, group, "_s").select(
@@ -53,5 +53,5 @@ def macro_auc(per_label: DataFrame, group: Sequence[str] = ("model",)) -> DataFr
 
 
 def mean_asymmetric_loss(scored: DataFrame, group: Sequence[str], logit: str, y: str, **shape) -> DataFrame:
-    loss = asymmetric_log_loss(F.col(logit), F.col(y).cast("double"), **shape)
+    loss = F.expr(asymmetric_log_loss(logit, f"cast({y} as double)", **shape))
     return scored.groupBy(*group).agg(F.avg(loss).alias("loss"), F.count("*").alias("n_rows"))

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from takeup.functions.clean import finite, null_flag, standardised
+from takeup.functions.rowwise import values_of
 
 
 def column_cells(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One row per cell: ``ordinal``, ``x`` (null where missing, NaN or infinite)."""
-    cells = df.select(*keep, F.posexplode(F.array(*[F.col(c) for c in cols]).cast("array<double>")).alias("ordinal", "x"))
-    return cells.withColumn("x", finite("x"))
+    return df.selectExpr(*keep, f"posexplode({values_of(cols)}) as (ordinal, x)").withColumn("x", F.expr(finite("x")))
 
 
 def named(df: DataFrame, cols: Sequence[str], ordinal: str = "ordinal", name: str = "feature") -> DataFrame:
@@ -61,5 +61,5 @@ def standardise(df: DataFrame, cols: Sequence[str], key: str = "customer_id") ->
     """``std_<c>``: standard score over all rows with null as zero; ``null_<c>``: 1
     where the value was missing. The fitted numbers are two per column."""
     fitted = {r["feature"]: r for r in column_profile(df, cols).select("feature", "mean0", "std0").collect()}
-    return df.select(key, *[standardised(c, fitted[c]["mean0"], fitted[c]["std0"]).alias(f"std_{c}") for c in cols],
-                     *[null_flag(c).alias(f"null_{c}") for c in cols])
+    return df.selectExpr(key, *[f"{standardised(c, fitted[c]['mean0'], fitted[c]['std0'])} as std_{c}" for c in cols],
+                         *[f"{null_flag(c)} as null_{c}" for c in cols])

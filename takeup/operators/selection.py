@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from takeup.functions.rowwise import values_of
 from takeup.operators.labels import label_stats
 from takeup.operators.profile import column_profile, varying
 
@@ -22,8 +23,8 @@ def correlation_scores(rows: DataFrame, features: Sequence[str], targets: Sequen
     is one partial sum per task and (feature, label).
     """
     profile = column_profile(rows, features) if profile is None else profile
-    hits = F.filter(F.transform(F.array(*targets), lambda y, i: F.when(y != 0, i)), lambda i: i.isNotNull())
-    cells = (rows.select(hits.alias("_hits"), F.array(*features).cast("array<double>").alias("_x"))
+    hits = f"array_compact(transform(array({', '.join(targets)}), (y, i) -> CASE WHEN y != 0 THEN i END))"
+    cells = (rows.selectExpr(f"{hits} as _hits", f"{values_of(features)} as _x")
              .where(F.size("_hits") > 0)
              .select("_hits", F.posexplode("_x").alias("ordinal", "x"))
              .where((F.col("x") != 0) & (F.abs("x") < float("inf"))))

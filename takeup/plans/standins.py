@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from takeup.functions.hashing import hash_text, hash_uniform
 
@@ -28,120 +26,106 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cents(c: str) -> Column:
-    return F.floor(F.col(c) * 100 + 0.5)
+def _cents(c: str) -> str:
+    return f"floor({c} * 100 + 0.5)"
 
 
 def lines(spark: SparkSession, sf_dir: str, past: bool) -> DataFrame:
     """Order lines with their order and part, on one side of the cutoff."""
-    side = F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp")
-    orders = table(spark, sf_dir, "orders").where(side if past else ~side)
+    orders = table(spark, sf_dir, "orders").where(f"o_orderdate {'<' if past else '>='} timestamp'{CUTOFF}'")
     return (table(spark, sf_dir, "lineitem")
-            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")))
+            .join(orders, F.expr("l_orderkey = o_orderkey"))
+            .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey")))
+
+
+SPLIT_LITERAL = "'split'"
+
 
+def split_of(key: str) -> str:
+    return f"CASE WHEN substring({hash_text(key, SPLIT_LITERAL)}, 1, 1) IN ('0', '1', '2') THEN 'test' ELSE 'train' END"
 
-def split_of(key: Column | str) -> Column:
-    digit = F.substring(hash_text(key, F.lit("split")), 1, 1)
-    return F.when(digit.isin("0", "1", "2"), "test").otherwise("train")
+
+def _aggregated(df: DataFrame, by: list[str], *exprs: str) -> DataFrame:
+    return df.groupBy(*by).agg(*[F.expr(e) for e in exprs])
 
 
 def main_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    past_orders = (table(spark, sf_dir, "orders")
-                   .where(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp")))
-    by_priority = past_orders.groupBy("o_custkey", "o_orderpriority").agg(
-        F.count("*").alias("n"), F.sum(_cents("o_totalprice")).alias("cents"))
-    order_side = by_priority.groupBy("o_custkey").agg(
-        F.min_by("o_orderpriority", F.struct(-F.col("n"), F.col("o_orderpriority"))).alias("cat_4"),
-        F.sum("n").cast("double").alias("num_2"),
-        (F.sum("cents") / 100.0).alias("num_3"))
-    by_part = lines(spark, sf_dir, True).groupBy("o_custkey", "p_brand", "l_partkey").agg(
-        F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
-        F.sum(_cents("l_discount")).alias("disc"), F.sum(_cents("l_tax")).alias("tax"),
-        F.max("l_extendedprice").alias("price"))
-    by_brand = by_part.groupBy("o_custkey", "p_brand").agg(
-        F.sum("n").alias("n"), F.sum("qty").alias("qty"), F.sum("disc").alias("disc"),
-        F.sum("tax").alias("tax"), F.max("price").alias("price"), F.count("*").alias("parts"))
-    line_side = by_brand.groupBy("o_custkey").agg(
-        F.min_by("p_brand", F.struct(-F.col("qty"), F.col("p_brand"))).alias("brand"),
-        (F.sum("qty") / F.sum("n")).alias("num_4"), (F.sum("disc") / F.sum("n") / 100.0).alias("num_5"),
-        F.max("price").alias("num_6"), F.sum("parts").cast("double").alias("num_7"),
-        (F.sum("tax") / F.sum("n") / 100.0).alias("num_8"))
-    joined = (customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-              .join(order_side, F.col("c_custkey") == order_side["o_custkey"], "left")
-              .join(line_side, F.col("c_custkey") == line_side["o_custkey"], "left"))
-    return joined.select(
-        F.col("c_custkey").alias("customer_id"), split_of("c_custkey").alias("split"),
-        F.col("c_mktsegment").alias("cat_1"), F.col("c_nationkey").alias("cat_2"),
-        F.col("n_regionkey").alias("cat_3"), "cat_4",
-        F.when(hash_uniform("c_custkey", F.lit("c5")) >= 0.1, F.col("brand")).alias("cat_5"),
-        F.col("c_acctbal").alias("num_1"), *NUMS[1:])
+    past_orders = table(spark, sf_dir, "orders").where(f"o_orderdate < timestamp'{CUTOFF}'")
+    by_priority = _aggregated(past_orders, ["o_custkey", "o_orderpriority"],
+                              "count(*) as n", f"sum({_cents('o_totalprice')}) as cents")
+    order_side = _aggregated(by_priority.withColumnRenamed("o_custkey", "k1"), ["k1"],
+                             "min_by(o_orderpriority, struct(-n, o_orderpriority)) as cat_4",
+                             "cast(sum(n) as double) as num_2", "sum(cents) / 100.0D as num_3")
+    by_part = _aggregated(lines(spark, sf_dir, True), ["o_custkey", "p_brand", "l_partkey"], "count(*) as n",
+                          "sum(cast(l_quantity as bigint)) as qty", f"sum({_cents('l_discount')}) as disc",
+                          f"sum({_cents('l_tax')}) as tax", "max(l_extendedprice) as price")
+    by_brand = _aggregated(by_part, ["o_custkey", "p_brand"], "sum(n) as n", "sum(qty) as qty", "sum(disc) as disc",
+                           "sum(tax) as tax", "max(price) as price", "count(*) as parts")
+    line_side = _aggregated(by_brand.withColumnRenamed("o_custkey", "k2"), ["k2"],
+                            "min_by(p_brand, struct(-qty, p_brand)) as brand", "sum(qty) / sum(n) as num_4",
+                            "sum(disc) / sum(n) / 100.0D as num_5", "max(price) as num_6",
+                            "cast(sum(parts) as double) as num_7", "sum(tax) / sum(n) / 100.0D as num_8")
+    joined = (table(spark, sf_dir, "customer")
+              .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"), "left")
+              .join(order_side, F.expr("c_custkey = k1"), "left").join(line_side, F.expr("c_custkey = k2"), "left"))
+    draw = hash_uniform("c_custkey", "'c5'")
+    return joined.selectExpr(
+        "c_custkey as customer_id", f"{split_of('c_custkey')} as split", "c_mktsegment as cat_1", "c_nationkey as cat_2",
+        "n_regionkey as cat_3", "cat_4", f"CASE WHEN {draw} >= 0.1 THEN brand END as cat_5", "c_acctbal as num_1", *NUMS[1:])
 
 
 def extra_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide and sparse: past quantity by brand, by brand and type, and mean price by
     type. Lines are reduced to (client, brand, type) before they are pivoted."""
-    cells = lines(spark, sf_dir, True).groupBy("o_custkey", "p_brand", "p_type").agg(
-        F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
-        F.sum(_cents("l_extendedprice")).alias("cents"), F.count("*").alias("n"))
-    cells = cells.withColumn("cell", F.concat_ws(
-        "_", F.lit("num_feature_bt"), F.substring("p_brand", 7, 2), F.lower("p_type")))
+    cells = _aggregated(lines(spark, sf_dir, True), ["o_custkey", "p_brand", "p_type"],
+                        "sum(cast(l_quantity as bigint)) as qty", f"sum({_cents('l_extendedprice')}) as cents",
+                        "count(*) as n")
+    cells = cells.withColumn("cell", F.expr("concat('num_feature_bt_', substring(p_brand, 7, 2), '_', lower(p_type))"))
     cross = cells.groupBy("o_custkey").pivot("cell", CROSS_COLS).agg(F.first("qty"))
-    by_type = cells.groupBy("o_custkey").agg(*[
-        F.try_divide(F.sum(F.when(F.col("p_type") == t, F.col("cents"))),
-                     F.sum(F.when(F.col("p_type") == t, F.col("n"))) * 100.0).alias(c)
-        for t, c in zip(TYPES, TYPE_COLS)])
-
-    def brand_sum(k: int) -> Column:
-        cols = [F.col(f"num_feature_bt_{k}_{t.lower()}") for t in TYPES]
-        added = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in cols])
-        return F.when(F.coalesce(*cols).isNotNull(), added)
-
-    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"))
-    wide = cross.join(by_type, "o_custkey")
-    return keys.join(wide, F.col("customer_id") == F.col("o_custkey"), "left").select(
-        "customer_id", *[brand_sum(k).cast("double").alias(f"num_feature_b_{k}") for k in range(1, 26)],
-        *TYPE_COLS, *[F.col(c).cast("double").alias(c) for c in CROSS_COLS],
-        F.lit(1.0).alias("num_feature_const"))
+    by_type = _aggregated(cells.withColumnRenamed("o_custkey", "k1"), ["k1"], *[
+        f"try_divide(sum(CASE WHEN p_type = '{t}' THEN cents END), "
+        f"sum(CASE WHEN p_type = '{t}' THEN n END) * 100.0D) as {c}" for t, c in zip(TYPES, TYPE_COLS)])
+    brands = [f"cast(aggregate(array_compact(array({', '.join(f'num_feature_bt_{k}_{t.lower()}' for t in TYPES)})), "
+              f"cast(null as bigint), (a, v) -> coalesce(a, 0L) + v) as double) as num_feature_b_{k}" for k in range(1, 26)]
+    keys = table(spark, sf_dir, "customer").selectExpr("c_custkey as customer_id")
+    wide = cross.join(by_type, F.expr("o_custkey = k1"))
+    return keys.join(wide, F.expr("customer_id = o_custkey"), "left").selectExpr(
+        "customer_id", *brands, *TYPE_COLS, *[f"cast({c} as double) as {c}" for c in CROSS_COLS],
+        "1.0D as num_feature_const")
 
 
 def target_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    future = lines(spark, sf_dir, False)
-    first = (F.col("p_brand") == "Brand#1") & (F.col("p_type") == "ECONOMY")
-    tests = ([F.col("o_orderpriority") == p for p in PRIORITIES] + [F.col("p_type") == t for t in TYPES]
-             + [F.col("l_returnflag") == f for f in FLAGS]
-             + [F.lit(True), first, first & (F.col("p_size") > 40), F.lit(False)])
-    found = future.groupBy("o_custkey").agg(
-        *[F.max(c.cast("int")).alias(t) for t, c in zip(TARGETS, tests)])
-    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"))
-    return (keys.join(found, F.col("customer_id") == F.col("o_custkey"), "left")
-            .select("customer_id", *[F.coalesce(t, F.lit(0)).alias(t) for t in TARGETS]))
+    first = "p_brand = 'Brand#1' AND p_type = 'ECONOMY'"
+    tests = ([f"o_orderpriority = '{p}'" for p in PRIORITIES] + [f"p_type = '{t}'" for t in TYPES]
+             + [f"l_returnflag = '{f}'" for f in FLAGS] + ["true", first, f"{first} AND p_size > 40", "false"])
+    found = _aggregated(lines(spark, sf_dir, False), ["o_custkey"],
+                        *[f"max(cast({c} as int)) as {t}" for t, c in zip(TARGETS, tests)])
+    keys = table(spark, sf_dir, "customer").selectExpr("c_custkey as customer_id")
+    return (keys.join(found, F.expr("customer_id = o_custkey"), "left")
+            .selectExpr("customer_id", *[f"coalesce({t}, 0) as {t}" for t in TARGETS]))
 
 
 def train_keys(df: DataFrame) -> DataFrame:
-    return df.where(split_of("customer_id") == "train")
+    return df.where(f"{split_of('customer_id')} = 'train'")
 
 
 def test_keys(df: DataFrame) -> DataFrame:
-    return df.where(split_of("customer_id") == "test")
+    return df.where(f"{split_of('customer_id')} = 'test'")
 
 
 def score_table(target: DataFrame, models: dict[str, float] = MODELS) -> DataFrame:
     """Long scores of synthetic models: a noisy copy of the label, two decimals so
     that ties occur; some keys are missing from every model."""
-    model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("a")) for m, a in models.items()]))
-    labels = F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in TARGETS]))
-    rows = target.select("customer_id", *TARGETS, model.alias("_m"))
-    rows = rows.where(hash_uniform("customer_id", F.col("_m.model"), F.lit("drop")) >= 0.02)
-    rows = rows.select("customer_id", F.col("_m.model").alias("model"), F.col("_m.a").alias("a"), labels)
-    u = hash_uniform("customer_id", "model", "target")
-    return rows.select("customer_id", "model", "target", "y",
-                       (F.floor((F.col("a") * F.col("y") + (1 - F.col("a")) * u) * 100 + 0.5) / 100.0).alias("score"))
+    which = ", ".join(f"struct('{m}' as model, {a}D as a)" for m, a in models.items())
+    labels = ", ".join(f"struct('{t}' as target, {t} as y)" for t in TARGETS)
+    rows = target.selectExpr("*", f"inline(array({which}))")
+    kept, u = hash_uniform("customer_id", "model", "'drop'"), hash_uniform("customer_id", "model", "target")
+    rows = rows.where(f"{kept} >= 0.02").selectExpr("customer_id", "model", "a", f"inline(array({labels}))")
+    return rows.selectExpr("customer_id", "model", "target", "y",
+                           f"floor((a * y + (1 - a) * {u}) * 100 + 0.5) / 100.0D as score")
 
 
 def template_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submission rows: the test keys and one key that no table has."""
-    keys = test_keys(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id")))
-    return keys.unionByName(keys.agg(F.lit(-1).cast("bigint").alias("customer_id")))
+    keys = test_keys(table(spark, sf_dir, "customer").selectExpr("c_custkey as customer_id"))
+    return keys.unionByName(keys.selectExpr("min(-1L) as customer_id"))

@@ -27,6 +27,8 @@ def build_session(app: str = "takeup", master: str | None = None, **conf: str) -
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # call-site capture costs milliseconds per column expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for name, value in {**defaults, **conf}.items():
         builder = builder.config(name, value)
