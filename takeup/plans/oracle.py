@@ -90,8 +90,7 @@ CTES: dict[str, str] = {
             FROM ranked WHERE split='train' GROUP BY 1,2)""",
     "extra_cells": f"""SELECT e.customer_id, f.ord, e.feature, e.x FROM
         (SELECT * FROM train_extra UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(S.EXTRAS)}))) e
-        JOIN (SELECT unnest AS feature, generate_subscripts AS ord FROM
-              (SELECT unnest({S.EXTRAS}), generate_subscripts({S.EXTRAS}, 1)-1)) f(feature, ord) USING (feature)""",
+        JOIN (VALUES {', '.join(f"({k},'{c}')" for k, c in enumerate(S.EXTRAS))}) f(ord, feature) USING (feature)""",
     "corr": f"""SELECT ord, feature, target, CASE WHEN sx < 1e-8 THEN 0.0 ELSE abs(c/(sx*CASE WHEN sy < 1e-8 THEN 1.0 ELSE sy END)) END AS corr
       FROM (SELECT ord, feature, target, covar_pop(coalesce(x,0), y) AS c, stddev_pop(coalesce(x,0)) AS sx, stddev_pop(y) AS sy
             FROM extra_cells JOIN long_target USING (customer_id) GROUP BY 1,2,3)""",
