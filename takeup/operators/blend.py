@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from takeup.operators.metrics import area, average_ranks, class_counts
-from takeup.operators.ordering import concordance, distinct_values
+from takeup.operators.ordering import DIRECT_ROWS, LONG_PAIR_ROWS, concordance, distinct_values, pair_product
 from takeup.session import stage
 
 WHOLE = 100
@@ -21,6 +21,7 @@ GATE = 0.05
 BIN_LEVELS = (512, 8192, 131072)
 
 Weights = tuple[int, ...]
+Candidates = dict[str, list[tuple[int, Weights]]]
 
 
 # -- weight grids ------------------------------------------------------------
@@ -87,43 +88,43 @@ def rank_table(scores: DataFrame, models: Sequence[str], key: str = "customer_id
     return stage(rows.drop("_bucket"), "ranks", ["target"])
 
 
-def blended(weights: Column, ranks: Column) -> Column:
+def blended(weights: str, ranks: str, k: int) -> str:
     """Whole-number blend of the rank array by the weight array."""
-    return F.aggregate(F.zip_with(weights, ranks, lambda w, r: w.cast("bigint") * r),
-                       F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return "(" + " + ".join(f"{weights}[{m}] * {ranks}[{m}]" for m in range(k)) + ")"
 
 
-def _candidates(spark: SparkSession, per_target: dict[str, list[tuple[int, Weights]]]) -> DataFrame:
+def _candidates(spark: SparkSession, per_target: Candidates) -> DataFrame:
     """``(target, grid)``: the label's candidate weights with their positions; one
     row per label."""
     rows = [(t, [(o, list(w)) for o, w in ws]) for t, ws in per_target.items()]
-    return spark.createDataFrame(rows, "target string, grid array<struct<o:int,w:array<int>>>")
+    return spark.createDataFrame(rows, "target string, grid array<struct<o:int,w:array<bigint>>>")
 
 
-def _scored(ranks: DataFrame, candidates: dict[str, list[tuple[int, Weights]]]) -> DataFrame:
+def _scored(ranks: DataFrame, candidates: Candidates) -> DataFrame:
+    k = len(next(iter(candidates.values()))[0][1])
     grid = _candidates(ranks.sparkSession, candidates)
     rows = ranks.join(F.broadcast(grid), "target").select("target", "n", "y", "r", F.explode("grid").alias("g"))
-    return rows.select("target", "n", "y", F.col("g.o").alias("o"), blended(F.col("g.w"), F.col("r")).alias("b"))
+    return rows.selectExpr("target", "n", "y", "g.o as o", f"{blended('g.w', 'r', k)} as b")
 
 
-def _bounds(ranks: DataFrame, candidates: dict, bins: int) -> list:
+def _bounds(ranks: DataFrame, candidates: Candidates, bins: int, rows_per_label: int) -> list:
     """Lowest and highest possible pair count of every candidate when values are
     only known to their bin: pairs inside a bin may fall either way."""
-    width = F.lit(2 * WHOLE) * F.col("n") + 1
-    at = F.floor(F.col("b") * bins / width)
-    counts = (_scored(ranks, candidates).withColumn("bin", at).groupBy("target", "o", "bin")
+    at = f"floor(b * {bins} / ({2 * WHOLE} * n + 1))"
+    counts = (_scored(ranks, candidates).withColumn("bin", F.expr(at)).groupBy("target", "o", "bin")
               .agg(*[c.alias(n) for n, c in class_counts(F.col("y")).items()]))
-    before = Window.partitionBy("target", "o").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    big = "decimal(38,0)"
-    sure = F.col("pos").cast("decimal(19,0)") * F.coalesce(F.sum("neg").over(before), F.lit(0)).cast("decimal(18,0)") * 2
-    open_ = F.col("pos").cast("decimal(19,0)") * F.col("neg").cast("decimal(18,0)") * 2
-    return (counts.select("target", "o", sure.alias("sure"), open_.alias("open"))
-            .groupBy("target", "o").agg(F.sum("sure").cast(big).alias("low"),
-                                        (F.sum("sure") + F.sum("open")).cast(big).alias("high")).collect())
-
-
-def prune(ranks: DataFrame, candidates: dict[str, list[tuple[int, Weights]]], rows_per_label: int,
-          levels: Sequence[int] = BIN_LEVELS) -> dict[str, list[tuple[int, Weights]]]:
+    wide = rows_per_label > LONG_PAIR_ROWS
+    kind = "decimal(38,0)" if wide else "bigint"
+    below = counts.selectExpr("*", "coalesce(sum(neg) OVER (PARTITION BY target, o ORDER BY bin "
+                                   "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) as below")
+    return (below.selectExpr("target", "o", f"{pair_product('pos', 'below', wide)} as sure",
+                             f"{pair_product('pos', 'neg', wide)} as open")
+            .groupBy("target", "o").agg(F.sum("sure").cast(kind).alias("low"),
+                                        (F.sum("sure") + F.sum("open")).cast(kind).alias("high")).collect())
+
+
+def prune(ranks: DataFrame, candidates: Candidates, rows_per_label: int,
+          levels: Sequence[int] = BIN_LEVELS) -> Candidates:
     """Drop candidates that certainly lose, at rising resolution. Every pass is one
     scan with map-side counts of at most candidates x bins; what cannot be decided
     stays, so the exact count that follows always sees the winner and its ties."""
@@ -131,7 +132,7 @@ def prune(ranks: DataFrame, candidates: dict[str, list[tuple[int, Weights]]], ro
         if bins * 4 > rows_per_label or max(len(c) for c in candidates.values()) <= 8:
             break
         found: dict[str, list] = {}
-        for r in _bounds(ranks, candidates, bins):
+        for r in _bounds(ranks, candidates, bins, rows_per_label):
             found.setdefault(r["target"], []).append(r)
         kept = {}
         for t, rows in found.items():
@@ -142,10 +143,16 @@ def prune(ranks: DataFrame, candidates: dict[str, list[tuple[int, Weights]]], ro
     return candidates
 
 
-def exact_areas(ranks: DataFrame, candidates: dict[str, list[tuple[int, Weights]]]) -> DataFrame:
-    """Exact ``(target, o, pos, neg, pairs2, auc)`` of every candidate."""
-    counts = distinct_values(_scored(ranks, candidates), ["target", "o"], "b", class_counts(F.col("y")))
-    return concordance(counts, ["target", "o"], "b").withColumn("auc", area())
+def exact_areas(ranks: DataFrame, candidates: Candidates, rows_per_label: int | None = None) -> DataFrame:
+    """Exact ``(target, o, pos, neg, pairs2, auc)`` of every candidate. With labels
+    known to be small a candidate's rows are ordered in one task, in one exchange."""
+    keys = ["target", "o"]
+    small = rows_per_label is not None and rows_per_label <= DIRECT_ROWS
+    scored = _scored(ranks, candidates)
+    if small:
+        scored = scored.repartition(*keys)
+    counts = distinct_values(scored, keys, "b", class_counts(F.col("y")))
+    return concordance(counts, keys, "b", rows_per_label, direct=small).withColumn("auc", area())
 
 
 def first_best(areas: DataFrame) -> dict[str, tuple[int, int, float]]:
@@ -174,7 +181,7 @@ def search_weights(ranks: DataFrame, k: int, step: int | None = None, refine: bo
 
     def run(candidates: dict) -> tuple[dict, dict]:
         kept = prune(live, candidates, n, levels)
-        return kept, first_best(exact_areas(live, kept))
+        return kept, first_best(exact_areas(live, kept, n))
 
     kept, best = run({t: points for t in usable})
     weights = {t: dict(kept[t])[o] if pairs else equal_weights(k) for t, (o, pairs, _) in best.items()}

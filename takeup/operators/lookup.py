@@ -15,20 +15,23 @@ HOT_SHARE = 0.001
 
 def keyed_lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str | None = None,
                  spread_by: Sequence[str] = (), max_rows: int = MAX_BROADCAST_ROWS,
-                 staged: bool = False) -> DataFrame:
+                 staged: bool = False, rows_in_table: int | None = None) -> DataFrame:
     """Left join of ``rows`` with ``table`` on ``on`` (unique in ``table``).
 
-    The table is staged and counted (Parquet footers only). Up to ``max_rows`` it
-    is broadcast and ``rows`` is not moved. Beyond that it is a shuffle join in
+    The table is staged and counted (Parquet footers only) unless its size is given.
+    Up to ``max_rows`` it is broadcast and ``rows`` is not moved. Beyond that it is a
+    shuffle join in
     which hot keys are split: ``weight`` is the column of ``table`` with the number
     of rows per key; keys above the hot share, at most 1 / HOT_SHARE of them, are
     broadcast and answered before the shuffle, and their rows are then spread over
     all partitions by ``spread_by`` instead of meeting in one.
     """
     on = list(on)
+    if rows_in_table is not None and rows_in_table <= max_rows:
+        return rows.join(F.broadcast(table), on, "left")
     if not staged:
         table = stage(table, "lookup")
-    if table.count() <= max_rows:
+    if rows_in_table is None and table.count() <= max_rows:
         return rows.join(F.broadcast(table), on, "left")
     if weight is None:
         return rows.join(table, on, "left")

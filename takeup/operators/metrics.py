@@ -9,16 +9,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from takeup.functions.clean import asymmetric_log_loss, finite
 from takeup.operators.lookup import keyed_lookup
 from takeup.operators.ordering import concordance, cumulate, distinct_values
+from takeup.session import stage
 
 
 def average_ranks(scores: DataFrame, group: Sequence[str], value: str, key: str, **lookup) -> DataFrame:
     """Add ``rank2``, twice the average-tie rank of ``value`` in its group (a whole
     number), ``n``, the group size, and ``pct_rank`` = rank / n."""
-    counts = distinct_values(scores.select(*group, value), group, value, {"ties": F.count("*")})
-    ranks = cumulate(counts, group, value, ["ties"]).select(
+    counts = stage(distinct_values(scores.select(*group, value), group, value, {"ties": F.count("*")}), "values")
+    size = counts.count()
+    ranks = cumulate(counts, group, value, ["ties"], size).select(
         *group, value, "ties", (2 * F.col("below_ties") + F.col("ties") + 1).alias("rank2"),
         F.col("all_ties").alias("n"))
-    found = keyed_lookup(scores, ranks, [*group, value], weight="ties", spread_by=[key], **lookup)
+    found = keyed_lookup(scores, ranks, [*group, value], weight="ties", spread_by=[key], rows_in_table=size, **lookup)
     return (found.withColumn("pct_rank", F.col("rank2") / (2.0 * F.col("n")))
             .select(*scores.columns, "rank2", "n", "pct_rank"))
 

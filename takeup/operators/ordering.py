@@ -22,6 +22,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 COARSE_BITS = 8
 FINE_BITS = 26
+# A table known to have at most this many rows is windowed by group directly.
+DIRECT_ROWS = 1_000_000
+# Up to this many rows per group twice the number of pairs fits 64 bits.
+LONG_PAIR_ROWS = 3_000_000_000
 
 
 def _code(x: Column) -> Column:
@@ -52,9 +56,15 @@ def distinct_values(rows: DataFrame, group: Sequence[str], value: str, measures:
     return rows.groupBy(*group, value).agg(*[c.alias(n) for n, c in measures.items()])
 
 
-def cumulate(counts: DataFrame, group: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
+def cumulate(counts: DataFrame, group: Sequence[str], value: str, measures: Sequence[str],
+             rows: int | None = None) -> DataFrame:
     """Add to a table of distinct values, for every measure ``m``, ``below_m``: its
-    total over smaller values of the group, and ``all_m``: its group total."""
+    total over smaller values of the group, and ``all_m``: its group total. ``rows``
+    is the table's size if known."""
+    if rows is not None and rows <= DIRECT_ROWS:
+        table = _running(counts, list(group), value, {m: f"below_{m}" for m in measures})
+        whole = Window.partitionBy(*group)
+        return table.withColumns({f"all_{m}": F.sum(m).over(whole) for m in measures})
     group = list(group)
     fine = with_blocks(counts, value)
     sums = [F.sum(m).alias(m) for m in measures]
@@ -76,35 +86,44 @@ def cumulate(counts: DataFrame, group: Sequence[str], value: str, measures: Sequ
         *[f"all_{m}" for m in measures])
 
 
-def concordance(counts: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Twice the number of correctly ordered (positive, negative) pairs, ties
-    counting half, from a table of distinct values with ``pos`` and ``neg``.
+def pair_product(a: str, b: str, wide: bool) -> str:
+    """Twice the product of two counts as a whole number."""
+    if wide:
+        return f"cast(cast({a} as decimal(19,0)) * cast({b} as decimal(18,0)) * 2 as decimal(38,0))"
+    return f"({a} * {b} * 2)"
+
+
+def concordance(counts: DataFrame, group: Sequence[str], value: str, group_rows: int | None = None,
+                direct: bool = False) -> DataFrame:
+    """``(group..., pos, neg, pairs2)``: twice the number of correctly ordered
+    (positive, negative) pairs, ties counting half, from a table of distinct values
+    with ``pos`` and ``neg``.
 
     Pairs inside a fine block, between fine blocks and between coarse blocks are
-    counted one level after the other in a single chain. Counts are whole numbers
-    (decimal, as products of counts outgrow 64 bits), so equal orderings give
-    exactly equal results.
+    counted one level after the other in a single chain; with ``direct`` (small
+    groups) the group is one block. Counts are whole numbers, so equal orderings
+    give exactly equal results: 64 bits where ``group_rows``, the most rows a group
+    can have, allows it, else decimals.
     """
     group = list(group)
-    big = "decimal(38,0)"
-
-    def pairs(pos: str, neg_below: str) -> Column:
-        return F.col(pos).cast("decimal(19,0)") * F.col(neg_below).cast("decimal(18,0)") * 2
+    wide = group_rows is None or group_rows > LONG_PAIR_ROWS
+    kind = "decimal(38,0)" if wide else "bigint"
 
-    table = with_blocks(counts, value)
-    table = _running(table, [*group, "_b1", "_b2"], value, {"neg": "_below"})
-    table = table.withColumn(
-        "pairs2", (pairs("pos", "_below")
-                   + F.col("pos").cast("decimal(19,0)") * F.col("neg").cast("decimal(18,0)")).cast(big))
+    def inside(t: DataFrame, keys: list[str], order: str, ties: bool) -> DataFrame:
+        t = _running(t, keys, order, {"neg": "_below"})
+        here = pair_product("pos", "_below", wide)
+        rest = f"{pair_product('pos', 'neg', wide)} / 2" if wide else "pos * neg"
+        return t.withColumn("pairs2", F.expr(f"cast({here} + {rest if ties else 'pairs2'} as {kind})"))
 
     def up(t: DataFrame, keys: list[str]) -> DataFrame:
         return t.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
-                                    F.sum("pairs2").cast(big).alias("pairs2"))
+                                    F.sum("pairs2").cast(kind).alias("pairs2"))
 
+    if direct:
+        return up(inside(counts, group, value, True), group)
+    table = inside(with_blocks(counts, value), [*group, "_b1", "_b2"], value, True)
     for keys, order in (([*group, "_b1"], "_b2"), (group, "_b1")):
-        table = up(table, [*keys, order])
-        table = _running(table, keys, order, {"neg": "_below"})
-        table = table.withColumn("pairs2", (F.col("pairs2") + pairs("pos", "_below")).cast(big))
+        table = inside(up(table, [*keys, order]), keys, order, False)
     return up(table, group)
 
 
