@@ -6,9 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from takeup.functions.clean import number
+
 NEUTRAL = 0.5
 
 
+def _literals(names: Sequence[str]) -> str:
+    return "array(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
 def align_scores(spine: DataFrame, scores: DataFrame, models: Sequence[str], targets: Sequence[str],
                  labels: DataFrame | None = None, key: str = "customer_id", default: float = NEUTRAL) -> DataFrame:
     """``(key, model, target, score[, y])`` for every spine key, model and label; what
@@ -16,21 +22,26 @@ def align_scores(spine: DataFrame, scores: DataFrame, models: Sequence[str], tar
     ``labels``, one row per key, adds the label value ``y``.
 
     Scores are gathered to one row per key (at most models x labels cells), so one
-    exchange on the key serves the gathering and the joins; the grid is then unfolded
-    in place.
+    exchange on the key serves the gathering and the joins. The missing cells of the
+    row are then added and the grid is unfolded in place.
     """
-    wanted = scores.where(F.col("model").isin(*models) & F.col("target").isin(*targets))
-    cell = F.concat_ws("|", "model", "target")
-    gathered = wanted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(cell, "score"))).alias("_s"))
+    width = len(targets)
+    names = {"model": _literals(models), "target": _literals(targets)}
+    wanted = scores.where(F.col("model").isin(*models) & F.col("target").isin(*targets)).selectExpr(
+        key, f"cast((array_position({names['model']}, model) - 1) * {width} "
+             f"+ array_position({names['target']}, target) - 1 as int) as c", "cast(score as double) as s")
+    gathered = wanted.groupBy(key).agg(F.collect_list(F.struct("c", "s")).alias("_s"))
     rows = spine.select(key).join(gathered, key, "left")
+    y = []
     if labels is not None:
         rows = rows.join(labels.selectExpr(key, f"cast(array({', '.join(targets)}) as array<int>) as _y"), key, "left")
-    grid = ", ".join(f"struct('{m}' as model, '{t}' as target, '{m}|{t}' as _c, {i} as _i)"
-                     for m in models for i, t in enumerate(targets))
-    unfolded = rows.selectExpr("*", f"inline(array({grid}))")
-    score = F.coalesce(F.try_element_at("_s", F.col("_c")), F.lit(default)).alias("score")
-    y = [] if labels is None else [F.get("_y", F.col("_i")).alias("y")]
-    return unfolded.select(key, "model", "target", score, *y)
+        y = [f"_y[c % {width}] as y"]
+    held = "coalesce(_s, cast(array() as array<struct<c:int,s:double>>))"
+    missing = f"array_except(sequence(0, {len(models) * width - 1}), transform({held}, e -> e.c))"
+    cells = f"concat({held}, transform({missing}, c -> struct(c as c, {number(default)} as s)))"
+    return rows.selectExpr(key, *[c for c in rows.columns if c == "_y"], f"inline({cells}) as (c, s)").selectExpr(
+        key, f"{names['model']}[cast(c div {width} as int)] as model", f"{names['target']}[c % {width}] as target",
+        f"coalesce(s, {number(default)}) as score", *y)
 
 
 def fold_average(scores: DataFrame, key: str = "customer_id") -> DataFrame:
