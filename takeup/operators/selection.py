@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from takeup.functions.clean import number
 from takeup.functions.rowwise import values_of
 from takeup.operators.labels import label_stats
 from takeup.operators.profile import column_profile, varying
@@ -31,16 +32,13 @@ def correlation_scores(rows: DataFrame, features: Sequence[str], targets: Sequen
     sums = (cells.select("ordinal", "x", F.explode("_hits").alias("target_ordinal"))
             .groupBy("ordinal", "target_ordinal").agg(F.sum("x").alias("sxy")))
 
-    labels = label_stats(rows, targets).select(
-        F.col("ordinal").alias("target_ordinal"), "target",
-        (F.col("n_pos") / F.col("n")).alias("my"),
-        F.sqrt((F.col("n_pos") / F.col("n")) * (1 - F.col("n_pos") / F.col("n"))).alias("_sy"))
-    # every (feature, label) pair is wanted; both sides have one row per column of
-    # the schema, so the labels travel as one short array per feature
-    packed = labels.agg(F.collect_list(F.struct("target_ordinal", "target", "my", "_sy")).alias("_labels"))
-    grid = (profile.select("ordinal", "feature", "n_rows", "mean0", "std0", F.lit(1).alias("_one"))
-            .join(F.broadcast(packed.withColumn("_one", F.lit(1))), "_one")
-            .select("ordinal", "feature", "n_rows", "mean0", "std0", F.inline("_labels")))
+    # every (feature, label) pair is wanted: one row per feature is unfolded by the
+    # label means, one per label of the schema
+    stats = label_stats(rows, targets).orderBy("ordinal").collect()
+    means = ", ".join(f"struct({r['ordinal']} as target_ordinal, '{r['target']}' as target, {number(r['rate'] or 0.0)} as my)"
+                      for r in stats)
+    grid = (profile.selectExpr("ordinal", "feature", "n_rows", "mean0", "std0", f"inline(array({means}))")
+            .withColumn("_sy", F.expr("sqrt(my * (1 - my))")))
     sy = F.when(F.col("_sy") < 1e-8, 1.0).otherwise(F.col("_sy"))
     cov = F.coalesce("sxy", F.lit(0.0)) / F.col("n_rows") - F.col("mean0") * F.col("my")
     corr = F.when(F.col("std0") < 1e-8, 0.0).otherwise(F.abs(F.try_divide(cov, F.col("std0") * sy)))

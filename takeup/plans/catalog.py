@@ -733,8 +733,10 @@ _DELTA = "(SELECT unnest(range(11))*2-10 AS d{k})"
        both_ AS (SELECT target, 0 AS stage, o, s2, w1, w2, w3, w4 FROM sc JOIN best USING (target, o) JOIN grid USING (o)
          UNION ALL SELECT target, 1, o, s2, w1, w2, w3, w4 FROM fsc JOIN fine USING (target, o)),
        won AS (SELECT * FROM both_ JOIN cls USING (target) QUALIFY row_number() OVER (PARTITION BY target ORDER BY s2 DESC, stage, o) = 1)
-       """ + " UNION ALL ".join(f"SELECT target, 'm{k}' AS model, {rounded(f'w{k}/100.0', 6)} AS weight, "
-                                f"{rounded('(s2/2.0 - p*(p+1)/2.0)/(p*(n-p))', 6)} AS auc FROM won" for k in (1, 2, 3, 4)))  # M18 coarse and fine
+       """ + " UNION ALL ".join(
+           f"SELECT target, 'm{k}' AS model, {rounded(f'CASE WHEN p=0 OR p=n THEN 0.25 ELSE w{k}/100.0 END', 6)} AS weight, "
+           f"{rounded('CASE WHEN p=0 OR p=n THEN 0.5 ELSE (s2/2.0 - p*(p+1)/2.0)/(p*(n-p)) END', 6)} AS auc FROM won"
+           for k in (1, 2, 3, 4)))  # M18 coarse and fine
 def _(i: Inputs) -> DataFrame:
     return _weights(i, blend.search_weights(_train_ranks(i, targets=_FOUR), 4), MODELS)
 
