@@ -21,25 +21,26 @@ def align_scores(spine: DataFrame, scores: DataFrame, models: Sequence[str], tar
     the score table lacks gets the neutral score, what the spine lacks is dropped.
     ``labels``, one row per key, adds the label value ``y``.
 
-    Scores are gathered to one row per key (at most models x labels cells), so one
-    exchange on the key serves the gathering and the joins. The missing cells of the
-    row are then added and the grid is unfolded in place.
+    Scores are gathered to one row per key, one slot per model and label (both known
+    from the schema), so one exchange on the key serves the gathering and the joins;
+    the slots are then unfolded in place, empty ones with the neutral score.
     """
     width = len(targets)
     names = {"model": _literals(models), "target": _literals(targets)}
     wanted = scores.where(F.col("model").isin(*models) & F.col("target").isin(*targets)).selectExpr(
         key, f"cast((array_position({names['model']}, model) - 1) * {width} "
              f"+ array_position({names['target']}, target) - 1 as int) as c", "cast(score as double) as s")
-    gathered = wanted.groupBy(key).agg(F.collect_list(F.struct("c", "s")).alias("_s"))
-    rows = spine.select(key).join(gathered, key, "left")
+    slots = ", ".join(f"max(CASE WHEN c = {i} THEN s END)" for i in range(len(models) * width))
+    gathered = wanted.groupBy(key).agg(F.expr(f"array({slots})").alias("_s"))
+    # both sides meet on the key's partitioning; broadcasting the gathered side would
+    # leave the unfolding to the few tasks that scan the spine
+    rows = spine.select(key).join(gathered.hint("merge"), key, "left")
     y = []
     if labels is not None:
         rows = rows.join(labels.selectExpr(key, f"cast(array({', '.join(targets)}) as array<int>) as _y"), key, "left")
         y = [f"_y[c % {width}] as y"]
-    held = "coalesce(_s, cast(array() as array<struct<c:int,s:double>>))"
-    missing = f"array_except(sequence(0, {len(models) * width - 1}), transform({held}, e -> e.c))"
-    cells = f"concat({held}, transform({missing}, c -> struct(c as c, {number(default)} as s)))"
-    return rows.selectExpr(key, *[c for c in rows.columns if c == "_y"], f"inline({cells}) as (c, s)").selectExpr(
+    cells = f"coalesce(_s, array_repeat(cast(null as double), {len(models) * width}))"
+    return rows.selectExpr(key, *[c for c in rows.columns if c == "_y"], f"posexplode({cells}) as (c, s)").selectExpr(
         key, f"{names['model']}[cast(c div {width} as int)] as model", f"{names['target']}[c % {width}] as target",
         f"coalesce(s, {number(default)}) as score", *y)
 

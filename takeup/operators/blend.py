@@ -76,6 +76,7 @@ def rank_table(scores: DataFrame, models: Sequence[str], key: str = "customer_id
     """
     spark = scores.sparkSession
     extra = [c for c in ("y",) if c in scores.columns]
+    scores = stage(scores, "aligned")  # read twice: for the distinct values and for the lookup
     ranked = average_ranks(scores, ["model", "target"], "score", key, **lookup)
     if salts is None:
         salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
@@ -93,34 +94,32 @@ def blended(weights: str, ranks: str, k: int) -> str:
     return "(" + " + ".join(f"{weights}[{m}] * {ranks}[{m}]" for m in range(k)) + ")"
 
 
-def _candidates(spark: SparkSession, per_target: Candidates) -> DataFrame:
-    """``(target, grid)``: the label's candidate weights with their positions; one
-    row per label."""
-    rows = [(t, [(o, list(w)) for o, w in ws]) for t, ws in per_target.items()]
-    return spark.createDataFrame(rows, "target string, grid array<struct<o:int,w:array<bigint>>>")
-
-
 def _scored(ranks: DataFrame, candidates: Candidates) -> DataFrame:
+    """``(t, o, n, y, b)``: every row under every candidate of its label; ``t`` is the
+    label's place in sorted order (whole-number keys aggregate fastest). The candidate
+    table has one row per label."""
     k = len(next(iter(candidates.values()))[0][1])
-    grid = _candidates(ranks.sparkSession, candidates)
-    rows = ranks.join(F.broadcast(grid), "target").select("target", "n", "y", "r", F.explode("grid").alias("g"))
-    return rows.selectExpr("target", "n", "y", "g.o as o", f"{blended('g.w', 'r', k)} as b")
+    rows = [(t, i, [(o, list(w)) for o, w in candidates[t]]) for i, t in enumerate(sorted(candidates))]
+    grid = ranks.sparkSession.createDataFrame(rows, "target string, t int, grid array<struct<o:int,w:array<bigint>>>")
+    unfolded = ranks.join(F.broadcast(grid), "target").select("t", "n", "y", "r", F.explode("grid").alias("g"))
+    return unfolded.selectExpr("t", "g.o as o", "n", "y", f"{blended('g.w', 'r', k)} as b")
 
 
 def _bounds(ranks: DataFrame, candidates: Candidates, bins: int, rows_per_label: int) -> list:
     """Lowest and highest possible pair count of every candidate when values are
     only known to their bin: pairs inside a bin may fall either way."""
-    at = f"floor(b * {bins} / ({2 * WHOLE} * n + 1))"
-    counts = (_scored(ranks, candidates).withColumn("bin", F.expr(at)).groupBy("target", "o", "bin")
-              .agg(*[c.alias(n) for n, c in class_counts(F.col("y")).items()]))
+    slot = f"o * {bins}L + cast(b * {bins} div ({2 * WHOLE} * n + 1) as bigint)"
+    counts = (_scored(ranks, candidates).selectExpr("t", f"{slot} as slot", "y").groupBy("t", "slot")
+              .agg(F.expr("sum(cast(y as bigint)) as pos"), F.expr("count(*) as rows"))
+              .selectExpr("t", f"cast(slot div {bins} as int) as o", "slot", "pos", "rows - pos as neg"))
     wide = rows_per_label > LONG_PAIR_ROWS
     kind = "decimal(38,0)" if wide else "bigint"
-    below = counts.selectExpr("*", "coalesce(sum(neg) OVER (PARTITION BY target, o ORDER BY bin "
+    below = counts.selectExpr("*", "coalesce(sum(neg) OVER (PARTITION BY t, o ORDER BY slot "
                                    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) as below")
-    return (below.selectExpr("target", "o", f"{pair_product('pos', 'below', wide)} as sure",
+    return (below.selectExpr("t", "o", f"{pair_product('pos', 'below', wide)} as sure",
                              f"{pair_product('pos', 'neg', wide)} as open")
-            .groupBy("target", "o").agg(F.sum("sure").cast(kind).alias("low"),
-                                        (F.sum("sure") + F.sum("open")).cast(kind).alias("high")).collect())
+            .groupBy("t", "o").agg(F.sum("sure").cast(kind).alias("low"),
+                                   (F.sum("sure") + F.sum("open")).cast(kind).alias("high")).collect())
 
 
 def prune(ranks: DataFrame, candidates: Candidates, rows_per_label: int,
@@ -132,8 +131,9 @@ def prune(ranks: DataFrame, candidates: Candidates, rows_per_label: int,
         if bins * 4 > rows_per_label or max(len(c) for c in candidates.values()) <= 8:
             break
         found: dict[str, list] = {}
+        order = sorted(candidates)
         for r in _bounds(ranks, candidates, bins, rows_per_label):
-            found.setdefault(r["target"], []).append(r)
+            found.setdefault(order[r["t"]], []).append(r)
         kept = {}
         for t, rows in found.items():
             floor = max(r["low"] for r in rows)
@@ -146,13 +146,15 @@ def prune(ranks: DataFrame, candidates: Candidates, rows_per_label: int,
 def exact_areas(ranks: DataFrame, candidates: Candidates, rows_per_label: int | None = None) -> DataFrame:
     """Exact ``(target, o, pos, neg, pairs2, auc)`` of every candidate. With labels
     known to be small a candidate's rows are ordered in one task, in one exchange."""
-    keys = ["target", "o"]
+    keys = ["t", "o"]
     small = rows_per_label is not None and rows_per_label <= DIRECT_ROWS
-    scored = _scored(ranks, candidates)
+    scored = _scored(ranks, candidates).select(*keys, "y", "b")
     if small:
         scored = scored.repartition(*keys)
     counts = distinct_values(scored, keys, "b", class_counts(F.col("y")))
-    return concordance(counts, keys, "b", rows_per_label, direct=small).withColumn("auc", area())
+    areas = concordance(counts, keys, "b", rows_per_label, direct=small)
+    names = "array(" + ", ".join(f"'{t}'" for t in sorted(candidates)) + ")"
+    return areas.selectExpr(f"{names}[t] as target", "o", "pos", "neg", "pairs2").withColumn("auc", area())
 
 
 def first_best(areas: DataFrame) -> dict[str, tuple[int, int, float]]:
