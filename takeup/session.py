@@ -47,6 +47,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def allow_checkpoints(spark: SparkSession) -> None:
+    """Iterative learners cut their lineage with checkpoints when a folder is set."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the checkpoint folder."""
     return f"{checkpoint_dir(spark)}/takeup/{uuid.uuid4().hex}/{name}"
