@@ -76,7 +76,6 @@ def rank_table(scores: DataFrame, models: Sequence[str], key: str = "customer_id
     """
     spark = scores.sparkSession
     extra = [c for c in ("y",) if c in scores.columns]
-    scores = stage(scores, "aligned")  # read twice: for the distinct values and for the lookup
     ranked = average_ranks(scores, ["model", "target"], "score", key, **lookup)
     if salts is None:
         salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)

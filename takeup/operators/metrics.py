@@ -12,9 +12,14 @@ from takeup.operators.ordering import concordance, cumulate, distinct_values
 from takeup.session import stage
 
 
-def average_ranks(scores: DataFrame, group: Sequence[str], value: str, key: str, **lookup) -> DataFrame:
+def average_ranks(scores: DataFrame, group: Sequence[str], value: str, key: str, stored: bool = False,
+                  **lookup) -> DataFrame:
     """Add ``rank2``, twice the average-tie rank of ``value`` in its group (a whole
-    number), ``n``, the group size, and ``pct_rank`` = rank / n."""
+    number), ``n``, the group size, and ``pct_rank`` = rank / n. The scores are read
+    twice, for the distinct values and for the lookup, so they are staged unless they
+    are a stored table already."""
+    if not stored:
+        scores = stage(scores, "scores")
     counts = stage(distinct_values(scores.select(*group, value), group, value, {"ties": F.count("*")}), "values")
     size = counts.count()
     ranks = cumulate(counts, group, value, ["ties"], size).select(
