@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from takeup.llm import decontamination, mixing, quality_rules, simhash
+from takeup.llm import (chat, decontamination, mixing, pii, quality_model, quality_rules, secrets, simhash, url_rules,
+                        warc)
 from takeup.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,17 +23,53 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: A conversation whose texts are made of the template's own markup.
+ODD_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op1_chat_formatting")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame(ODD_CONVERSATION, rows.schema)
+    return chat.chat_report(rows.unionByName(odd))
+
+
 @query("op2_mix_to_weights")
 def mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+@query("op3_pii_surrogates")
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, sf_dir, "documents"))
+
+
 @query("op4_quality_rules")
 def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
     return rows.drop("n_lines")
 
 
+@query("op5_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_url_rules")
+def url_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op7_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op8_warc_round_trip")
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).drop("error")
+
+
 @query("op9_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
