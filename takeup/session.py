@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 MAX_BROADCAST_ROWS = 200_000
 
 _local_dirs: dict[str, str] = {}
+_scopes: dict[str, list[Scope]] = {}
 
 
 def build_session(app: str = "takeup", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,17 +37,60 @@ def build_session(app: str = "takeup", master: str | None = None, **conf: str) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: the session's ``spark.checkpoint.dir``;
-    a temporary folder only where that is unset (local tests)."""
+    """Shared folder for staged tables: the session's ``spark.checkpoint.dir``.
+
+    Only a local master may do without: its temporary folder is seen by all tasks. On a
+    cluster every executor would write to a disk of its own, so there it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {master}")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="takeup-")
     return _local_dirs[app]
 
 
+class Scope:
+    """Collects the tables staged while it is the innermost open scope and deletes them on closing.
+
+    Close it once everything read from them has been written. ``with Scope(spark):`` does so at
+    the end of the block.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+        _scopes.setdefault(spark.sparkContext.applicationId, []).append(self)
+
+    def leave(self) -> None:
+        """Collect no more, delete nothing yet."""
+        opened = _scopes.get(self.spark.sparkContext.applicationId, [])
+        if self in opened:
+            opened.remove(self)
+
+    def close(self) -> None:
+        self.leave()
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+        self.paths = []
+
+    def holds(self, df: DataFrame) -> bool:
+        """Whether ``df`` reads a table of this scope."""
+        own = {path.rstrip("/").rsplit("/", 2)[-2] for path in self.paths}
+        return any(set(name.split("/")) & own for name in df.inputFiles())
+
+    def __enter__(self) -> "Scope":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def allow_checkpoints(spark: SparkSession) -> None:
     """Iterative learners cut their lineage with checkpoints when a folder is set."""
     if spark.conf.get("spark.checkpoint.dir", None) is None:
@@ -66,6 +110,8 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     columnar, so later scans prune columns, and Catalyst knows its size.
     """
     path = new_path(df.sparkSession, name)
+    for scope in _scopes.get(df.sparkSession.sparkContext.applicationId, [])[-1:]:
+        scope.paths.append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
