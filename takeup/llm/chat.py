@@ -115,23 +115,26 @@ def format_conversations(rows: DataFrame, template: Template = instruct_template
         t["role"].alias("role"), t["text"].alias("text")))).alias("o")).select(id_column, "o.*")
 
 
-@F.arrow_udf("struct<n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long>")
-def read_back(formatted: pa.Array, turns: pa.Array, loss: pa.Array) -> pa.Array:
+DIGESTS = "struct<n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long>"
+
+
+def said(formatted: pa.Array, turns: pa.Array, loss: pa.Array) -> pa.Array:
     """Digests of what the formatted text of the default template says."""
     def digest(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
     out = []
     for text, spans, mask in zip(formatted.to_pylist(), turns.to_pylist(), loss.to_pylist()):
-        said = [read_turn(text[s["start"]:s["stop"]]) for s in spans]
+        read = [read_turn(text[s["start"]:s["stop"]]) for s in spans]
         learnt = "".join(unescape(text[s["start"]:s["stop"]]) for s in mask)
-        out.append({"n_turns": len(said), "turns_sha256": digest("".join(f"{r}\n{t}\n" for r, t in said)),
+        out.append({"n_turns": len(read), "turns_sha256": digest("".join(f"{r}\n{t}\n" for r, t in read)),
                     "loss_chars": len(learnt), "loss_sha256": digest(learnt), "formatted_chars": len(text)})
     return pa.array(out, type=pa.struct([("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
                                          ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
 
 
 def chat_report(rows: DataFrame) -> DataFrame:
-    done = format_conversations(rows)
+    """Digests read back from the formatted conversations."""
+    done, read_back = format_conversations(rows), F.arrow_udf(said, DIGESTS)
     return done.select("conv_id", read_back("formatted", "turns", "loss").alias("r"), "rewrites").select(
         "conv_id", "r.*", "rewrites")

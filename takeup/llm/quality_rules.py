@@ -32,10 +32,10 @@ _SPACE = " \t\n\v\f\r"
 
 #: rule: (rate per mille, uses a lower fence as well, least distance of a fence from its quartile)
 RULES = {
-    "word_length": ("1000 * word_chars div n_words", True, 900),
-    "symbols": ("1000 * n_symbols div n_words", False, 80),
+    "word_length": ("1000 * word_chars div greatest(n_words, 1)", True, 900),
+    "symbols": ("1000 * n_symbols div greatest(n_words, 1)", False, 80),
     "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", False, 420),
-    "repeats": ("1000 * n_repeat_words div n_words", False, 230),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", False, 230),
 }
 
 
@@ -76,7 +76,6 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
             len(lines) - len(set(lines)), len(lines), repeated_words(words))
 
 
-@F.pandas_udf(COUNTS)
 def measure(texts: pd.Series) -> pd.DataFrame:
     names = [part.split()[0] for part in COUNTS.split(", ")]
     return pd.DataFrame([text_counts(t) for t in texts], columns=names)
@@ -158,7 +157,7 @@ def measured(docs: DataFrame, text_column: str = "text", lang_column: str = "lan
     bounded_batches(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), source_key(lang_column).alias("lang_key"),
-                       source_key(source_column).alias("source_key"), measure(F.col(text_column)).alias("m"))
+                       source_key(source_column).alias("source_key"), F.pandas_udf(measure, COUNTS)(F.col(text_column)).alias("m"))
     rows = rows.select("row", "lang_key", "source_key", "m.*")
     return stage(rows.withColumn("base_failed", F.expr(base_failed(min_words, max_repeat_percent))), "quality_rows")
 

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from takeup.llm.common import bounded_batches, stage
+from takeup.llm.common import bounded_batches, row_key, stage
 
 BITS = 64
 FANOUT = 8
@@ -263,30 +263,34 @@ def cluster(rows: DataFrame, id_column: str = "doc_id", max_distance: int = 2, l
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 3,
-                    max_distance: int = 2, leaf_size: int = 4096) -> DataFrame:
-    """One row per document: id, ``fp`` (signed long) and ``component_id``."""
+                    max_distance: int = 2, leaf_size: int = 4096, keys: bool = False) -> DataFrame:
+    """One row per document: id, ``fp`` (signed long) and ``component_id``; on request the row's keys."""
     bounded_batches(docs.sparkSession)
-    rows = stage(docs.select(F.col(id_column), fingerprint(text_column, shingle_words).alias("fp")), "simhash_rows")
+    extra = row_key(id_column, text_column) if keys else []
+    rows = stage(docs.select(F.col(id_column), *extra, fingerprint(text_column, shingle_words).alias("fp")), "simhash_rows")
     return cluster(rows, id_column, max_distance, leaf_size)
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The documents that represent their group, with the columns of ``docs``.
 
     Of rows that share the representing id one stays. Rows of a group without any id
     are kept: nothing tells them apart.
     """
-    found = near_duplicates(docs, id_column, **options).select(id_column, "component_id")
-    ids = stage(found.groupBy(id_column).agg(
-        F.min("component_id").alias("_group"), F.count("*").alias("_rows")), "simhash_ids")
-    dropped = stage(ids.where(F.col(id_column).isNull() & F.col("_group").isNotNull()
-                              | (F.col(id_column) != F.col("_group"))).select(id_column), "simhash_dropped")
-    repeated = stage(ids.where((F.col("_rows") > 1) & (F.col(id_column) == F.col("_group"))).select(id_column),
-                     "simhash_repeated")
-    kept = docs.join(dropped.where(F.col(id_column).isNotNull()), id_column, "left_anti")
-    if not dropped.where(F.col(id_column).isNull()).isEmpty():
-        kept = kept.where(F.col(id_column).isNotNull())
+    found = near_duplicates(docs, id_column, text_column, keys=True, **options).where("component_id is not null")
+    rows = stage(found.groupBy("_k1", "_k2", "component_id", (F.col(id_column) == F.col("component_id")).alias("first"))
+                 .agg(F.count("*").alias("n")), "simhash_keys")
+    chosen = rows.where("first").groupBy("component_id").agg(F.min(F.struct("_k1", "_k2", "n")).alias("c")).select("c.*")
+    dropped = stage(rows.join(chosen, ["_k1", "_k2"], "left_anti").select("_k1", "_k2"), "simhash_dropped")
+    repeated = stage(chosen.where("n > 1").select("_k1", "_k2"), "simhash_repeated")
+    k1, k2 = row_key(id_column, text_column)
+
+    def without(df: DataFrame, keys: DataFrame) -> DataFrame:
+        return df.join(keys.alias("x"), (k1 == F.col("x._k1")) & (k2 == F.col("x._k2")), "left_anti")
+
+    kept = without(docs, dropped)
     if repeated.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(repeated, id_column, "left_semi").dropDuplicates([id_column])
-    return kept.join(repeated, id_column, "left_anti").unionByName(once).select(docs.columns)
+        return kept
+    keyed = kept.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), k1, k2)
+    once = keyed.join(repeated, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("row.*")
+    return without(kept, repeated).unionByName(once)
