@@ -65,16 +65,16 @@ def canonical(kind: str, value: str) -> str:
             f" when {kind} = 'iban' then replace({value}, ' ', '') when {kind} = 'ip' then {value} else lower({value}) end")
 
 
-def mentions(keyed: DataFrame) -> DataFrame:
-    """``_k1, _k2, place, value, kind, canon`` of every entity of ``text``.
+def mentions(scanned: DataFrame) -> DataFrame:
+    """``_k1, _k2, place, part, value, kind, canon`` of every entity of ``pieces`` and ``values``.
 
     A name of two words gives its parts as entities of their own (``given_*``, ``surname``),
     so a surname alone still refers to the same person.
     """
-    found = keyed.select("_k1", "_k2", F.expr(f"regexp_extract_all(text, {sql_text(ANY)}, 0)").alias("values"), "text")
-    found = found.where("size(values) > 0").select("_k1", "_k2", F.posexplode(F.expr(
-        f"arrays_zip(values, slice(split(text, {sql_text(ANY)}, -1), 1, size(values)))")).alias("place", "z"))
-    rows = found.select("_k1", "_k2", "place", F.col("z.values").alias("value"), F.col("z").getField("1").alias("lead"))
+    found = scanned.select("_k1", "_k2", F.posexplode(F.expr(
+        "zip_with(slice(pieces, 1, size(values)), values, (p, v) -> struct(v as value, right(p, 24) as lead))"))
+        .alias("place", "z"))
+    rows = found.select("_k1", "_k2", "place", "z.*")
     rows = rows.withColumn("kind", F.expr(kind_of("value")))
     title = f"regexp_extract(lead, '({_ALL_TITLES})[.]? $', 1)"
     gender = " ".join(f"when {title} in ({', '.join(map(sql_text, t))}) then '{g}'" for g, t in TITLES.items())
@@ -157,25 +157,33 @@ def in_form(value: str, kind: str, surrogate: str) -> str:
             f" when {value} = lower({value}) then {surrogate} when {kind} = 'email' then {surrogate} else initcap({surrogate}) end")
 
 
-def pseudonymize(docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``row`` (the columns of ``docs``), ``text`` with surrogates and ``n_entities``."""
-    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *row_key(id_column, text_column),
-                        F.col(text_column).alias("text"))
-    seen = stage(mentions(keyed), "pii_mentions")
+def pseudonymize(docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text",
+                 carry: list[str] | None = None) -> DataFrame:
+    """``row`` (carried columns, default all but the text), ``text`` with surrogates and ``n_entities``.
+
+    One scan writes the texts with their entities; only texts that have any are split,
+    joined with their surrogates and put together again.
+    """
+    carry = [c for c in docs.columns if c != text_column] if carry is None else carry
+    rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), *row_key(id_column, text_column),
+                       F.col(text_column).alias("text"),
+                       F.expr(f"regexp_extract_all(`{text_column}`, {sql_text(ANY)}, 0)").alias("values"))
+    rows = stage(rows, "pii_texts")
+    clean, hit = rows.where("values is null or size(values) = 0"), rows.where("size(values) > 0")
+    hit = hit.withColumn("pieces", F.expr(f"split(text, {sql_text(ANY)}, -1)"))
+    seen = stage(mentions(hit), "pii_mentions")
     table = surrogates(seen.select("kind", "canon").distinct(), key)
     # very frequent entities: the table has one row each, a hot one on the other side is split
     new = seen.join(table, ["kind", "canon"]).withColumn("new", F.expr(in_form("value", "kind", "surrogate")))
-    per_doc = new.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("place", "part", "new")).alias("parts"))
-    per_doc = stage(per_doc.select("_k1", "_k2", F.array_sort("parts").alias("parts")), "pii_replacements")
-    rows = keyed.join(per_doc, ["_k1", "_k2"], "left")
-    pieces = f"split(text, {sql_text(ANY)}, -1)"
-    rebuilt = f"""array_join(flatten(transform({pieces}, (piece, i) -> array(piece, array_join(transform(
+    per_doc = new.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("place", "part", "new"))).alias("parts"))
+    rebuilt = """array_join(flatten(transform(pieces, (piece, i) -> array(piece, array_join(transform(
         filter(parts, p -> p.place = i), p -> p.new), ' ')))), '')"""
-    return rows.select("row", F.expr(f"if(parts is null, text, {rebuilt})").alias("text"),
-                       F.expr("coalesce(size(filter(parts, p -> p.part = 0)), 0)").cast("long").alias("n_entities"))
+    done = hit.join(per_doc, ["_k1", "_k2"]).select("row", F.expr(rebuilt).alias("text"),
+                                                    F.size("values").cast("long").alias("n_entities"))
+    return clean.select("row", "text", F.lit(0).cast("long").alias("n_entities")).unionByName(done)
 
 
 def pii_report(docs: DataFrame, key: str = "takeup", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, text with surrogates, number of entities."""
-    return pseudonymize(docs, key, id_column, text_column).select(
+    return pseudonymize(docs, key, id_column, text_column, [id_column]).select(
         F.col(f"row.{id_column}").alias(id_column), F.col("text").alias(text_column), "n_entities")
