@@ -44,18 +44,32 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)|\\$", lambda m: m[1] or "\\", text, flags=re.DOTALL)
 
 
+_marked: dict[tuple[str, str], str] = {}
+
+
+def _markup(turn: tuple[str, str]) -> str:
+    role, text = turn
+    if role == "user":
+        return f"<s>[INST] {escape(text)} [/INST]"
+    if role == "assistant":
+        return f" {escape(text)} </s>"
+    return f"<s>[ROLE] {escape(role)} [TEXT] {escape(text)} [/ROLE]"
+
+
 def instruct_template(turns: Turns, generation_prompt: bool = False) -> str:
+    """The default template. It remembers turns it has seen, as prefixes repeat them, until ``forget``."""
     out = []
-    for role, text in turns:
-        if role == "user":
-            out.append(f"<s>[INST] {escape(text)} [/INST]")
-        elif role == "assistant":
-            out.append(f" {escape(text)} </s>")
-        else:
-            out.append(f"<s>[ROLE] {escape(role)} [TEXT] {escape(text)} [/ROLE]")
+    for turn in turns:
+        known = _marked.get(turn)
+        if known is None:
+            known = _marked[turn] = _markup(turn)
+        out.append(known)
     return "".join(out) + " " * generation_prompt
 
 
+instruct_template.forget = _marked.clear
+
+
 def read_turn(segment: str) -> tuple[str, str]:
     """Role and text of one formatted turn of the default template."""
     m = _TURN.fullmatch(segment)
@@ -104,7 +118,11 @@ def format_conversations(rows: DataFrame, template: Template = instruct_template
         span = [("start", pa.int32()), ("stop", pa.int32())]
         kind = pa.struct([("formatted", pa.string()), ("turns", pa.list_(pa.struct([("role", pa.string()), *span]))),
                           ("loss", pa.list_(pa.struct(span))), ("rewrites", pa.int32())])
-        return pa.array([render([(t["role"], t["text"]) for t in c.as_py()], template) for c in conversations], type=kind)
+        out = []
+        for c in conversations:
+            out.append(render([(t["role"], t["text"]) for t in c.as_py()], template))
+            getattr(template, "forget", list)()
+        return pa.array(out, type=kind)
 
     empty = F.lit("")
     turns = rows.select(F.col(id_column), F.struct(
