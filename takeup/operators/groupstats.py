@@ -45,14 +45,14 @@ def apply_group_stats(rows: DataFrame, stats: DataFrame, cats: Sequence[str], nu
 
 
 def group_features(train: DataFrame, rows: DataFrame, cats: Sequence[str], nums: Sequence[str],
-                   max_cats: int = 5, max_nums: int = 10, **options) -> DataFrame:
-    """Fit on ``train``, apply to ``rows``: the first five categories and ten numbers."""
+                   max_cats: int | None = None, max_nums: int | None = None, **options) -> DataFrame:
+    """Fit on ``train``, apply to ``rows``; limits are the caller's choice."""
     cats, nums = list(cats[:max_cats]), list(nums[:max_nums])
     return apply_group_stats(rows, stage(fit_group_stats(train, cats, nums), "group_stats"), cats, nums, **options)
 
 
-def pair_features(rows: DataFrame, nums: Sequence[str], first: int = 8) -> DataFrame:
-    """``mult_a_b`` and ``div_a_b`` for every unordered pair of the first columns:
+def pair_features(rows: DataFrame, nums: Sequence[str], first: int | None = None) -> DataFrame:
+    """``mult_a_b`` and ``div_a_b`` for every unordered pair of the (first) columns:
     one narrow projection."""
     made = {}
     for a, b in combinations(nums[:first], 2):
@@ -62,7 +62,7 @@ def pair_features(rows: DataFrame, nums: Sequence[str], first: int = 8) -> DataF
     return rows.selectExpr("*", *[f"{e} as {n}" for n, e in made.items()])
 
 
-def transform_features(rows: DataFrame, nums: Sequence[str], first: int = 20) -> DataFrame:
+def transform_features(rows: DataFrame, nums: Sequence[str], first: int | None = None) -> DataFrame:
     """``log1p_x`` and ``sqrt_x`` of the absolute value."""
     return rows.selectExpr("*", *[f"{fill_clip(f'{f}(abs({finite(c)}))', 0.0)} as {f}_{c}"
                                   for c in nums[:first] for f in ("log1p", "sqrt")])

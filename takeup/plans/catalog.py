@@ -17,7 +17,7 @@ from takeup.operators import (align, assemble, blend, encode, folds, groupstats,
 from takeup.plans import standins as S
 from takeup.plans.inputs import Inputs
 from takeup.plans.oracle import cte, rounded, uniform
-from takeup.roles import cap_columns, clean_feature_list, conform, infer_roles, target_groups
+from takeup.roles import clean_feature_list, conform, infer_roles, target_groups
 from takeup.session import new_path
 from takeup.sources import tables
 
@@ -63,13 +63,6 @@ def _(i: Inputs) -> DataFrame:
     return conform(df, clean_feature_list(wanted, roles.features, limit=3))
 
 
-@query("column_cap", cte("extra") + f"SELECT customer_id, {', '.join(S.EXTRAS[:20])} FROM extra")  # P13
-def _(i: Inputs) -> DataFrame:
-    df = i.extra()
-    capped = cap_columns(infer_roles(df.columns), df.count(), budget_bytes=1e5, max_extra=20)
-    return conform(df, capped.features)
-
-
 @query("parquet_roundtrip", cte("main") + "SELECT customer_id, num_2, (SELECT count(*) FROM main) AS n_rows, "  # S1-S6
        "13::INTEGER AS n_columns FROM main")
 def _(i: Inputs) -> DataFrame:
@@ -823,17 +816,17 @@ _MODEL_COLS = S.NUMS + S.BRAND_COLS + S.TYPE_COLS
 @query("oof_scores_gbt")  # M10 M14 M15 M25
 def _(i: Inputs) -> DataFrame:
     return learn.oof_scores(_learner_base(i), _MODEL_LABELS, learn.boosted(maxIter=3, maxDepth=3),
-                            learn.plain_features(_MODEL_COLS), [0, 1])
+                            learn.plain_features(_MODEL_COLS), range(5))
 
 
 @query("oof_scores_rf")  # M14 M13
 def _(i: Inputs) -> DataFrame:
     own = {"target_1_1": S.BRAND_COLS, "target_4_1": S.TYPE_COLS}
-    return learn.oof_scores(_learner_base(i), _MODEL_LABELS, learn.forest(numTrees=5, maxDepth=4), None, [0, 1],
+    return learn.oof_scores(_learner_base(i), _MODEL_LABELS, learn.forest(numTrees=5, maxDepth=4), None, range(5),
                             prepare_label=lambda t: learn.plain_features(S.NUMS + own[t]))
 
 
 @query("oof_scores_linear")  # M16 F9 F10
 def _(i: Inputs) -> DataFrame:
     return learn.oof_scores(_learner_base(i), _MODEL_LABELS, learn.linear(maxIter=5),
-                            learn.smooth_features(S.NUMS, n_quantiles=100), [0, 1])
+                            learn.smooth_features(S.NUMS, n_quantiles=100), range(5))

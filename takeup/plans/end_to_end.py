@@ -69,15 +69,16 @@ def run(spark: SparkSession, data: Data, out: str, settings: Settings = Settings
         fold.select(key, "fold").join(data.target.select(key, *targets), key), key, "left"))
     is_train = F.col("fold").isNotNull()
 
-    # selection of extra columns on reduced rows
+    # selection of extra columns
     def select() -> DataFrame:
-        sample = folds.reduce_rows(data.target.select(key, *targets), targets, s.sample_ratio, s.seed)
-        rows = data.extra.join(sample, key)
-        gain = None
+        labels = data.target.select(key, *targets)
+        rows, gain = data.extra.join(labels, key), None
         if s.use_gain:
+            # statistics see every row; only the importance models are fitted on a share of them
+            sample = data.extra.join(folds.reduce_rows(labels, targets, s.sample_ratio, s.seed), key)
             kept = [r["feature"] for r in profile.varying(profile.column_profile(rows, extra_cols), s.min_valid)
                     .orderBy("ordinal").select("feature").collect()]
-            gain = learn.gain_importance(rows, kept, targets, parallel=s.parallel, seed=s.seed, **s.gain)
+            gain = learn.gain_importance(sample, kept, targets, parallel=s.parallel, seed=s.seed, **s.gain)
         return selection.select_features(rows, extra_cols, targets, gain, s.top_global, s.top_per_target, s.min_valid)
 
     step("feature_lists", select)
@@ -117,8 +118,8 @@ def run(spark: SparkSession, data: Data, out: str, settings: Settings = Settings
         train = rows.join(spine.where(is_train).select(key), key)
         made = encode.frequency_encode(rows, main_roles.cats)
         made = groupstats.apply_group_stats(
-            made, stage(groupstats.fit_group_stats(train, main_roles.cats[:5], main_roles.nums[:10]), "group_stats"),
-            main_roles.cats[:5], main_roles.nums[:10])
+            made, stage(groupstats.fit_group_stats(train, main_roles.cats, main_roles.nums), "group_stats"),
+            main_roles.cats, main_roles.nums)
         made = groupstats.transform_features(groupstats.pair_features(made, main_roles.nums), main_roles.nums)
         sets = [wide.null_pattern(data.extra, extra_cols, s.block), wide.block_aggregates(data.extra, extra_cols, s.block)]
         train_extra = data.extra.join(spine.where(is_train).select(key), key)

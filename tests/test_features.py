@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from takeup.functions import clean as C
 from takeup.operators import align, assemble, encode, folds, groupstats, labels, profile, quantiles, reduce, selection, wide
-from takeup.roles import KEY, cap_columns, check_features, clean_feature_list, conform, infer_roles, predict_name
+from takeup.roles import KEY, check_features, clean_feature_list, conform, infer_roles, predict_name
 from takeup.session import stage
 from takeup.sources import tables
 
@@ -40,8 +40,6 @@ def test_roles():
     assert (roles.cats, roles.nums, roles.extras, roles.targets) == (["cat_1"], ["num_3"], ["num_feature_7"], ["target_1_1"])
     assert clean_feature_list(["b", KEY, "Column_1", "a", "gone"], ["a", "b"], limit=1) == ["b"]
     assert clean_feature_list(["b", "a"], ["a", "b"], exclude=["b"]) == ["a"]
-    assert cap_columns(roles, 10) == roles
-    assert cap_columns(roles, 10**9, max_extra=0).extras == []
     assert predict_name("target_3_1") == "predict_3_1"
 
 
