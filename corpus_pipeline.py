@@ -2,36 +2,64 @@
 
 ``run`` writes every stage to the shared folder and reads it back. All stages but the last
 return the columns of ``documents``; the last returns the mix in training order.
+
+Tables that a stage wrote on the way are needed until its result has been written, and are deleted
+when the next stage begins (unless that stage's input still reads them).
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from takeup.llm import decontamination, mixing, quality_rules, secrets, simhash
 from takeup.llm.common import read_table, stage
+from takeup.session import Scope
+
+_last: dict[str, Scope] = {}
+
+
+def scoped(step):
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        if app in _last and not _last[app].holds(docs):
+            _last.pop(app).close()
+        scope = Scope(spark)
+        out = step(spark, docs, sf_dir)
+        scope.leave()
+        _last[app] = scope
+        return out
+
+    return run_step
 
 
+@scoped
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the thresholds of their language and source."""
     return quality_rules.keep_good(docs)
 
 
+@scoped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group."""
     return simhash.keep_one(docs)
 
 
+@scoped
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with a benchmark item."""
     return decontamination.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+@scoped
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark."""
     return secrets.redact(docs)
 
 
+@scoped
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus mixed to source weights, one row per pass over a document, in training order."""
     return mixing.mix_documents(docs)
