@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from takeup.llm import (chat, decontamination, mixing, pii, quality_model, quality_rules, secrets, simhash, url_rules,
-                        warc)
+from takeup.llm import (chat, decontamination, mixing, oracle, pii, quality_model, quality_rules, secrets, simhash,
+                        url_rules, warc)
 from takeup.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +34,7 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(rows.unionByName(odd))
 
 
-@query("op2_mix_to_weights")
+@query("op2_mix_to_weights", oracle.MIX)
 def mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
@@ -70,7 +70,7 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).drop("error")
 
 
-@query("op9_benchmark_decontamination")
+@query("op9_benchmark_decontamination", oracle.CONTAMINATION)
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return rows.drop("_k1", "_k2")
