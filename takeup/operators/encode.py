@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from takeup.functions.clean import category_level, number
-from takeup.operators.lookup import keyed_lookup
-from takeup.session import stage
+from takeup.operators.lookup import fitting, keyed_lookup
+from takeup.session import MAX_BROADCAST_ROWS, stage
 
 ALL_FOLDS = -1
 
@@ -27,11 +27,11 @@ def explode_levels(df: DataFrame, cats: Sequence[str], keep: Sequence[str], own_
 # -- which categories qualify ------------------------------------------------
 
 def distinct_levels(df: DataFrame, cats: Sequence[str], max_levels: int = 500) -> DataFrame:
-    """``(cat, n_levels)`` without nulls, exact where it can matter.
+    """``(cat, n_levels, too_many)`` without nulls; ``n_levels`` is exact or null.
 
     A sketch pass (one row out) rules out columns that are far beyond
     ``max_levels``; only the rest are counted exactly, so an identifier-like
-    column never has its levels shuffled. Ruled-out columns report the sketch.
+    column never has its levels shuffled. Above ``max_levels`` there is no number.
     """
     sketch = df.agg(*[F.approx_count_distinct(F.col(c), 0.02).alias(c) for c in cats]).first().asDict()
     exact = [c for c in cats if sketch[c] <= 2 * max_levels]
@@ -39,10 +39,12 @@ def distinct_levels(df: DataFrame, cats: Sequence[str], max_levels: int = 500) -
     parts = []
     if exact:
         levels = explode_levels(df, exact, [], False).groupBy("cat", "level").agg(F.lit(1).alias("one"))
-        parts.append(levels.groupBy("cat").agg(F.count("level").alias("n_levels")))
+        n = levels.groupBy("cat").agg(F.count("level").alias("n"))
+        few = F.col("n") <= max_levels
+        parts.append(n.select("cat", F.when(few, F.col("n")).alias("n_levels"), (~few).alias("too_many")))
     if rough:
-        items = F.array(*[F.struct(F.lit(c).alias("cat"), F.lit(int(sketch[c])).cast("bigint").alias("n_levels"))
-                          for c in rough])
+        items = F.array(*[F.struct(F.lit(c).alias("cat"), F.lit(None).cast("bigint").alias("n_levels"),
+                                   F.lit(True).alias("too_many")) for c in rough])
         parts.append(df.sparkSession.range(1).select(F.inline(items)))
     out = parts[0]
     for p in parts[1:]:
@@ -75,12 +77,13 @@ def frequency_encode(rows: DataFrame, cats: Sequence[str], population: DataFrame
     (train and test together). Null stays null, or becomes 0 with ``replace``, which
     puts the frequency in place of the category."""
     counts = stage(level_counts(population if population is not None else rows, cats), "level_counts")
+    small = fitting(counts, "cat", lookup.get("max_rows", MAX_BROADCAST_ROWS))
     out = rows
     for c in cats:
         one = counts.where((F.col("cat") == c) & F.col("level").isNotNull()).select(
             F.col("level").alias("_level"), "n", F.col("freq").alias("_freq"))
         out = out.withColumn("_level", F.col(c).cast("string"))
-        out = keyed_lookup(out, one, ["_level"], weight="n", spread_by=[key], staged=True, **lookup)
+        out = keyed_lookup(out, one, ["_level"], weight="n", spread_by=[key], staged=True, broadcast=c in small, **lookup)
         if replace:
             out = out.drop("_level", "n").withColumn(c, F.coalesce("_freq", F.lit(0.0))).drop("_freq")
         else:
@@ -108,12 +111,17 @@ def fit_target_means(train: DataFrame, cats: Sequence[str], labels: Sequence[str
     stats = cells.groupBy("cat", "level", "fold").agg(
         F.count("*").alias("n"), *[F.expr(f"sum(cast({t} as double)) as s_{t}") for t in labels])
     # the table below has at most categories x levels x folds rows; staged because
-    # several windows and the full-fit branch read it
+    # both totals, a window and the full-fit branch read it
     stats = stage(stats, "target_sums")
     sums = ["n", *[f"s_{t}" for t in labels]]
-    within = {"c": "cat", "l": "cat, level", "f": "cat, fold"}
-    stats = stats.selectExpr("*", *[f"sum({m}) OVER (PARTITION BY {by}) as {w}_{m}" for w, by in within.items() for m in sums],
-                             "row_number() OVER (PARTITION BY cat, level ORDER BY fold) as first")
+    # one row per category and fold, so it may be broadcast: its size does not grow with rows or levels
+    by_fold = stage(stats.groupBy("cat", "fold").agg(*[F.sum(m).alias(f"f_{m}") for m in sums]), "target_totals")
+    by_cat = stage(by_fold.groupBy("cat").agg(*[F.sum(f"f_{m}").alias(f"c_{m}") for m in sums]), "target_totals")
+    totals = by_fold.join(F.broadcast(by_cat), "cat")
+    # a window holds the folds of one level
+    stats = stats.selectExpr("*", *[f"sum({m}) OVER (PARTITION BY cat, level) as l_{m}" for m in sums],
+                             "row_number() OVER (PARTITION BY cat, level ORDER BY fold) as first"
+                             ).join(F.broadcast(totals), ["cat", "fold"])
     overall = {t: f"c_s_{t} / c_n" for t in labels}
     outside = {t: f"try_divide(c_s_{t} - f_s_{t}, c_n - f_n)" for t in labels} if prior == "fold" else overall
     full = stats.where("first = 1").selectExpr(
@@ -139,13 +147,14 @@ def apply_target_means(rows: DataFrame, encodings: DataFrame, names: dict[str, t
     by_cat: dict[str, dict[str, str]] = {}
     for name, (cat, label) in names.items():
         by_cat.setdefault(cat, {})[name] = label
+    small = fitting(encodings, "cat", lookup.get("max_rows", MAX_BROADCAST_ROWS))
     out = rows.withColumn("_fold", F.expr(f"coalesce({fold}, {ALL_FOLDS})" if fold else f"{ALL_FOLDS}"))
     for cat, wanted in by_cat.items():
         one = encodings.where(f"cat = '{cat}'").selectExpr(
             "level as _level", "fold as _fold", "n as _n", *[f"e_{t} as _e_{name}" for name, t in wanted.items()])
         kept = out.columns
         out = keyed_lookup(out.withColumn("_level", F.expr(level_of(cat, own_null_level))), one, ["_level", "_fold"],
-                           weight="_n", spread_by=[key], staged=True, **lookup)
+                           weight="_n", spread_by=[key], staged=True, broadcast=cat in small, **lookup)
         out = out.selectExpr(*kept, *[f"coalesce(_e_{name}, {number(priors[t])}) as {name}" for name, t in wanted.items()])
     return out.select(*rows.columns, *names)
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from takeup.functions.clean import fill_clip, finite, guard, signed_guard
 from takeup.operators.encode import explode_levels
-from takeup.operators.lookup import keyed_lookup
-from takeup.session import stage
+from takeup.operators.lookup import fitting, keyed_lookup
+from takeup.session import MAX_BROADCAST_ROWS, stage
 
 
 def fit_group_stats(train: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFrame:
@@ -27,12 +27,13 @@ def apply_group_stats(rows: DataFrame, stats: DataFrame, cats: Sequence[str], nu
     """Add ``zscore_<cat>_<num>`` and ``ratio_<cat>_<num>``: one lookup per category
     column serves all its numbers."""
     out, names = rows, []
+    small = fitting(stats, "cat", lookup.get("max_rows", MAX_BROADCAST_ROWS))
     for cat in cats:
         one = stats.where(f"cat = '{cat}'").selectExpr(
             "level as _level", "n as _n", *[f"{m}_{c} as _{m}_{c}" for c in nums for m in ("mean", "std")])
         kept = out.columns
         out = keyed_lookup(out.withColumn("_level", F.col(cat).cast("string")), one, ["_level"], weight="_n",
-                           spread_by=[key], staged=True, **lookup)
+                           spread_by=[key], staged=True, broadcast=cat in small, **lookup)
         made = {}
         for c in nums:
             std = guard(f"coalesce(_std_{c}, 1.0D)")

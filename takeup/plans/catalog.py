@@ -221,7 +221,7 @@ def _(i: Inputs) -> DataFrame:
     return round_doubles(out.select("customer_id", *[f"freq_{c}" for c in S.CATS]), 6)
 
 
-TE_LABELS = ["target_1_1", "target_4_1", "target_5_1"]
+TE_LABELS = S.TARGETS
 _TE_ROWS = """SELECT m.customer_id, fold, cat, level, {labels} FROM (
     SELECT customer_id, cat, level FROM (SELECT customer_id, {levels} FROM main)
     UNPIVOT INCLUDE NULLS (level FOR cat IN ({cats}))) m
@@ -290,15 +290,13 @@ def _(i: Inputs) -> DataFrame:
 
 
 @query("category_eligibility", cte("main") + " UNION ALL ".join(
-    f"SELECT '{c}' AS cat, CASE WHEN n BETWEEN 2 AND 500 THEN n END AS n_levels, n BETWEEN 2 AND 500 AS eligible "
+    f"SELECT '{c}' AS cat, CASE WHEN n <= 500 THEN n END AS n_levels, n > 500 AS too_many, n BETWEEN 2 AND 500 AS eligible "
     f"FROM (SELECT count(DISTINCT {c}) AS n FROM main WHERE split='train')" for c in [*S.CATS, "customer_id", "split"]))  # A8 P17
 def _(i: Inputs) -> DataFrame:
     names = [*S.CATS, "customer_id", "split"]
     train = S.train_keys(i.main())
     good = set(encode.eligible_categories(train, names))
-    out = encode.distinct_levels(train, names)
-    ok = F.col("cat").isin(*good)
-    return out.select("cat", F.when(ok, F.col("n_levels")).alias("n_levels"), ok.alias("eligible"))
+    return encode.distinct_levels(train, names).withColumn("eligible", F.col("cat").isin(*good))
 
 
 # -- numeric families --------------------------------------------------------------
@@ -734,12 +732,12 @@ def _(i: Inputs) -> DataFrame:
     return _weights(i, blend.search_weights(_train_ranks(i, targets=_FOUR), 4), MODELS)
 
 
-@query("blend_ablation", _blend_sql(["m1", "m2", "m4"], _simplex_sql(3, 10)) + f"""SELECT 'without m3' AS blend,
+@query("blend_ablation", _blend_sql(["m1", "m2", "m4"], _simplex_sql(3, 5)) + f"""SELECT 'without m3' AS blend,
        {rounded('avg(auc) FILTER (WHERE p > 0 AND p < n)', 6)} AS mean_auc, (count(*) FILTER (WHERE p > 0 AND p < n)) AS n_labels FROM best""")  # M20 U5
 def _(i: Inputs) -> DataFrame:
     models = [m for m in MODELS if m != "m3"]
     ranks = _train_ranks(i, models)
-    found = blend.search_weights(ranks, 3, step=10)
+    found = blend.search_weights(ranks, 3)
     usable = labels.eligible(labels.label_stats(i.train_targets(), S.TARGETS), both_classes=True)
     table = blend.weights_table(i.spark, found, ["w"]).join(F.broadcast(usable.select("target")), "target")
     return round_doubles(table.agg(F.lit("without m3").alias("blend"), F.avg("auc").alias("mean_auc"),
@@ -754,7 +752,7 @@ def _(i: Inputs) -> DataFrame:
     return round_doubles(blend.apply_weights(blend.rank_table(test, MODELS), found).select("customer_id", "target", "score"), 6)
 
 
-_THREE = _blend_sql(["m1", "m2", "m3"], _simplex_sql(3, 10))
+_THREE = _blend_sql(["m1", "m2", "m3"], _simplex_sql(3, 5))
 
 
 @query("blend_report", _THREE.rstrip() + f""", w AS ({_weights_out(['m1', 'm2', 'm3'])}) SELECT model,
@@ -762,7 +760,7 @@ _THREE = _blend_sql(["m1", "m2", "m3"], _simplex_sql(3, 10))
        count(*) FILTER (WHERE weight > 0.01) AS n_used FROM w GROUP BY 1""")  # A25 M23
 def _(i: Inputs) -> DataFrame:
     models = MODELS[:3]
-    found = blend.search_weights(_train_ranks(i, models), 3, step=10)
+    found = blend.search_weights(_train_ranks(i, models), 3)
     return round_doubles(blend.blend_report(blend.weights_table(i.spark, found, models)))
 
 
@@ -784,7 +782,7 @@ _LOGIT = "ln(least(greatest({p},1e-7),1-1e-7)/(1-least(greatest({p},1e-7),1-1e-7
        ", s AS (", ", template AS (SELECT customer_id FROM splits WHERE split='test' UNION ALL SELECT -1), s AS (", 1))  # F4 J9 M21 M22
 def _(i: Inputs) -> DataFrame:
     models = MODELS[:3]
-    found = blend.search_weights(_train_ranks(i, models), 3, step=10)
+    found = blend.search_weights(_train_ranks(i, models), 3)
     test = align.align_scores(S.test_keys(i.target()), i.score(), models, S.TARGETS)
     blended = blend.apply_weights(blend.rank_table(test, models), found)
     return round_doubles(publish.submission(blended, i.template(), S.TARGETS))

@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A staged table with at most this many rows may be broadcast; beyond it the
-# lookup is a shuffle join (see operators.lookup).
+# Staged tables with at most this many rows each, and this many bytes together, may be
+# broadcast; beyond it the lookup is a shuffle join (see operators.lookup).
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 _local_dirs: dict[str, str] = {}
 _scopes: dict[str, list[Scope]] = {}

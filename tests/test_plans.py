@@ -1,8 +1,11 @@
 """Shape of the physical plans."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from takeup.operators import assemble, groupstats, profile, wide
+from takeup.operators import assemble, encode, groupstats, profile, wide
+from takeup.operators.lookup import fitting, keyed_lookup
 from takeup.sources import tables
 
 
@@ -66,3 +69,37 @@ def test_partitions_do_not_change_results(spark):
     stats = [groupstats.fit_group_stats(d, ["cat_1"], ["num_1"]).select(F.sum("mean_num_1")).first()[0]
              for d in (df, df.repartition(7), df.coalesce(1))]
     assert max(stats) - min(stats) < 1e-9
+
+
+def test_target_means_do_not_gather_a_category(spark):
+    rows = spark.range(2000).selectExpr("string(id % 700) as cat_1", "string(id % 3) as cat_2", "int(id % 5) as fold", "id % 2 as t")
+    for prior in ("global", "fold"):
+        text = physical(encode.fit_target_means(rows, ["cat_1", "cat_2"], ["t"], "fold", prior=prior))
+        assert "hashpartitioning(cat#" in text and not re.search(r"hashpartitioning\(cat#\d+, \d+\)", text)
+        assert not re.search(r"Window \[[^\n]*\], \[cat#\d+(, fold#\d+)?\]", text)
+
+
+def test_lookup_spreads_null_and_unseen_hot_keys(spark):
+    rows = spark.range(40000).selectExpr("id", "case when id % 2 = 0 then null when id % 4 = 1 then 'unseen' else string(id % 5003) end as k")
+    table = spark.range(5003).selectExpr("string(id) as k", "id * 2 as v", "1 as n")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        for bound in ({"max_rows": 10}, {"max_bytes": 1000}):
+            out = keyed_lookup(rows, table, ["k"], weight="n", spread_by=["id"], **bound)
+            sizes = [x["count"] for x in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 40000 and max(sizes) < 2 * 40000 / 16
+            wrong = "not (v <=> if(k is null or k = 'unseen', null, 2 * bigint(try_cast(k as int))))"
+            assert out.where(wrong).count() == 0
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_broadcasts_of_one_call_share_a_bound(spark):
+    table = spark.range(300).selectExpr("string(id % 3) as part", "repeat('x', int(100 * (id % 3))) as level")
+    assert fitting(table, "part") == {"0", "1", "2"}
+    assert fitting(table, "part", max_bytes=20000) == {"0", "1"}
+    assert fitting(table, "part", max_rows=99) == set()
