@@ -53,3 +53,52 @@ named AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id, ',' OR
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+#: quartiles are read off the sorted cells; a fence is compared per rule and joined by group
+QUALITY = rf"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS l, coalesce('=' || source, '') AS s,
+    coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(w[i:i + 2], ' ') AS three FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM doc)),
+often AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, three) > 1),
+repeated AS (SELECT rid, count(DISTINCT p)::BIGINT AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS p FROM often) GROUP BY rid),
+counted AS (SELECT rid, doc_id, l, s, len(w)::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n, 0) AS n_repeat_words
+    FROM doc LEFT JOIN repeated USING (rid)),
+base AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+rate AS (SELECT rid, l, s, base_failed, unnest([
+    struct_pack(rule := 'length', slack := 900, v := 1000 * word_chars // greatest(n_words, 1)),
+    struct_pack(rule := 'symbols', slack := 80, v := 1000 * n_symbols // greatest(n_words, 1)),
+    struct_pack(rule := 'lines', slack := 420, v := 1000 * n_dup_lines // greatest(len(lines), 1)),
+    struct_pack(rule := 'repeats', slack := 230, v := 1000 * n_repeat_words // greatest(n_words, 1))], recursive := true) FROM base),
+cells AS (SELECT l, s, rule, v // (1 << greatest(length(bin(v)) - 6, 0)) * (1 << greatest(length(bin(v)) - 6, 0)) AS cell
+    FROM rate WHERE NOT base_failed),
+level AS (SELECT l, s, rule, count(*) AS n, list_sort(list(cell)) AS c, grouping(l) AS all_l, grouping(s) AS all_s FROM cells
+    GROUP BY GROUPING SETS ((l, s, rule), (l, rule), (rule))),
+quart AS (SELECT *, c[(n + 3) // 4] AS q1, c[(3 * n + 3) // 4] AS q3 FROM level),
+fence AS (SELECT own.l, own.s, own.rule, CASE WHEN own.n >= 100 THEN own.q1 WHEN lang.n >= 100 THEN lang.q1 ELSE total.q1 END AS q1,
+    CASE WHEN own.n >= 100 THEN own.q3 WHEN lang.n >= 100 THEN lang.q3 ELSE total.q3 END AS q3
+    FROM quart own JOIN quart lang ON own.l = lang.l AND own.rule = lang.rule AND lang.all_l = 0 AND lang.all_s = 1
+    JOIN quart total ON own.rule = total.rule AND total.all_l = 1 WHERE own.all_s = 0),
+judged AS (SELECT rid, bool_and(v <= q3 + greatest(4 * (q3 - q1), slack) AND (rule <> 'length' OR v >= q1 - greatest(4 * (q3 - q1), slack))) AS fits
+    FROM rate JOIN fence USING (l, s, rule) GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND coalesce(fits, false) AS kept FROM base LEFT JOIN judged USING (rid)"""
+
+
+#: markup of a turn: 18 characters for user, 6 for assistant, 26 and the role for others; one more for each control string or backslash in a text
+_ESCAPED = r"length({0}) + len(regexp_extract_all({0}, '</?s>|\[/?INST\]|\[/?ROLE\]|\[TEXT\]|\\'))"
+CHAT = rf"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations UNION ALL
+    SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum({_ESCAPED.format('text')} + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6
+        ELSE 26 + {_ESCAPED.format('role')} END)::BIGINT AS formatted_chars, 0::INTEGER AS rewrites
+FROM turns GROUP BY conv_id"""

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 ODD_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
-@query("op1_chat_formatting")
+@query("op1_chat_formatting", oracle.CHAT)
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame(ODD_CONVERSATION, rows.schema)
@@ -44,7 +44,7 @@ def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_table(spark, sf_dir, "documents"))
 
 
-@query("op4_quality_rules")
+@query("op4_quality_rules", oracle.QUALITY)
 def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
     return rows.drop("n_lines")
