@@ -102,3 +102,15 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     sum({_ESCAPED.format('text')} + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6
         ELSE 26 + {_ESCAPED.format('role')} END)::BIGINT AS formatted_chars, 0::INTEGER AS rewrites
 FROM turns GROUP BY conv_id"""
+
+
+#: a base32 digit is five bits, found in two neighbouring hexadecimal digits of the SHA-1
+_NIBBLE = "(strpos('0123456789abcdef', substr(hex, {0}, 1)) - 1)"
+ARCHIVE = rf"""
+WITH page AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+named AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, list_aggregate(list_transform(range(0, 160, 5), lambda b:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((((16 * {_NIBBLE.format('1 + b // 4')} + {_NIBBLE.format('2 + b // 4')})
+        >> (3 - b % 4)) & 31))::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY body) AS newest FROM page)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> newest THEN newest END AS refers_to FROM named"""

@@ -65,7 +65,7 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-@query("op8_warc_round_trip")
+@query("op8_warc_round_trip", oracle.ARCHIVE)
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages")).drop("error")
 
