@@ -251,21 +251,21 @@ def _(i: Inputs) -> DataFrame:
     return round_doubles(out.select("customer_id", *[f"te_{c}_{t}" for t in TE_LABELS for c in S.CATS]), 6)
 
 
-_TE_ALL = S.TARGETS[:-1]
-
-
-@query("oof_target_encode_matrix", _te_ctes(_TE_ALL).rstrip() + f""",
+@query("oof_target_encode_matrix", _te_ctes(S.TARGETS).rstrip() + f""",
      long AS (SELECT customer_id, fold, 'te_'||cat||'_'||target AS name, cat, target, e FROM encoded
-              UNPIVOT (e FOR target IN ({', '.join(_TE_ALL)}))),
+              UNPIVOT (e FOR target IN ({', '.join(S.TARGETS)})) WHERE target IN (SELECT target FROM names)),
      best AS (SELECT name, std FROM (SELECT name, cat, ord, stddev_pop(e) AS std FROM long JOIN names USING (target)
               WHERE fold IS NOT NULL GROUP BY 1,2,3) ORDER BY std DESC, ord, cat LIMIT 20)
      SELECT name, {rounded('std', 6)} AS std, count(*) AS n, {rounded('sum(e)', 3)} AS total
      FROM long JOIN best USING (name) GROUP BY name, std""".replace(
-         "long AS (", "names AS (SELECT * FROM (VALUES " + ", ".join(f"({k},'{t}')" for k, t in enumerate(_TE_ALL))
-         + ") v(ord, target)),\n     long AS ("))  # J11 T3 A15
+         "long AS (", "names AS (SELECT * FROM (VALUES " + ", ".join(f"({k},'{t}')" for k, t in enumerate(S.TARGETS))
+         + f") v(ord, target) JOIN (FROM (SELECT {', '.join(f'avg({t}) AS {t}' for t in S.TARGETS)} FROM target JOIN folds USING (customer_id))"
+         f" UNPIVOT (rate FOR target IN ({', '.join(S.TARGETS)}))) USING (target) WHERE rate >= 0.002),\n     long AS ("))  # J11 T3 A15
 def _(i: Inputs) -> DataFrame:
     rows = i.main_with_folds()
-    out = encode.oof_target_encode(rows, S.CATS, _TE_ALL, top=20)
+    stats = labels.label_stats(rows.where("fold IS NOT NULL"), S.TARGETS)
+    usable = [t["target"] for t in labels.eligible(stats, min_rate=0.002).orderBy("ordinal").collect()]
+    out = encode.oof_target_encode(rows, S.CATS, usable, top=20)
     made = [c for c in out.columns if c.startswith("te_")]
     stats = profile.column_profile(out.where("fold IS NOT NULL"), made).selectExpr("feature as name", "std0 as std")
     cells = profile.named(profile.column_cells(out, made), made, name="name")
@@ -710,11 +710,10 @@ def _(i: Inputs) -> DataFrame:
     return _weights(i, blend.search_weights(_train_ranks(i, models), 3), models)
 
 
-_FOUR = ["target_1_1", "target_4_1", "target_5_1"]
 _DELTA = "(SELECT unnest(range(11))*2-10 AS d{k})"
 
 
-@query("blend_four_models", _blend_sql(MODELS, _simplex_sql(4, 10), targets=_FOUR).rstrip() + f""",
+@query("blend_four_models", _blend_sql(MODELS, _simplex_sql(4, 10)).rstrip() + f""",
        fine AS (SELECT target, p, n, (d1+10)*1000000+(d2+10)*1000+(d3+10) AS o, w1+d1 AS w1, w2+d2 AS w2, w3+d3 AS w3, w4-d1-d2-d3 AS w4
          FROM best JOIN grid USING (o), {', '.join(_DELTA.format(k=k) for k in (1, 2, 3))}
          WHERE least(w1+d1, w2+d2, w3+d3, w4-d1-d2-d3) >= 0 AND greatest(w1+d1, w2+d2, w3+d3, w4-d1-d2-d3) <= 100),
@@ -729,7 +728,7 @@ _DELTA = "(SELECT unnest(range(11))*2-10 AS d{k})"
            f"{rounded('CASE WHEN p=0 OR p=n THEN 0.5 ELSE (s2/2.0 - p*(p+1)/2.0)/(p*(n-p)) END', 6)} AS auc FROM won"
            for k in (1, 2, 3, 4)))  # M18 coarse and fine
 def _(i: Inputs) -> DataFrame:
-    return _weights(i, blend.search_weights(_train_ranks(i, targets=_FOUR), 4), MODELS)
+    return _weights(i, blend.search_weights(_train_ranks(i), 4), MODELS)
 
 
 @query("blend_ablation", _blend_sql(["m1", "m2", "m4"], _simplex_sql(3, 5)) + f"""SELECT 'without m3' AS blend,

@@ -1,13 +1,16 @@
 """The whole chain: selection, features, out-of-fold models, blend, submission.
 
 Every step writes its result below ``out`` and is skipped when it is already
-there, so a run that was interrupted goes on where it stopped.
+there from the same settings, so a run that was interrupted goes on where it stopped.
+Other inputs need another ``out``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cache
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -60,8 +63,11 @@ def run(spark: SparkSession, data: Data, out: str, settings: Settings = Settings
     targets = list(s.targets or infer_roles(data.target.columns).targets)
     assemble.assert_key_aligned(data.main.select(key), data.extra.select(key))
 
+    made_with = f"{s} {targets}"
+    own_store = f"settings={md5(made_with.encode()).hexdigest()}"
+
     def step(name: str, build) -> DataFrame:
-        return tables.reuse_or_build(spark, f"{out}/{name}", build)
+        return tables.reuse_or_build(spark, f"{out}/{name}", build, made_with)
 
     fold = step("folds", lambda: folds.multilabel_folds(data.target, targets, k=s.folds, seed=s.seed))
     # test clients have a null fold and null labels
@@ -96,7 +102,7 @@ def run(spark: SparkSession, data: Data, out: str, settings: Settings = Settings
         base = base.join(spine, key)
         scores = learn.oof_scores(base, targets, learn.boosted("first", learn.FIRST_STAGE, **s.first_stage),
                                   learn.plain_features([*main_roles.cats, *main_roles.nums, *used]), range(s.folds),
-                                  store=f"{out}/first_scores", parallel=s.parallel, seed=s.seed)
+                                  store=f"{out}/first_scores/{own_store}", parallel=s.parallel, seed=s.seed)
         wide_scores = align.to_wide(align.fold_average(scores), targets, "meta_")
         filled = data.main.select(key).join(wide_scores, key, "left").na.fill(0.0)
         return wide.cross_target_features(filled, targets)
@@ -145,7 +151,7 @@ def run(spark: SparkSession, data: Data, out: str, settings: Settings = Settings
     learner_rows = spark.read.parquet(f"{out}/base").join(spine, key)
 
     # models
-    store = f"{out}/scores"
+    store = f"{out}/scores/{own_store}"
     own = {t: clean_feature_list(tables.load_feature_list(spark, f"{out}/feature_lists", "target", t),
                                  data.extra.columns, exclude=features) for t in targets}
     wanted = sorted({c for cols in own.values() for c in cols})
@@ -165,10 +171,14 @@ def run(spark: SparkSession, data: Data, out: str, settings: Settings = Settings
     train_keys, test_keys = spine.where(is_train).select(key), spine.where(~is_train).select(key)
     oof = align.align_scores(train_keys, scores.where("split = 'train'"), models, targets, labels=spine)
     step("solo_auc", lambda: metrics.auc(oof, ["model", "target"]))
-    found = blend.search_weights(blend.rank_table(oof, models), len(models))
-    step("weights", lambda: blend.weights_table(spark, found, models))
+
+    @cache
+    def found() -> dict:
+        return blend.search_weights(blend.rank_table(oof, models), len(models))
+
+    step("weights", lambda: blend.weights_table(spark, found(), models))
     test = align.align_scores(test_keys, align.fold_average(scores.where("split = 'test'")), models, targets)
     step("submission", lambda: publish.submission(
-        blend.apply_weights(blend.rank_table(test, models), found), data.template, targets))
+        blend.apply_weights(blend.rank_table(test, models), found()), data.template, targets))
     return {name: spark.read.parquet(f"{out}/{name}") for name in
             ("folds", "feature_lists", "meta", "engineered", "target_encodings", "base", "solo_auc", "weights", "submission")}

@@ -302,5 +302,8 @@ def test_feature_lists_and_reuse(spark, tmp_path):
     for _ in range(2):
         tables.reuse_or_build(spark, str(tmp_path / "art"), lambda: built.append(1) or lists)
     assert built == [1]
+    for settings in ("other", "other"):
+        tables.reuse_or_build(spark, str(tmp_path / "art"), lambda: built.append(2) or lists, settings)
+    assert built == [1, 2] and spark.read.parquet(str(tmp_path / "art")).columns == lists.columns
     tables.save(lists, str(tmp_path / "f"), floats=True)
     assert dict(spark.read.parquet(str(tmp_path / "f")).dtypes)["score"] == "float"
