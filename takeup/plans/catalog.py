@@ -477,22 +477,37 @@ _SEL = dict(
              (row_number() OVER (PARTITION BY target ORDER BY score DESC, ord))::INTEGER AS rank, score FROM e QUALIFY rank <= 15""")
 
 
-def _selected(i: Inputs) -> DataFrame:
-    sample = folds.reduce_rows(i.train_targets(), S.TARGETS)
-    rows = i.extra().join(sample, "customer_id")
+_OVERLAP = """SELECT
+       (SELECT count(DISTINCT feature) FROM lists WHERE scope='target') AS n_distinct,
+       (SELECT count(*) FROM lists WHERE scope='global' AND rank <= 30 AND feature IN
+         (SELECT feature FROM lists WHERE scope='target')) AS n_in_global"""
+# the same statistics over every train row
+_SEL_ALL = {**_SEL, "sample": "SELECT customer_id FROM train_target"}
+
+
+def _selected(i: Inputs, reduced: bool = False) -> DataFrame:
+    rows = i.extra().join(folds.reduce_rows(i.train_targets(), S.TARGETS), "customer_id") if reduced else i.train_extra_targets()
     return selection.select_features(rows, S.EXTRAS, S.TARGETS, top_global=40, top_per_target=15, min_valid=20)
 
 
 @query("feature_selection", cte("train_target", "long_target", "extra_cells", **_SEL)
        + f"SELECT scope, target, feature, rank, {rounded('score')} AS score FROM lists")  # M8 P14 P15 A4 T1 T2
+def _(i: Inputs) -> DataFrame:
+    return round_doubles(_selected(i, reduced=True))
+
+
+@query("feature_overlap", cte("train_target", "long_target", "extra_cells", **_SEL) + _OVERLAP)  # A26 U3
+def _(i: Inputs) -> DataFrame:
+    return selection.feature_overlap(_selected(i, reduced=True), 30)
+
+
+@query("feature_selection_all_rows", cte("train_target", "long_target", "extra_cells", **_SEL_ALL)
+       + f"SELECT scope, target, feature, rank, {rounded('score')} AS score FROM lists")  # M8 P14 P15 A4 T1 T2
 def _(i: Inputs) -> DataFrame:
     return round_doubles(_selected(i))
 
 
-@query("feature_overlap", cte("train_target", "long_target", "extra_cells", **_SEL) + """SELECT
-       (SELECT count(DISTINCT feature) FROM lists WHERE scope='target') AS n_distinct,
-       (SELECT count(*) FROM lists WHERE scope='global' AND rank <= 30 AND feature IN
-         (SELECT feature FROM lists WHERE scope='target')) AS n_in_global""")  # A26 U3
+@query("feature_overlap_all_rows", cte("train_target", "long_target", "extra_cells", **_SEL_ALL) + _OVERLAP)  # A26 U3
 def _(i: Inputs) -> DataFrame:
     return selection.feature_overlap(_selected(i), 30)
 

@@ -4,8 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from takeup.operators import assemble, encode, groupstats, profile, wide
+from takeup.operators import assemble, encode, groupstats, profile, selection, wide
 from takeup.operators.lookup import fitting, keyed_lookup
+from takeup.plans import catalog
+from takeup.plans.inputs import Inputs
 from takeup.sources import tables
 
 
@@ -103,3 +105,16 @@ def test_broadcasts_of_one_call_share_a_bound(spark):
     assert fitting(table, "part") == {"0", "1", "2"}
     assert fitting(table, "part", max_bytes=20000) == {"0", "1"}
     assert fitting(table, "part", max_rows=99) == set()
+
+
+def test_selection_sees_every_train_row(spark, sf_dir, monkeypatch):
+    seen = {}
+
+    def counted(rows, *args, **options):
+        seen["rows"] = rows.count()
+        return select(rows, *args, **options)
+
+    select = selection.select_features
+    monkeypatch.setattr(selection, "select_features", counted)
+    catalog.QUERIES["feature_overlap_all_rows"](spark, sf_dir)
+    assert seen["rows"] == Inputs(spark, sf_dir).train_targets().count()
