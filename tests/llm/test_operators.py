@@ -228,6 +228,37 @@ def test_automaton_learns_a_format():
     assert not any(model.accepts(v) for v in ("ThisIsJustALongIdentifierName0", "snake_case_identifier_number_12", "=" * 39 + "a1"))
 
 
+@pytest.mark.parametrize("form", ["letters", "dotted", "digits"])
+def test_learned_formats_without_their_keyword(form):
+    rng = np.random.default_rng(8)
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    make = {"letters": lambda: draw(letters, 13), "dotted": lambda: draw(letters, 6) + "." + draw(digits, 6),
+            "digits": lambda: draw(digits, 12)}[form]
+    words = ["".join(rng.choice(["inter", "nation", "al", "ization", "form", "ation", "char", "acter", "istic", "respons"], 4))
+             for _ in range(600)]
+    words = [w for w in words if len(w) >= 12]
+    model = secrets.Automaton([make() for _ in range(200)])
+    hidden = [make() for _ in range(50)]
+    tokens = [s[3] for t in hidden + words for s in secrets.scan(f"so {t} is left")[1]]
+    assert set(hidden + words) <= set(tokens)
+    ordinary = secrets.Background(tokens)
+    assert np.mean([model.accepts(h, ordinary.score(h)) for h in hidden]) > 0.8
+    assert np.mean([model.accepts(w, ordinary.score(w)) for w in words]) < 0.01
+
+
+def test_partly_covered_tokens_and_short_ones_are_candidates():
+    assert secrets.scan("hunter2hunt3r")[1] == [("inferred", 0, 13, "hunter2hunt3r")]
+    assert ("inferred", 4, 32, "ghp_0123456789abcdef0123XYZQ") in secrets.scan("key ghp_0123456789abcdef0123XYZQ")[1]
+    assert secrets.scan("password=hunter2hunt3r")[1] == []
+
+
+def test_rare_formats_share_an_automaton(spark):
+    texts = [f"AKIA{'Q7' * 6}{i}{i}" for i in range(10, 13)] + [f"token={'Kq3' * 4}{i}" for i in range(3)]
+    rows = secrets.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert set(secrets.train(rows)) == {"pooled"}
+
+
 # -- 2 ----------------------------------------------------------------------------
 
 def test_targets_and_mix(docs, rows):
