@@ -31,13 +31,14 @@ _ALL_TITLES = "|".join(t for titles in TITLES.values() for t in titles)
 
 #: type: pattern; the first that matches the whole value names its type
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![\p{L}\p{M}\p{N}_.%+-])[\p{L}\p{M}\p{N}_.%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ -]?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
-             r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){2,4}(?![0-9])",
+             r"|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+             r"|(?<![0-9A-Za-z.-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])",
     "name": rf"\p{{Lu}}(?<=(?<!\p{{L}})(?:{_ALL_TITLES})\.? \p{{Lu}})[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -94,7 +95,7 @@ def _draw(key: str) -> str:
     letters = "translate(h, '0123456789', 'ghijklmnop')"
     fill = f"""array_join(transform(split(canon, ''), (c, i) -> case
         when c rlike '[0-9]' then substring({digits}, i % 64 + 1, 1)
-        when c rlike '[a-z]' then substring({letters}, i % 64 + 1, 1)
+        when c rlike '[a-z]' or c rlike '[^\\\\x00-\\\\x7F]' then substring({letters}, i % 64 + 1, 1)
         when c rlike '[A-Z]' and i > 1 then upper(substring({letters}, i % 64 + 1, 1)) else c end), '')"""
     # numbers keep their first digit: network of a card, country of a phone number
     number = f"concat(left(canon, 1), substring({digits}, 2, length(canon) - 1))"

@@ -441,6 +441,18 @@ def test_surrogates(spark):
     assert pii.pii_report(df, "other key").where("doc_id = 0").first().text != text[0]
 
 
+def test_letters_beyond_ascii_and_other_phone_forms(spark):
+    texts = ["x josé.garcia@x.es y", "x josé@x.es y", "x ana@bücher.de y", "call 555-123-4567.", "call +1.212.555.1234!", "or 555.123.4567 now"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pii_report(df, "k").collect()}
+    assert [got[i].n_entities for i in range(6)] == [1] * 6
+    for i in range(3):
+        assert re.fullmatch("x [a-z.]+@[a-z.]+ y", got[i].text) and len(got[i].text) == len(texts[i])
+        assert not re.search("jos|garcia|ana|cher", got[i].text)
+    assert re.fullmatch(r"call 5\d\d-\d{3}-\d{4}\.", got[3].text) and re.fullmatch(r"call \+1\.\d{3}\.\d{3}\.\d{4}!", got[4].text)
+    assert re.fullmatch(r"or 5\d\d\.\d{3}\.\d{4} now", got[5].text) and all(got[i].text != texts[i] for i in range(6))
+
+
 def test_surrogates_stay_distinct(spark):
     df = spark.createDataFrame([(i, f"a@b{i % 10}.cc x{i}@y.zz") for i in range(300)], "doc_id long, text string")
     got = pii.pii_report(df).collect()
