@@ -806,7 +806,7 @@ def _(i: Inputs) -> DataFrame:
 
 @query("pca_features")  # M7
 def _(i: Inputs) -> DataFrame:
-    return reduce.pca_features(S.train_keys(i.extra()), i.extra(), S.EXTRAS, k=10)
+    return reduce.pca_features(S.train_keys(i.extra()), i.extra(), S.EXTRAS, k=30)
 
 
 _MODEL_LABELS = ["target_1_1", "target_4_1"]

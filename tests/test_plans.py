@@ -118,3 +118,8 @@ def test_selection_sees_every_train_row(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(selection, "select_features", counted)
     catalog.QUERIES["feature_overlap_all_rows"](spark, sf_dir)
     assert seen["rows"] == Inputs(spark, sf_dir).train_targets().count()
+
+
+def test_components_are_the_operators_thirty(spark, sf_dir):
+    out = catalog.QUERIES["pca_features"](spark, sf_dir)
+    assert sum(f.name != "customer_id" for f in out.schema.fields) == 30
