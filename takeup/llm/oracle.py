@@ -114,3 +114,30 @@ named AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, list_aggregate(
     max(page_id) OVER (PARTITION BY body) AS newest FROM page)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN page_id <> newest THEN newest END AS refers_to FROM named"""
+
+
+#: the CRC table by eight halvings of every byte, and the CRC of every distinct run of words byte by byte
+RESAMPLING = rf"""
+WITH RECURSIVE step AS (SELECT b::BIGINT AS b, b::BIGINT AS c, 0 AS k FROM range(256) t(b)
+    UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM step WHERE k < 8),
+tab AS (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8),
+doc AS (SELECT row_number() OVER () AS rid, doc_id, {_LETTERS} AS w FROM documents),
+item AS (SELECT {_LETTERS} AS w FROM benchmark),
+doc_gram AS (SELECT rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM doc),
+item_gram AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM item),
+gram AS (SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM doc_gram UNION SELECT g FROM item_gram)),
+hashed AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2),
+        lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM gram, tab),
+ds AS (SELECT bucket, count(*) AS s FROM doc_gram JOIN hashed USING (g) GROUP BY 1),
+bt AS (SELECT bucket, count(*) AS t FROM item_gram JOIN hashed USING (g) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM ds) + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM bt), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM ds LEFT JOIN bt USING (bucket)),
+weighed AS (SELECT rid, count(*)::BIGINT AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+    FROM doc_gram JOIN hashed USING (g) JOIN gain USING (bucket) GROUP BY rid),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM doc LEFT JOIN weighed USING (rid)),
+placed AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+    CASE WHEN place <= (SELECT 25 * count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank FROM placed"""

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from takeup.llm import (chat, decontamination, mixing, oracle, pii, quality_model, quality_rules, secrets, simhash,
-                        url_rules, warc)
+from takeup.llm import (alignment, chat, decontamination, mixing, oracle, pieces, pii, quality_model, quality_rules,
+                        resampling, secrets, simhash, url_rules, warc)
 from takeup.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,26 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op11_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                      vocabulary("piece_bpe_32k.model"))
+
+
+@query("op12_sentencepiece_round_trip")
+def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op13_importance_resampling", oracle.RESAMPLING)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("n_words")
