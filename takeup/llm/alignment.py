@@ -18,10 +18,13 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
-from array import array
+import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,40 +34,57 @@ from takeup.llm.common import bounded_batches, stage
 from takeup.llm.pieces import Encoder, read_model
 
 FREQUENT = 400_000
+_FIRST_PROBE = 4
+_NAMES = 200_000
+_LONG_SPACE = 5000
+_SPACES = re.compile(r"\s{%d}" % _LONG_SPACE)
 
 
-def run_length(a: list[int], i: int, b: list[int], j: int) -> int:
-    """How many values from ``a[i]`` and ``b[j]`` on are equal one to one."""
-    start, width = i, 1
-    most = min(len(a) - i, len(b) - j)
-    done = 0
-    while width <= most - done and a[i:i + width] == b[j:j + width]:
-        i, j, done, width = i + width, j + width, done + width, width * 2
-    while width:
-        if width <= most - done and a[i:i + width] == b[j:j + width]:
-            i, j, done = i + width, j + width, done + width
+def run_length(a: bytes, i: int, b: bytes, j: int) -> int:
+    """How many ends from the ``i``-th of ``a`` and the ``j``-th of ``b`` on are equal one to one; both hold 8 bytes an end.
+
+    Widths double while whole slices agree, then halve to the first end that differs.
+    """
+    at, to, width = i * 8, j * 8, _FIRST_PROBE * 8
+    while True:
+        part = a[at:at + width]
+        if len(part) < width or part != b[to:to + width]:
+            break
+        at, to, width = at + width, to + width, width * 2
+    width //= 2
+    while width >= 8:
+        part = a[at:at + width]
+        if len(part) == width and part == b[to:to + width]:
+            at, to = at + width, to + width
         width //= 2
-    return i - start
+    return at // 8 - i
 
 
-def aligned_groups(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """``(a begin, a end, b begin, b end)`` of token groups cut where both sequences end, the ends exclusive. A stretch of
-    one-to-one groups is one item with as many tokens on both sides, more than one or not; an irregular group has other sizes."""
+def irregular_groups(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """``a begin, a end, b begin, b end`` of every token group that is not one token on both sides, one after the other, the
+    ends exclusive; groups are cut where both sequences end, and what lies between these groups is one to one."""
+    packed_a, packed_b, a, b = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
     i = j = 0
+    out: list[int] = []
     while i < len(a):
-        same = run_length(a, i, b, j)
-        if same:
-            yield i, i + same, j, j + same
+        if a[i] == b[j]:
+            same = run_length(packed_a, i, packed_b, j)
             i, j = i + same, j + same
-            continue
+            if i == len(a):
+                break
         x, y = i, j
-        while a[x] != b[y]:
-            if a[x] < b[y]:
+        first, second = a[x], b[y]
+        while first != second:
+            if first < second:
                 x += 1
+                first = a[x]
             else:
                 y += 1
-        yield i, x + 1, j, y + 1
-        i, j = x + 1, y + 1
+                second = b[y]
+        x, y = x + 1, y + 1
+        out += (i, x, j, y)
+        i, j = x, y
+    return out
 
 
 def _byte_letters() -> dict[str, int]:
@@ -74,6 +94,24 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _fast_byte_level(text: str, letters: dict[str, int]):
+    """A quicker reader of the same vocabulary, for the kind of file that it can stand for: byte-level words without any
+    normalisation, merges in the order of their ids. None for other files."""
+    import public_tokenizers
+    import tiktoken
+
+    spec = json.loads(text)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex")
+             and not before.get("add_prefix_space") and model["type"] == "BPE" and not model.get("ignore_merges")
+             and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and model.get("dropout") is None)
+    merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if not plain or merged != sorted(merged):
+        return None
+    ranks = {bytes(letters[c] for c in token): at for token, at in model["vocab"].items()}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Aligner:
     """Both tokenizers, their tokens' bytes, and the alignment of a text."""
 
@@ -85,64 +123,139 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = Encoder(pieces)
         letters = _byte_letters()
+        self.fast = _fast_byte_level(byte_level.decode(), letters)
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, at in self.a.get_vocab().items():
             self.a_bytes[at] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.b_bytes = self.b.token_bytes
         self.a_size, self.b_size = (np.array([len(t) for t in tokens]) for tokens in (self.a_bytes, self.b_bytes))
-        self.a_name, self.b_name = ([str(k) for k in range(len(tokens))] for tokens in (self.a_bytes, self.b_bytes))
+        self.pair_names: dict[int, str] = {}
+        self.group_names: dict[tuple, str] = {}
+
+    def first_ids(self, line: str) -> list[int]:
+        # very long white space is beyond the quick reader's pattern matcher
+        if self.fast is not None and not (len(line) > _LONG_SPACE and _SPACES.search(line)):
+            return self.fast.encode_ordinary(line)
+        return self.a.encode(line, add_special_tokens=False).ids
 
     def tokens(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides per text, none where the joined bytes differ."""
-        spaced = [" " + (t or "") for t in texts]
+        lines = [" " + (text or "") for text in texts]
+        second = self.b.texts_ids([text or "" for text in texts])
         out = []
-        for text, line, coded in zip(texts, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False)):
-            a = coded.ids if text else []
-            b = self.b.ids(self.b.normalised(text)).tolist() if text else []
-            whole = line.encode()
-            same = bool(text) and b"".join([self.a_bytes[k] for k in a]) == whole == b"".join([self.b_bytes[k] for k in b])
-            out.append((a, b) if same else ([], []))
+        for text, line, b in zip(texts, lines, second):
+            a, whole = self.first_ids(line) if text else [], line.encode()
+            if not text or b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+                a, b = [], []
+            out.append((a, b))
         return out
 
-    def groups(self, a: list[int], b: list[int]) -> tuple[array, array, array, array]:
-        """Ends of all groups in both sequences, and the linked places of both sequences."""
-        ends_a, ends_b = np.cumsum(self.a_size[a]).tolist(), np.cumsum(self.b_size[b]).tolist()
-        last_a, last_b, link_a, link_b = array("i"), array("i"), array("i"), array("i")
-        for i, x, j, y in aligned_groups(ends_a, ends_b):
-            if x - i == y - j and ends_a[i] == ends_b[j]:
-                link_a.extend(range(i, x))
-                link_b.extend(range(j, y))
-                last_a.extend(range(i + 1, x + 1))
-                last_b.extend(range(j + 1, y + 1))
-                continue
-            last_a.append(x)
-            last_b.append(y)
-            while True:
-                link_a.append(i)
-                link_b.append(j)
-                ends_first, ends_second = ends_a[i], ends_b[j]
-                if ends_first == ends_second:
-                    break
-                i, j = i + (ends_first < ends_second), j + (ends_second < ends_first)
-        return last_a, last_b, link_a, link_b
-
-    def written(self, a: list[int], b: list[int], last_a: array, last_b: array) -> str:
-        """``a1,a2|b1;a3|b2,b3``: ids of all groups in order."""
-        names_a, names_b = [self.a_name[k] for k in a], [self.b_name[k] for k in b]
-        parts, i, j = [], 0, 0
-        for x, y in zip(last_a, last_b):
-            if x - i == 1 == y - j:
-                parts.append(names_a[i] + "|" + names_b[j])
-            else:
-                parts.append(",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y]))
-            i, j = x, y
-        return ";".join(parts)
-
-    def links(self, a: list[int], b: list[int], link_a: array, link_b: array) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct linked id pairs, as ``a id * (b ids) + b id``, and how often each is linked."""
-        first = np.array(a, dtype=np.int64)[np.frombuffer(link_a, dtype=np.int32)]
-        second = np.array(b, dtype=np.int64)[np.frombuffer(link_b, dtype=np.int32)]
-        return np.unique(first * len(self.b_bytes) + second, return_counts=True)
+    def align(self, tokens: list[tuple[list[int], list[int]]]) -> "Aligned":
+        """Alignment of several texts' tokens in one go: texts end on both sides, so groups never cross from one to the next."""
+        a, b = (np.fromiter(chain.from_iterable(t[k] for t in tokens), dtype=np.int64) for k in (0, 1))
+        texts_a, texts_b = (np.cumsum([0, *[len(t[k]) for t in tokens]]) for k in (0, 1))
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        rest = np.array(irregular_groups(ends_a, ends_b), dtype=np.int64).reshape(-1, 4)
+        # a group ends at every token of the first side, but for those inside irregular groups
+        single = np.ones(len(a) + 1, dtype=np.int64)
+        single[0] = 0
+        inner = spread(rest[:, 0], rest[:, 1] - 1)
+        single[inner + 1] = 0
+        plain = np.ones(len(a), dtype=bool)
+        plain[spread(rest[:, 0], rest[:, 1])] = False
+        plain_b = np.ones(len(b), dtype=bool)
+        plain_b[spread(rest[:, 2], rest[:, 3])] = False
+        link_a, link_b = walk(ends_a, ends_b, rest)
+        link_a, link_b = np.concatenate([np.flatnonzero(plain), link_a]), np.concatenate([np.flatnonzero(plain_b), link_b])
+        codes = a[link_a] * len(self.b_bytes) + b[link_b]
+        groups = np.cumsum(single)[texts_a]
+        order = np.argsort(link_a, kind="stable")
+        cuts = np.searchsorted(link_a[order], texts_a)
+        return Aligned(a, b, texts_a, texts_b, rest, plain, plain_b, codes, int(plain.sum()), groups, codes[order], cuts)
+
+    def _names(self, codes: list[int]) -> list[str]:
+        """How one-to-one groups are written, a bounded number of them remembered."""
+        known = self.pair_names
+        found = list(map(known.get, codes))
+        if None in found:
+            if len(known) > _NAMES:
+                known.clear()
+            b_ids = len(self.b_bytes)
+            known.update((code, "%d|%d" % divmod(code, b_ids)) for code in {c for c, name in zip(codes, found) if name is None})
+            found = [known.get(c) or "%d|%d" % divmod(c, b_ids) for c in codes]
+        return found
+
+    def written(self, found: "Aligned") -> list[str]:
+        """``a1,a2|b1;a3|b2,b3``: ids of all groups of every text in order."""
+        names = self._names(found.codes[:found.n_plain].tolist())
+        parts: list[str] = []
+        at = before = 0
+        a, b, known = found.a.tolist(), found.b.tolist(), self.group_names
+        if len(known) > _NAMES:
+            known.clear()
+        for i, x, j, y in found.rest.tolist():
+            if i > before:
+                parts += names[at:at + i - before]
+                at += i - before
+            key = (*a[i:x], -1, *b[j:y])
+            name = known.get(key)
+            if name is None:
+                name = ",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y]))
+                if len(key) < 12:
+                    known[key] = name
+            parts.append(name)
+            before = x
+        parts += names[at:]
+        ends = found.groups.tolist()
+        return [";".join(parts[ends[k]:ends[k + 1]]) for k in range(len(ends) - 1)]
+
+
+class Aligned(NamedTuple):
+    """Several texts' tokens (``a``, ``b``, cut at ``texts_a``, ``texts_b``), the irregular groups, which tokens are in none, the
+    linked id pairs (``codes``, those of the ``n_plain`` one-to-one groups first), groups before every text's end, and the pairs by text."""
+
+    a: np.ndarray
+    b: np.ndarray
+    texts_a: np.ndarray
+    texts_b: np.ndarray
+    rest: np.ndarray
+    plain: np.ndarray
+    plain_b: np.ndarray
+    codes: np.ndarray
+    n_plain: int
+    groups: np.ndarray
+    by_text: np.ndarray
+    cuts: np.ndarray
+
+    def ends(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ends of every text's groups in both sequences, counted from the text's begin."""
+        out = []
+        for plain, texts, last in ((self.plain, self.texts_a, 1), (self.plain_b, self.texts_b, 3)):
+            ends = np.sort(np.concatenate([np.flatnonzero(plain) + 1, self.rest[:, last]]))
+            cuts = np.searchsorted(ends, texts, "right")
+            out.append([ends[cuts[k]:cuts[k + 1]] - texts[k] for k in range(len(texts) - 1)])
+        return out[0], out[1]
+
+
+def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    size = last - first
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+
+
+def walk(ends_a: np.ndarray, ends_b: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked places of all irregular groups. Inside a group no two ends agree but the last, so from one link to the next
+    the side that ends first steps on, and a group of n and m tokens has n + m - 1 links."""
+    count = rest[:, 1] - rest[:, 0] + rest[:, 3] - rest[:, 2] - 1
+    linked = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    # all ends but each group's last, of both sides, in order: group by group, as ends rise through the text
+    at_a, at_b = spread(rest[:, 0], rest[:, 1] - 1), spread(rest[:, 2], rest[:, 3] - 1)
+    order = np.argsort(np.concatenate([ends_a[at_a], ends_b[at_b]]), kind="stable")
+    steps = np.zeros(len(linked), dtype=np.int64)
+    steps[linked > 0] = order < len(at_a)
+    taken = np.cumsum(steps)
+    own = taken - np.repeat(taken[linked == 0], count)
+    return np.repeat(rest[:, 0], count) + own, np.repeat(rest[:, 2], count) + linked - own
 
 
 def _lists(values: list, kind) -> pa.ListArray:
@@ -173,8 +286,7 @@ def align_texts(rows: DataFrame, byte_level: str, pieces: str, id_column: str =
 
     def run(batches):
         for aligner, ids, tokens in _each(batches, make):
-            groups = [aligner.groups(a, b) for a, b in tokens]
-            columns = [[t[0] for t in tokens], [t[1] for t in tokens], [g[0] for g in groups], [g[1] for g in groups]]
+            columns = [[t[0] for t in tokens], [t[1] for t in tokens], *aligner.align(tokens).ends()]
             yield pa.RecordBatch.from_arrays([ids, *[_lists(c, np.int32) for c in columns]],
                                              names=[id_column, "a_ids", "b_ids", "a_ends", "b_ends"])
 
@@ -188,14 +300,11 @@ def linked(rows: DataFrame, make, id_column: str, text_column: str) -> DataFrame
 
     def run(batches):
         for aligner, ids, tokens in _each(batches, make):
-            numbers, digests, pairs, times = [], [], [], []
-            for a, b in tokens:
-                last_a, last_b, link_a, link_b = aligner.groups(a, b)
-                digests.append(sha256(aligner.written(a, b, last_a, last_b).encode()).hexdigest() if a else "")
-                numbers.append((len(a), len(b), len(last_a), len(link_a)))
-                found, often = aligner.links(a, b, link_a, link_b)
-                pairs.append(found)
-                times.append(often)
+            found = aligner.align(tokens)
+            digests = [sha256(w.encode()).hexdigest() if t[0] else "" for t, w in zip(tokens, aligner.written(found))]
+            numbers = [(len(a), len(b), int(g), int(n)) for (a, b), g, n in zip(tokens, np.diff(found.groups), np.diff(found.cuts))]
+            counted = [np.unique(found.by_text[found.cuts[k]:found.cuts[k + 1]], return_counts=True) for k in range(len(tokens))]
+            pairs, times = [c[0] for c in counted], [c[1] for c in counted]
             yield pa.RecordBatch.from_arrays(
                 [ids, *[pa.array([n[k] for n in numbers], pa.int64()) for k in range(4)], pa.array(digests, pa.string()),
                  _lists(pairs, np.int64), _lists(times, np.int32)],

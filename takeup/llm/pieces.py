@@ -3,10 +3,9 @@
 Method: a text is normalised here, by the longest prefix found in the model's compiled character map (a
 double-array trie with a table of replacements), and every byte of the result remembers the byte of the text it came from. The
 library then merges the normalised text, with a copy of the model whose own normalisation is switched
-off; every piece covers known bytes of the normalised text and so is projected to a span of the original. Where no
-piece of the vocabulary holds white space after anything else, merges never cross the start of a word, so
-words are merged one by one and remembered (at most ``_CACHE`` of them, none above ``_LONG`` characters), which
-changes no result. Without a character map, as in the given model, normalisation is a replacement of spaces, done at once.
+off; every piece covers known bytes of the normalised text and so is projected to a span of the original.
+Without a character map, as in the given model, normalisation is a replacement of spaces, done at once. (Remembering the
+pieces of words was measured and saves nothing over merging whole texts: half of all distinct words occur once.)
 
 A character that becomes byte pieces gives its span to the last of them, the others are empty at its start,
 as in the library. White space that the model puts in front has an empty span. Decoding is the library's.
@@ -18,7 +17,6 @@ repeated rows and ids and null ids all get their row. Other columns are not read
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from takeup.llm.common import bounded_batches
 
-_CACHE, _LONG = 200_000, 48
 _MARK = "▁"
-_PART = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+")
 #: kinds of pieces in a model (fixed values of the file format)
 _USER, _BYTE = 4, 6
 
@@ -83,8 +79,6 @@ class Encoder:
         self.space = _MARK.encode() if self.escape else b" "
         own = [p.piece for p in proto.pieces if p.type == _USER]
         self.user = re.compile("|".join(re.escape(p) for p in sorted(own, key=len, reverse=True)).encode()) if own else None
-        crossing = re.compile(f"[^{_MARK}]{_MARK}")
-        self.by_word = not own and self.escape and not any(crossing.search(p.piece) for p in proto.pieces)
         spec.precompiled_charsmap, spec.normalization_rule_tsv, spec.name = b"", "", "identity"
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
         self.whole = SentencePieceProcessor(model_proto=model)
@@ -96,7 +90,6 @@ class Encoder:
         #: what a piece stands for in a text: a space for the mark, one byte for a byte piece
         self.token_bytes = [bytes([int(p.piece[3:-1], 16)]) if p.type == _BYTE else p.piece.replace(_MARK, " ").encode()
                             for p in proto.pieces]
-        self.known: dict[str, array] = {}
 
     # -- normalisation -------------------------------------------------------
 
@@ -166,23 +159,9 @@ class Encoder:
 
     # -- merges --------------------------------------------------------------
 
-    def ids(self, normal: str) -> array:
-        """Piece ids of a normalised text."""
-        out = array("i")
-        if not self.by_word:
-            out.extend(self.merge.encode(normal))
-            return out
-        known = self.known
-        for part in _PART.findall(normal):
-            found = known.get(part)
-            if found is None:
-                found = array("i", self.merge.encode(part))
-                if len(part) <= _LONG:
-                    if len(known) >= _CACHE:
-                        known.clear()
-                    known[part] = found
-            out.extend(found)
-        return out
+    def texts_ids(self, texts: list[str]) -> list[list[int]]:
+        """Piece ids of several texts, without spans."""
+        return self.merge.encode([self.normalised(text) for text in texts], num_threads=1) if texts else []
 
     def sizes(self, normal: str, ids: np.ndarray) -> np.ndarray:
         """Bytes of normalised text under every piece. The unknown piece stands for any text: its length
@@ -197,7 +176,7 @@ class Encoder:
         text = text or ""
         data, places = self.aligned(text)
         normal = data.decode()
-        ids = np.frombuffer(self.ids(normal), dtype=np.int32)
+        ids = np.array(self.merge.encode(normal), dtype=np.int32)
         ends = np.cumsum(self.sizes(normal, ids))
         begins = ends - self.sizes(normal, ids) if len(ids) else ends
         # a fallback character's span belongs to its last byte piece

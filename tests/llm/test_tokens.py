@@ -91,18 +91,11 @@ def test_user_pieces_and_unknown_pieces():
     model.trainer_spec.byte_fallback = False
     raw = model.SerializeToString()
     whole, own = sentencepiece.SentencePieceProcessor(model_proto=raw), pieces.Encoder(raw)
-    assert not own.by_word
     for text in ["a<mark>b <mark> c", "𓀀𓀁 x 𓀀", "日本語"]:
         coded = whole.encode(text, out_type="proto").pieces
         assert [(p.id, p.begin, p.end) for p in coded] == list(zip(*(v.tolist() for v in own.encode(text))))
 
 
-def test_a_full_memory_changes_nothing(monkeypatch):
-    monkeypatch.setattr(pieces, "_CACHE", 3)
-    own, text = pieces.Encoder(pieces.read_model(PIECES)), prose(2, 300)
-    assert own.encode(text)[0].tolist() == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text)
-
-
 def test_pieces_of_nothing(none):
     assert pieces.piece_report(none, PIECES).count() == 0
 
@@ -178,16 +171,27 @@ def test_runs_are_jumped_exactly():
     for _ in range(300):
         n = int(rng.integers(1, 60))
         a, b = sorted(set(rng.integers(1, n + 1, n).tolist()) | {n}), sorted(set(rng.integers(1, n + 1, n).tolist()) | {n})
-        cuts, at = sorted(set(a) & set(b)), 0
-        for i, x, j, y in alignment.aligned_groups(a, b):
-            if x - i == y - j and a[i] == b[j]:
-                assert a[i:x] == b[j:y] == cuts[at:at + x - i]
-                at += x - i
-            else:
-                assert a[x - 1] == b[y - 1] == cuts[at]
-                at += 1
-        assert at == len(cuts)
-    assert alignment.run_length(list(range(1000)), 0, [*range(700), *range(5000, 5300)], 0) == 700
+        rest, cuts = np.array(alignment.irregular_groups(np.array(a), np.array(b)), dtype=np.int64).reshape(-1, 4), set(a) & set(b)
+        i = j = 0
+        for i0, x, j0, y in [*rest.tolist(), (len(a), len(a), len(b), len(b))]:
+            assert a[i:i0] == b[j:j0]  # one to one up to the group
+            if i0 < x:
+                assert a[x - 1] == b[y - 1] and not cuts & set(a[i0:x - 1]) and (x - i0, y - j0) != (1, 1)
+            i, j = x, y
+        assert (i, j) == (len(a), len(b))
+        link_a, link_b = alignment.walk(np.array(a), np.array(b), rest)
+        want = [(p, q) for i, x, j, y in rest.tolist() for p in range(i, x) for q in range(j, y)
+                if max(([0] + a)[p], ([0] + b)[q]) < min(a[p], b[q])]
+        assert sorted(want) == sorted(zip(link_a.tolist(), link_b.tolist()))
+    assert alignment.run_length(np.arange(1000).tobytes(), 0, np.array([*range(700), *range(5000, 5300)]).tobytes(), 0) == 700
+
+
+def test_very_long_white_space_and_words(spark):
+    """Beyond what the quick reader bears the other library reads; words without any space are one long merge."""
+    rows = [(1, "a" + " " * 300_000 + "b", "", "", 0, "", ""), (2, "\n" * 40_000, "", "", 0, "", ""), (3, "ab" * 60_000, "", "", 0, "", "")]
+    got = {r.doc_id: r for r in alignment.alignment_report(spark.createDataFrame(rows, SCHEMA), BYTES, PIECES).collect()}
+    for i, *want in brute_alignment(rows):
+        assert [got[i].n_a, got[i].n_b, got[i].n_groups, got[i].n_links, got[i].n_best, got[i].count_sum, got[i].groups_sha256] == want
 
 
 def test_cut_keeps_the_broadcast_bounded(spark):
