@@ -206,7 +206,7 @@ def ranked(rows: DataFrame, drawn: int) -> DataFrame:
     """
     rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies"))
     size = F.floor(F.log2(F.abs("id") + F.lit(1.0)) * 64)
-    rows = rows.withColumns({"_coarse": F.floor(F.col("score") / 64),
+    rows = rows.withColumns({"_coarse": F.floor(F.col("score") / 16),
                              "_block": F.coalesce(F.when(F.col("id") < 0, -size).otherwise(size), F.lit(1 << 20))})
     rows = stage(rows, "scored")
 
@@ -218,7 +218,7 @@ def ranked(rows: DataFrame, drawn: int) -> DataFrame:
     coarse = cells.groupBy("_coarse").agg(F.sum("_copies").alias("_copies"))
     coarse = coarse.select("_coarse", before([F.lit(0)], F.desc("_coarse")).alias("_above"))
     cells = cells.withColumn("_inside", before(["_coarse"], F.desc("score"), "_block")).drop("_copies")
-    # one row per 64 values of the score
+    # one row per 16 values of the score
     cells = cells.join(F.broadcast(coarse), "_coarse").select("score", "_block", (F.col("_above") + F.col("_inside")).alias("_base"))
     others = sorted(c for c in rows.columns if c not in ("id", "score") and c[0] != "_")
     out = rows.join(cells, ["score", "_block"]).withColumn("_own", before(["score", "_block"], F.col("id").asc_nulls_last(), *others))
