@@ -6,9 +6,12 @@ value is a whole number and ties are exact, whatever the order of addition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from takeup.operators.metrics import area, average_ranks, class_counts
@@ -17,6 +20,8 @@ from takeup.session import stage
 
 WHOLE = 100
 GATE = 0.05
+# most joint rank cells of a label; one task reads the cells of one label
+MAX_CELLS = 1 << 18
 # successive resolutions of the pruning histograms
 BIN_LEVELS = (512, 8192, 131072)
 
@@ -62,6 +67,68 @@ def equal_weights(k: int) -> Weights:
     return (*[base] * (k - 1), WHOLE - base * (k - 1))
 
 
+# -- joint rank cells --------------------------------------------------------
+
+def rank_cells(ranks: DataFrame, k: int, limit: int = MAX_CELLS) -> DataFrame:
+    """``(target, pos, neg, low, high)``: counts of the rows in every cell of the joint rank space, and the
+    cell's smallest box around their ranks.
+
+    A label with at most ``limit`` rows keeps every rank vector as a cell of its own. Larger ones have a grid of
+    equal steps per model, as many as make at most ``limit`` cells in all. Rows meet their cell
+    on the map side, so no task sends more rows than there are cells.
+    """
+    steps = int(limit ** (1.0 / k) + 1e-9)
+    cell = f"transform(r, x -> if(n <= {limit}, x, x * {steps} div (2 * n + 1)))"
+    sides = [f"{f}(r[{m}]) as {f}{m}" for f in ("min", "max") for m in range(k)]
+    cells = ranks.selectExpr("target", "y", "r", f"{cell} as cell").groupBy("target", "cell").agg(
+        F.expr("sum(cast(y > 0 as bigint)) as pos"), F.expr("count(*) as rows"), *[F.expr(e) for e in sides])
+    box = [f"array({', '.join(f'{f}{m}' for m in range(k))}) as {name}" for f, name in (("min", "low"), ("max", "high"))]
+    return cells.selectExpr("target", "pos", "rows - pos as neg", *box)
+
+
+def pair_bounds(pos: np.ndarray, neg: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[int, int]:
+    """Least and most ordered pairs, doubled, when a row's value is only known to lie between ``low`` and ``high``.
+
+    Both are the exact count where every low equals its high.
+    """
+    plus, minus = pos > 0, neg > 0
+    point = low is high
+
+    def counted(mine: np.ndarray, other: np.ndarray) -> int:
+        order = np.argsort(other[minus])
+        ends, total = other[minus][order], np.concatenate([[0], np.cumsum(neg[minus][order])])
+        # those strictly below count twice, those that may just tie count once
+        below = total[np.searchsorted(ends, mine[plus])] + total[np.searchsorted(ends, mine[plus], "right")]
+        if float(total[-1]) * float(pos.sum()) * 2 < 2 ** 62:
+            return int(pos[plus] @ below)
+        return sum(int(a) * int(b) for a, b in zip(pos[plus], below))
+
+    least = counted(low, high)
+    return least, least if point else counted(high, low)
+
+
+def cell_bounds(cells: DataFrame, candidates: Candidates, parts: int = 4) -> list[tuple]:
+    """``(target, o, low, high)`` of every candidate from the cells. The candidates of a label are dealt to ``parts``
+    tasks, each of which reads the label's cells, a bounded table, and orders them once per candidate."""
+    shared = {t: [points[p::parts] for p in range(parts)] for t, points in candidates.items()}
+
+    def bound(table: pd.DataFrame) -> pd.DataFrame:
+        t, part = table["target"].iloc[0], table["part"].iloc[0]
+        low, high = (np.stack(table[c].to_numpy()).astype(np.int64) for c in ("low", "high"))
+        points = bool((low == high).all())
+        pos, neg = (table[c].to_numpy(dtype=np.int64) for c in ("pos", "neg"))
+        found = []
+        for o, w in shared[t][part]:
+            least = low @ np.array(w, dtype=np.int64)
+            most = least if points else high @ np.array(w, dtype=np.int64)
+            found.append((t, o, *map(str, pair_bounds(pos, neg, least, most))))
+        return pd.DataFrame(found, columns=["target", "o", "low", "high"])
+
+    dealt = cells.where(F.col("target").isin(*candidates)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = dealt.groupBy("target", "part").applyInPandas(bound, "target string, o int, low string, high string").collect()
+    return [(r["target"], r["o"], int(r["low"]), int(r["high"])) for r in rows]
+
+
 # -- rank table --------------------------------------------------------------
 
 def rank_table(scores: DataFrame, models: Sequence[str], key: str = "customer_id", salts: int | None = None,
@@ -106,11 +173,43 @@ def _scored(ranks: DataFrame, candidates: Candidates) -> DataFrame:
 
 def _bounds(ranks: DataFrame, candidates: Candidates, bins: int, rows_per_label: int) -> list:
     """Lowest and highest possible pair count of every candidate when values are
-    only known to their bin: pairs inside a bin may fall either way."""
-    slot = f"o * {bins}L + cast(b * {bins} div ({2 * WHOLE} * n + 1) as bigint)"
-    counts = (_scored(ranks, candidates).selectExpr("t", f"{slot} as slot", "y").groupBy("t", "slot")
-              .agg(F.expr("sum(cast(y as bigint)) as pos"), F.expr("count(*) as rows"))
-              .selectExpr("t", f"cast(slot div {bins} as int) as o", "slot", "pos", "rows - pos as neg"))
+    only known to their bin: pairs inside a bin may fall either way.
+
+    A task keeps one histogram per label it meets, candidates x bins counts, and sends what is not zero in it;
+    rows are never multiplied by the candidates.
+    """
+    order = sorted(candidates)
+    weights = {t: (i, np.array([o for o, _ in candidates[t]]), np.array([w for _, w in candidates[t]], dtype=np.int64))
+               for i, t in enumerate(order)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            target = batch.column(0).dictionary_encode()
+            n, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 3))
+            r = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1).astype(np.int64)
+            place = target.indices.to_numpy(zero_copy_only=False)
+            for code, t in enumerate(target.dictionary.to_pylist()):
+                if t not in weights:
+                    continue
+                grid, mine = weights[t][2], place == code
+                table = counts.setdefault(t, np.zeros((2, len(grid) * bins), dtype=np.int64))
+                ranks_, positive = r[mine], y[mine] > 0
+                top = 2 * WHOLE * n[mine].astype(np.int64) + 1
+                for o, w in enumerate(grid):
+                    slot = ranks_ @ w * bins // top + o * bins
+                    np.add.at(table[1], slot, 1)
+                    np.add.at(table[0], slot[positive], 1)
+        for t, table in counts.items():
+            at = np.flatnonzero(table[1])
+            i, names, _ = weights[t]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), i, np.int32)), pa.array(names[at // bins].astype(np.int32)), pa.array(at),
+                 pa.array(table[0][at]), pa.array(table[1][at])], names=["t", "o", "slot", "pos", "rows"])
+
+    counts = (ranks.select("target", "n", "r", "y").mapInArrow(count, "t int, o int, slot long, pos long, rows long")
+              .groupBy("t", "o", "slot").agg(F.sum("pos").alias("pos"), F.sum("rows").alias("rows"))
+              .selectExpr("t", "o", "slot", "pos", "rows - pos as neg"))
     wide = rows_per_label > LONG_PAIR_ROWS
     kind = "decimal(38,0)" if wide else "bigint"
     below = counts.selectExpr("*", "coalesce(sum(neg) OVER (PARTITION BY t, o ORDER BY slot "
@@ -121,6 +220,15 @@ def _bounds(ranks: DataFrame, candidates: Candidates, bins: int, rows_per_label:
                                    (F.sum("sure") + F.sum("open")).cast(kind).alias("high")).collect())
 
 
+def _keep(candidates: Candidates, bounds: list[tuple]) -> Candidates:
+    """Candidates that may still win, from ``(target, o, low, high)``."""
+    floor: dict[str, int] = {}
+    for t, _, low, _ in bounds:
+        floor[t] = max(floor.get(t, low), low)
+    alive = {(t, o) for t, o, _, high in bounds if high >= floor[t]}
+    return {t: [c for c in points if (t, c[0]) in alive] for t, points in candidates.items()}
+
+
 def prune(ranks: DataFrame, candidates: Candidates, rows_per_label: int,
           levels: Sequence[int] = BIN_LEVELS) -> Candidates:
     """Drop candidates that certainly lose, at rising resolution. Every pass is one
@@ -129,16 +237,9 @@ def prune(ranks: DataFrame, candidates: Candidates, rows_per_label: int,
     for bins in levels:
         if bins * 4 > rows_per_label or max(len(c) for c in candidates.values()) <= 8:
             break
-        found: dict[str, list] = {}
         order = sorted(candidates)
-        for r in _bounds(ranks, candidates, bins, rows_per_label):
-            found.setdefault(order[r["t"]], []).append(r)
-        kept = {}
-        for t, rows in found.items():
-            floor = max(r["low"] for r in rows)
-            alive = {r["o"] for r in rows if r["high"] >= floor}
-            kept[t] = [c for c in candidates[t] if c[0] in alive]
-        candidates = kept
+        candidates = _keep(candidates, [(order[r["t"]], r["o"], r["low"], r["high"])
+                                        for r in _bounds(ranks, candidates, bins, rows_per_label)])
     return candidates
 
 
@@ -164,9 +265,11 @@ def first_best(areas: DataFrame) -> dict[str, tuple[int, int, float]]:
 
 
 def search_weights(ranks: DataFrame, k: int, step: int | None = None, refine: bool | None = None,
-                   levels: Sequence[int] = BIN_LEVELS, grid: Sequence[Weights] | None = None) -> dict[str, dict]:
+                   levels: Sequence[int] = BIN_LEVELS, grid: Sequence[Weights] | None = None,
+                   limit: int = MAX_CELLS) -> dict[str, dict]:
     """Best weights per label: ``{target: {"weights", "auc"}}``, exact over the whole
-    grid. With ``refine`` (default for four models or more) a fine grid around the
+    grid. One pass collapses the rows to cells of the joint rank space; bounds from the cells rule out weights
+    that certainly lose, and decide at once where cells are single points. With ``refine`` (default for four models or more) a fine grid around the
     coarse winner follows; it must be strictly better to replace it. Labels with
     one class get equal weights and AUC 0.5.
     """
@@ -177,12 +280,28 @@ def search_weights(ranks: DataFrame, k: int, step: int | None = None, refine: bo
     if not usable:
         return out
     n = max(r["n"] for r in stats)
+    size = {r["target"]: int(r["pos"]) * int(r["n"] - r["pos"]) for r in stats}
     points = list(enumerate(grid if grid is not None else simplex_grid(k, step or default_step(k))))
     live = ranks.where(F.col("target").isin(*usable))
+    cells = stage(rank_cells(live, k, limit), "rank_cells")
 
     def run(candidates: dict) -> tuple[dict, dict]:
-        kept = prune(live, candidates, n, levels)
-        return kept, first_best(exact_areas(live, kept, n))
+        bounds = cell_bounds(cells, candidates)
+        kept = _keep(candidates, bounds)
+        # cells that are single points give the exact counts; what is not decided by them is looked at in the rows
+        exact = {(t, o): low for t, o, low, high in bounds if low == high}
+        best, undecided = {}, {}
+        for t, alive in kept.items():
+            if all((t, o) in exact for o, _ in alive):
+                o = min((o for o, _ in alive), key=lambda o: (-exact[t, o], o))
+                best[t] = (o, exact[t, o], exact[t, o] / (2.0 * size[t]))
+            else:
+                undecided[t] = alive
+        if undecided:
+            rest = live.where(F.col("target").isin(*undecided))
+            undecided = prune(rest, undecided, n, levels)
+            best.update(first_best(exact_areas(rest, undecided, n)))
+        return {**kept, **undecided}, best
 
     kept, best = run({t: points for t in usable})
     weights = {t: dict(kept[t])[o] if pairs else equal_weights(k) for t, (o, pairs, _) in best.items()}
@@ -234,6 +353,29 @@ def blend_report(weights: DataFrame) -> DataFrame:
         F.sum((F.col("weight") > 0.01).cast("bigint")).alias("n_used"))
 
 
+def label_report(weights: DataFrame, solo: DataFrame, models: Sequence[str], used: float = 0.01) -> DataFrame:
+    """One row per label: every model's own AUC and weight, the blend's AUC and the number of models in use."""
+    both = weights.join(solo.select("target", "model", F.col("auc").alias("_solo")), ["target", "model"], "left")
+
+    def of(m: str, c: str, name: str):
+        return F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{name}_{m}")
+
+    return both.groupBy("target").agg(
+        *[of(m, "_solo", "solo") for m in models], *[of(m, "weight", "weight") for m in models],
+        F.max("auc").alias("blend_auc"), F.sum((F.col("weight") > used).cast("int")).cast("int").alias("n_used"))
+
+
+def blend_summary(weights: DataFrame, usable: DataFrame, name: str) -> DataFrame:
+    """One row for a blend: labels with both classes (``usable``), mean, least and largest AUC over them, and
+    the mean over labels better than chance."""
+    per_label = weights.select("target", "auc").distinct().join(F.broadcast(usable.select("target")), "target")
+    return per_label.agg(
+        F.lit(name).alias("blend"), F.count("*").alias("n_labels"), F.avg("auc").alias("mean_auc"),
+        F.avg(F.when(F.col("auc") > 0.5, F.col("auc"))).alias("mean_auc_above_half"),
+        F.min("auc").alias("min_auc"), F.max("auc").alias("max_auc")).select(
+            "blend", "n_labels", "mean_auc", "mean_auc_above_half", "min_auc", "max_auc")
+
+
 def worst_and_best(per_label: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` labels with the lowest and the highest AUC: ``(side, target, auc)``."""
     known = per_label.where(F.col("auc").isNotNull()).select("target", "auc")

@@ -136,7 +136,13 @@ def order_statistics(rows: DataFrame, group: Sequence[str], value: str, steps: i
     """
     group = list(group)
     counts = distinct_values(rows.where(F.col(value).isNotNull()), group, value, {"n": F.count("*")})
-    runs = cumulate(counts, group, value, ["n"])
+    return quantiles_of_runs(cumulate(counts, group, value, ["n"]), group, value, steps)
+
+
+def quantiles_of_runs(runs: DataFrame, group: Sequence[str], value: str, steps: int) -> DataFrame:
+    """The same from distinct values with their counts ``n``, the rows below (``below_n``) and in the group (``all_n``).
+    Values that are no neighbour of a quantile may be missing."""
+    group = list(group)
     span = F.greatest(F.col("all_n") - 1, F.lit(1))
     first, after = F.col("below_n"), F.col("below_n") + F.col("n")
     m = F.lit(steps)

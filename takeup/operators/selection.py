@@ -2,48 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from takeup.functions.clean import number
 from takeup.functions.rowwise import values_of
-from takeup.operators.labels import label_stats
-from takeup.operators.profile import column_profile, varying
+from takeup.operators.blocks import matrix, with_matrix
+from takeup.operators.profile import column_profile, named, varying
+from takeup.session import stage
+
+#: features that a task multiplies at a time
+BLOCK = 500
+
+
+def cross_moments(rows: DataFrame, features: Sequence[str], targets: Sequence[str], centre: np.ndarray,
+                  block: int = BLOCK) -> DataFrame:
+    """``(ordinal, target_ordinal, n, sx, sxx, sy, sxy)`` over the rows that have the label: sums of the centred feature,
+    its square, the label, and their product.
+
+    Every task multiplies its blocks of rows (features' transpose by labels) and sends one number of each kind per
+    feature and label; rows and cells are never multiplied.
+    """
+    spark, parts = rows.sparkSession, []
+    names = ["n", "sx", "sxx", "sy", "sxy"]
+    for start in range(0, len(features), block):
+        own = list(features[start:start + block])
+        middle = np.asarray(centre[start:start + block], dtype=float)
+
+        def add(batches: Iterator[pa.RecordBatch], start=start, middle=middle) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((5, len(middle), len(targets)))
+            for batch in batches:
+                x = np.nan_to_num(matrix(batch.column(0), len(middle))) - middle
+                y = matrix(batch.column(1), len(targets))
+                known = (~np.isnan(y)).astype(float)
+                y = np.nan_to_num(y)
+                total[0] += known.sum(axis=0)
+                total[1] += x.T @ known
+                total[2] += (x * x).T @ known
+                total[3] += y.sum(axis=0)
+                total[4] += x.T @ y
+            f, t = np.divmod(np.arange(len(middle) * len(targets)), len(targets))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((start + f).astype(np.int32)), pa.array(t.astype(np.int32)), *[pa.array(v.ravel()) for v in total]],
+                names=["ordinal", "target_ordinal", *names])
+
+        data = with_matrix(rows, own, targets).selectExpr("_x", f"{values_of(targets)} as _y")
+        parts.append(data.mapInArrow(add, "ordinal int, target_ordinal int, " + ", ".join(f"{c} double" for c in names)))
+    return reduce(DataFrame.unionByName, parts).groupBy("ordinal", "target_ordinal").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def correlation_scores(rows: DataFrame, features: Sequence[str], targets: Sequence[str],
                        profile: DataFrame | None = None) -> DataFrame:
     """``(ordinal, feature, target_ordinal, target, corr)``: absolute Pearson
-    correlation of every feature with every 0/1 label; missing counts as zero; a
-    constant feature scores 0, a constant label has std 1.
+    correlation of every feature with every 0/1 label over the rows that have the label; missing
+    features count as zero; a constant feature scores 0, a constant label has std 1.
 
-    ``rows`` holds features and labels side by side. Features are sparse and labels
-    rare, so the cross sums are taken over non-zero cells of rows with a positive
-    label only; the means and deviations come from the column profile. What moves
-    is one partial sum per task and (feature, label).
+    ``rows`` holds features and labels side by side. The features are centred on the means of ``profile`` (computed
+    here unless given), so that the sums lose no digits.
     """
     profile = column_profile(rows, features) if profile is None else profile
-    hits = f"array_compact(transform(array({', '.join(targets)}), (y, i) -> CASE WHEN y != 0 THEN i END))"
-    cells = (rows.selectExpr(f"{hits} as _hits", f"{values_of(features)} as _x")
-             .where(F.size("_hits") > 0)
-             .select("_hits", F.posexplode("_x").alias("ordinal", "x"))
-             .where((F.col("x") != 0) & (F.abs("x") < float("inf"))))
-    sums = (cells.select("ordinal", "x", F.explode("_hits").alias("target_ordinal"))
-            .groupBy("ordinal", "target_ordinal").agg(F.sum("x").alias("sxy")))
-
-    # every (feature, label) pair is wanted: one row per feature is unfolded by the
-    # label means, one per label of the schema
-    stats = label_stats(rows, targets).orderBy("ordinal").collect()
-    means = ", ".join(f"struct({r['ordinal']} as target_ordinal, '{r['target']}' as target, {number(r['rate'] or 0.0)} as my)"
-                      for r in stats)
-    grid = (profile.selectExpr("ordinal", "feature", "n_rows", "mean0", "std0", f"inline(array({means}))")
-            .withColumn("_sy", F.expr("sqrt(my * (1 - my))")))
-    sy = F.when(F.col("_sy") < 1e-8, 1.0).otherwise(F.col("_sy"))
-    cov = F.coalesce("sxy", F.lit(0.0)) / F.col("n_rows") - F.col("mean0") * F.col("my")
-    corr = F.when(F.col("std0") < 1e-8, 0.0).otherwise(F.abs(F.try_divide(cov, F.col("std0") * sy)))
-    return grid.join(sums, ["ordinal", "target_ordinal"], "left").select(
-        "ordinal", "feature", "target_ordinal", "target", corr.alias("corr"))
+    means = {r["feature"]: r["mean0"] for r in profile.select("feature", "mean0").collect()}  # one per column of the schema
+    sums = cross_moments(rows, features, targets, np.array([means.get(c) or 0.0 for c in features]))
+    n = F.col("n")
+    cov = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / n
+    sx = F.sqrt(F.greatest((F.col("sxx") - F.col("sx") * F.col("sx") / n) / n, F.lit(0.0)))
+    rate = F.col("sy") / n
+    sy = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)))
+    corr = F.when((n == 0) | (sx < 1e-8), 0.0).otherwise(F.abs(cov / (sx * F.when(sy < 1e-8, 1.0).otherwise(sy))))
+    found = named(named(sums, features), targets, "target_ordinal", "target")
+    return found.select("ordinal", "feature", "target_ordinal", "target", corr.alias("corr"))
 
 
 def global_scores(per_target: DataFrame, score: str) -> DataFrame:
@@ -81,16 +111,21 @@ def top_features(scored: DataFrame, k: int, within: Sequence[str] = (), order: s
     return ranked.select(*within, "feature", "rank", F.col(order).alias("score"))
 
 
-def select_features(rows: DataFrame, features: Sequence[str], targets: Sequence[str], gain: DataFrame | None = None,
+def select_features(rows: DataFrame, features: Sequence[str], targets: Sequence[str],
+                    gain: DataFrame | Callable[[list[str]], DataFrame] | None = None,
                     top_global: int = 700, top_per_target: int = 150, min_valid: int = 100) -> DataFrame:
-    """Two-signal selection on reduced rows: variance filter, correlation, optional
-    tree gain, max-normalised mix (0.4 / 0.6 overall, 0.35 / 0.65 per label), top
-    lists. Returns ``(scope, target, feature, rank, score)``."""
-    kept_rows = varying(column_profile(rows, features), min_valid).orderBy("ordinal").select("feature").collect()
+    """Two-signal selection: variance filter, correlation, optional
+    gain, max-normalised mix (0.4 / 0.6 overall, 0.35 / 0.65 per label), top
+    lists. Returns ``(scope, target, feature, rank, score)``. ``gain`` is a table or makes one for
+    the features that pass the filter. The columns are profiled once."""
+    profile = stage(column_profile(rows, features), "profile")
+    kept_rows = varying(profile, min_valid).orderBy("ordinal").select("feature").collect()
     kept = [r["feature"] for r in kept_rows]
     if not kept:
         raise ValueError("no feature passes the variance filter")
-    corr = correlation_scores(rows, kept, targets)
+    corr = stage(correlation_scores(rows, kept, targets, profile), "correlations")
+    if callable(gain):
+        gain = stage(gain(kept), "gains")
     gain_all = global_scores(gain, "gain") if gain is not None else None
     overall = top_features(combine(global_scores(corr, "corr"), gain_all, 0.4), top_global)
     each = top_features(combine(corr, gain, 0.35, ["target"]), top_per_target, ["target"])

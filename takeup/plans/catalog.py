@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from takeup.functions import clean as C
+from takeup.functions import clean as C, normal
 from takeup.functions.hashing import hash_uniform
 from takeup.operators import (align, assemble, blend, encode, folds, groupstats, labels, learn, metrics, profile,
-                              publish, quantiles, reduce, selection, wide)
+                              publish, quantiles, reduce, selection, split_gain, wide)
 from takeup.plans import standins as S
 from takeup.plans.inputs import Inputs
 from takeup.plans.oracle import cte, rounded, uniform
@@ -512,6 +512,57 @@ def _(i: Inputs) -> DataFrame:
     return selection.feature_overlap(_selected(i), 30)
 
 
+# best single split of every feature: rows and positives on both sides of every cut, gradients of the logistic loss at the label's rate
+_SPLIT = dict(
+    nz="SELECT ord, x FROM extra_cells WHERE x <> 0",
+    lists_="SELECT ord, list(x ORDER BY x) AS x, min(x) AS least, min(x) FILTER (WHERE x > 0) AS first FROM nz GROUP BY 1",
+    cuts="""SELECT DISTINCT ord, c FROM (SELECT ord, first AS c FROM lists_ WHERE first IS NOT NULL UNION ALL
+      SELECT ord, 0.0 FROM lists_ WHERE least < 0 UNION ALL
+      SELECT ord, x[1 + (k*(len(x)-1))//255] + (x[1 + (k*(len(x)-1) + 254)//255] - x[1 + (k*(len(x)-1))//255]) * ((k*(len(x)-1)) % 255)/255.0
+      FROM lists_, (SELECT unnest(range(255)) AS k))""",
+    cl="SELECT ord, list(c ORDER BY c) AS cl FROM cuts GROUP BY 1",
+    binned="""SELECT customer_id, ord, feature, coalesce(len(list_filter(cl, lambda c: c <= coalesce(x, 0))), 0) AS bin
+      FROM extra_cells LEFT JOIN cl USING (ord)""",
+    able="""SELECT target, sum(y)::BIGINT AS ap, count(*)::DOUBLE AS an, CASE WHEN avg(y) < 0.01 THEN least(1/avg(y), 50) ELSE 1.0 END AS w
+      FROM long_target JOIN train_target USING (customer_id) GROUP BY 1 HAVING sum(y) >= 50 AND sum(y) < count(*)""",
+    hist="""SELECT ord, feature, target, bin, count(*) AS n, sum(y) AS p FROM binned JOIN long_target USING (customer_id)
+      JOIN able USING (target) GROUP BY 1,2,3,4""",
+    sides="""SELECT ord, feature, target, w, an, ap::DOUBLE AS ap, ap*w/(an-ap+ap*w) AS p, (sum(n) OVER z)::DOUBLE AS ln, (sum(p) OVER z)::DOUBLE AS lp
+      FROM hist JOIN able USING (target) WINDOW z AS (PARTITION BY ord, target ORDER BY bin)""",
+    term="""SELECT *, p*(ln-lp)+w*(p-1)*lp AS gl, p*(1-p)*(ln-lp+w*lp) AS hl, p*(an-ln-ap+lp)+w*(p-1)*(ap-lp) AS gr,
+      p*(1-p)*(an-ln-ap+lp+w*(ap-lp)) AS hr, p*(an-ap)+w*(p-1)*ap AS g, p*(1-p)*(an-ap+w*ap) AS h FROM sides""",
+    gain="""SELECT ord, feature, target, greatest(coalesce(max(gl*gl/hl + gr*gr/hr - g*g/h) FILTER (WHERE ln >= 20 AND an-ln >= 20), 0), 0) AS gain
+      FROM term GROUP BY 1,2,3""")
+
+
+@query("split_gain", cte("train_target", "long_target", "extra_cells", **_SPLIT)
+       + f"SELECT feature, target, {rounded('gain', 3)} AS gain FROM gain")  # M9 A19: all labels and columns
+def _(i: Inputs) -> DataFrame:
+    out = split_gain.split_gain(i.train_extra_targets(), S.EXTRAS, S.TARGETS)
+    return round_doubles(out.select("feature", "target", "gain"), 3)
+
+
+_TWO = dict(
+    mixed="""SELECT ord, feature, 0.4*corr/max(corr) OVER () + 0.6*gain/CASE WHEN max(gain) OVER () > 0 THEN max(gain) OVER () ELSE 1 END AS score
+      FROM (SELECT ord, feature, sum(corr) AS corr FROM scor GROUP BY 1,2)
+      JOIN (SELECT ord, sum(gain) AS gain FROM kept LEFT JOIN gain USING (ord, feature) GROUP BY 1) USING (ord)""",
+    mixed_each="""SELECT ord, feature, target, 0.35*corr/CASE WHEN max(corr) OVER z > 0 THEN max(corr) OVER z ELSE 1 END
+        + 0.65*coalesce(gain, 0)/CASE WHEN coalesce(max(gain) OVER z, 0) > 0 THEN max(gain) OVER z ELSE 1 END AS score
+      FROM scor LEFT JOIN gain USING (ord, feature, target) WINDOW z AS (PARTITION BY target)""")
+
+
+@query("feature_selection_two_signals", cte("train_target", "long_target", "extra_cells", **{
+       k: v for k, v in _SEL_ALL.items() if k in ("sample", "cells", "kept", "scor")}, **_SPLIT, **_TWO) + f"""
+       SELECT scope, target, feature, rank, {rounded('score')} AS score FROM (
+       SELECT 'global' AS scope, NULL AS target, feature, (row_number() OVER (ORDER BY round(score, 9) DESC, ord))::INTEGER AS rank, score FROM mixed
+       QUALIFY rank <= 40 UNION ALL SELECT 'target', target, feature,
+       (row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, ord))::INTEGER AS rank, score FROM mixed_each QUALIFY rank <= 15)""")  # M8 A19 A22 T1 T2
+def _(i: Inputs) -> DataFrame:
+    rows = i.train_extra_targets()
+    return round_doubles(selection.select_features(
+        rows, S.EXTRAS, S.TARGETS, lambda kept: split_gain.split_gain(rows, kept, S.TARGETS), top_global=40, top_per_target=15, min_valid=20))
+
+
 @query("top_by_dispersion", cte("extra_cells", prof=_PROFILE) + """SELECT (row_number() OVER (ORDER BY std0 DESC, ord))::INTEGER AS rank,
        feature FROM prof QUALIFY rank <= 25""")  # A15 T4
 def _(i: Inputs) -> DataFrame:
@@ -610,6 +661,106 @@ def _(i: Inputs) -> DataFrame:
     return quantiles.quantile_normal(rows, quantiles.fit_knots(rows.where("split = 'train'"), _QCOLS, 1000))
 
 
+# the same operators over every numeric column
+_NUMERIC = S.NUMS + S.EXTRAS
+_ALL_NAMES = ", ".join(_NUMERIC)
+_ALL_CELLS = f"SELECT * FROM (SELECT customer_id, split, {_ALL_NAMES} FROM main JOIN extra USING (customer_id)) UNPIVOT (x FOR feature IN ({_ALL_NAMES}))"
+_ALL_SRC = "SELECT customer_id, feature, x FROM cells WHERE split='train'"
+_ALL = dict(cells=_ALL_CELLS, src=_ALL_SRC, qt=_QTABLE.format(m=24))
+
+
+def _all_rows(i: Inputs) -> DataFrame:
+    return i.main().join(i.extra(), "customer_id").select("customer_id", "split", *_NUMERIC)
+
+
+def _all_train(i: Inputs) -> DataFrame:
+    return _all_rows(i).where("split = 'train'")
+
+
+def _edge_sql(padded: bool) -> str:
+    pad, fewest = ("1e-6", 25) if padded else ("0", 2)
+    return f"""SELECT feature, k, CASE WHEN coalesce(n, 0) < {fewest} THEN -3 + 6*k/24.0 WHEN dq < 25 THEN lo-{pad} + (hi+{pad}-(lo-{pad}))*k/24.0 ELSE q END AS edge
+      FROM (SELECT unnest(['{"','".join(_NUMERIC)}']) AS feature) CROSS JOIN (SELECT unnest(range(25)) AS k)
+      LEFT JOIN qt USING (feature, k) LEFT JOIN (SELECT feature, count(DISTINCT q) AS dq, min(q) AS lo, max(q) AS hi FROM qt GROUP BY 1) USING (feature)"""
+
+
+@query("quantile_table_all", cte("main", "extra", **_ALL) + f"SELECT feature, k::INTEGER AS k, n, {rounded('q')} AS q FROM qt")  # A23: every numeric column
+def _(i: Inputs) -> DataFrame:
+    return round_doubles(quantiles.quantile_table(_all_train(i), _NUMERIC, 24).select("feature", "k", "n", "q"))
+
+
+def _edge_rows(i: Inputs, padded: bool) -> DataFrame:
+    edges = quantiles.bin_edges(_all_train(i), _NUMERIC, padded=padded)
+    return edges.selectExpr("feature", "posexplode(edges) as (k, edge)").selectExpr("feature", "k", f"{r('edge')} as edge")
+
+
+@query("quantile_edges_all", cte("main", "extra", **_ALL, edges=_edge_sql(False)) + f"SELECT feature, k::INTEGER AS k, {rounded('edge')} AS edge FROM edges")  # A23
+def _(i: Inputs) -> DataFrame:
+    return _edge_rows(i, False)
+
+
+@query("quantile_edges_padded", cte("main", "extra", **_ALL, edges=_edge_sql(True)) + f"SELECT feature, k::INTEGER AS k, {rounded('edge')} AS edge FROM edges")  # A23 padded
+def _(i: Inputs) -> DataFrame:
+    return _edge_rows(i, True)
+
+
+@query("piecewise_linear_encode_all", cte("main", "extra", **_ALL, edges=_edge_sql(False),
+       bins="SELECT a.feature, a.k, a.edge AS lo, greatest(b.edge-a.edge, 1e-8) AS w FROM edges a JOIN edges b ON a.feature=b.feature AND b.k=a.k+1")
+       + f"""SELECT customer_id, feature, {rounded('sum(least(greatest((x-lo)/w,0),1))')} AS filled,
+       {rounded('sum(k*least(greatest((x-lo)/w,0),1))', 3)} AS weighted FROM cells JOIN bins USING (feature) GROUP BY 1,2""")  # F9
+def _(i: Inputs) -> DataFrame:
+    edges = quantiles.collect_arrays(quantiles.bin_edges(_all_train(i), _NUMERIC), "edges")
+    out = quantiles.piecewise_linear_encode(_all_rows(i), edges)
+    items = ", ".join(f"struct('{c}' as feature, ple_{c} as p)" for c in _NUMERIC)
+    return out.selectExpr("customer_id", f"inline(array({items}))").where("p IS NOT NULL").selectExpr(
+        "customer_id", "feature", f"{r('aggregate(p, 0D, (a, v) -> a + v)')} as filled",
+        f"{r('aggregate(transform(p, (v, k) -> v * k), 0D, (a, v) -> a + v)', 3)} as weighted")
+
+
+_LEVELS = dict(
+    cells=_ALL_CELLS, src=_ALL_SRC, steps="SELECT least(1000, count(*)) - 1 AS m FROM main WHERE split='train'",
+    qk="""SELECT feature, k, m, x[1 + (k*(len(x)-1))//m] + (x[1 + (k*(len(x)-1) + m - 1)//m] - x[1 + (k*(len(x)-1))//m])
+      * ((k*(len(x)-1)) % m)/m::DOUBLE AS q FROM (SELECT feature, list(x ORDER BY x) AS x FROM src GROUP BY 1), steps, (SELECT unnest(range(1000)) AS k) WHERE k <= m""",
+    knots="SELECT feature, q AS v, min(k)/min(m)::DOUBLE AS low, max(k)/min(m)::DOUBLE AS high FROM qk GROUP BY 1,2",
+    brackets="""SELECT *, lead(v) OVER z AS v2, lead(low) OVER z AS low2, max(v) OVER (PARTITION BY feature) AS last FROM knots
+      WINDOW z AS (PARTITION BY feature ORDER BY v)""",
+    levels="""SELECT customer_id, c.feature, CASE WHEN v IS NULL THEN 0.0 WHEN x > last THEN 1.0 WHEN x = v THEN (low+high)/2
+        ELSE high + (low2-high)*((x-v)/(v2-v)) END AS level
+      FROM cells c ASOF LEFT JOIN brackets b ON c.feature = b.feature AND c.x >= b.v""")
+
+
+@query("quantile_normal_all", cte("main", "extra", **_LEVELS) + f"SELECT customer_id, feature, {rounded('level')} AS level FROM levels")  # F10 to the CDF
+def _(i: Inputs) -> DataFrame:
+    out = quantiles.quantile_level(_all_rows(i), quantiles.fit_knots(_all_train(i), _NUMERIC, 1000), "_level")
+    items = ", ".join(f"struct('{c}' as feature, {c}_level as level)" for c in _NUMERIC)
+    return out.selectExpr("customer_id", f"inline(array({items}))").where("level IS NOT NULL").selectExpr(
+        "customer_id", "feature", f"{r('level')} as level")
+
+
+def _horner(coefficients, x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out}*{x}+({c!r}))"
+    return out + "::DOUBLE"
+
+
+# the published rational approximation of the inverse normal distribution, term by term
+_NORMAL_SQL = f"""CASE WHEN p < 0.02425 THEN ({_horner(normal._C, 't')})/({_horner(normal._D, 't')})
+       WHEN p > 1-0.02425 THEN -({_horner(normal._C, 't')})/({_horner(normal._D, 't')})
+       ELSE q*({_horner(normal._A, '(q*q)')})/({_horner(normal._B, '(q*q)')}) END"""
+
+
+@query("quantile_normal_scores_all", cte("main", "extra", **_LEVELS,
+       clipped="SELECT customer_id, feature, least(greatest(level, 1e-7::DOUBLE), 1-1e-7::DOUBLE) AS p FROM levels",
+       terms="SELECT *, p-0.5::DOUBLE AS q, sqrt(-2*ln(least(p, 1-p))) AS t FROM clipped")
+       + f"""SELECT m.customer_id, f.feature, coalesce({rounded(_NORMAL_SQL)}, 0) AS score FROM main m
+       CROSS JOIN (SELECT unnest(['{"','".join(_NUMERIC)}']) AS feature) f LEFT JOIN terms t ON t.customer_id = m.customer_id AND t.feature = f.feature""")  # F10 whole
+def _(i: Inputs) -> DataFrame:
+    out = quantiles.quantile_normal(_all_rows(i), quantiles.fit_knots(_all_train(i), _NUMERIC, 1000))
+    items = ", ".join(f"struct('{c}' as feature, qn_{c} as score)" for c in _NUMERIC)
+    return out.selectExpr("customer_id", f"inline(array({items}))").selectExpr("customer_id", "feature", f"{r('score')} as score")
+
+
 # -- ranks, metrics ---------------------------------------------------------------------
 
 def _train_scores(i: Inputs) -> DataFrame:
@@ -728,7 +879,8 @@ def _(i: Inputs) -> DataFrame:
 _DELTA = "(SELECT unnest(range(11))*2-10 AS d{k})"
 
 
-@query("blend_four_models", _blend_sql(MODELS, _simplex_sql(4, 10)).rstrip() + f""",
+# coarse and fine search over four models; ``won`` has one row per label
+_FOUR = _blend_sql(MODELS, _simplex_sql(4, 10)).rstrip() + f""",
        fine AS (SELECT target, p, n, (d1+10)*1000000+(d2+10)*1000+(d3+10) AS o, w1+d1 AS w1, w2+d2 AS w2, w3+d3 AS w3, w4-d1-d2-d3 AS w4
          FROM best JOIN grid USING (o), {', '.join(_DELTA.format(k=k) for k in (1, 2, 3))}
          WHERE least(w1+d1, w2+d2, w3+d3, w4-d1-d2-d3) >= 0 AND greatest(w1+d1, w2+d2, w3+d3, w4-d1-d2-d3) <= 100),
@@ -737,15 +889,24 @@ _DELTA = "(SELECT unnest(range(11))*2-10 AS d{k})"
        fsc AS (SELECT target, o, (sum(rk2) FILTER (WHERE y=1))::BIGINT AS s2 FROM frk GROUP BY 1,2),
        both_ AS (SELECT target, 0 AS stage, o, s2, w1, w2, w3, w4 FROM sc JOIN best USING (target, o) JOIN grid USING (o)
          UNION ALL SELECT target, 1, o, s2, w1, w2, w3, w4 FROM fsc JOIN fine USING (target, o)),
-       won AS (SELECT * FROM both_ JOIN cls USING (target) QUALIFY row_number() OVER (PARTITION BY target ORDER BY s2 DESC, stage, o) = 1)
-       """ + " UNION ALL ".join(
-           f"SELECT target, 'm{k}' AS model, {rounded(f'CASE WHEN p=0 OR p=n THEN 0.25 ELSE w{k}/100.0 END', 6)} AS weight, "
-           f"{rounded('CASE WHEN p=0 OR p=n THEN 0.5 ELSE (s2/2.0 - p*(p+1)/2.0)/(p*(n-p)) END', 6)} AS auc FROM won"
-           for k in (1, 2, 3, 4)))  # M18 coarse and fine
+       won AS (SELECT * FROM both_ JOIN cls USING (target) QUALIFY row_number() OVER (PARTITION BY target ORDER BY s2 DESC, stage, o) = 1),
+       blended AS (SELECT target, p, n, {', '.join(f'CASE WHEN p=0 OR p=n THEN 0.25 ELSE w{k}/100.0 END AS w{k}' for k in (1, 2, 3, 4))},
+         CASE WHEN p=0 OR p=n THEN 0.5 ELSE (s2/2.0 - p*(p+1)/2.0)/(p*(n-p)) END AS auc FROM won)
+       """
+
+
+@query("blend_four_models", _FOUR + " UNION ALL ".join(
+    f"SELECT target, 'm{k}' AS model, {rounded(f'w{k}', 6)} AS weight, {rounded('auc', 6)} AS auc FROM blended" for k in (1, 2, 3, 4)))  # M18
 def _(i: Inputs) -> DataFrame:
     return _weights(i, blend.search_weights(_train_ranks(i), 4), MODELS)
 
 
+@query("blend_two_model_grid", _blend_sql(["m1", "m2"], _simplex_sql(2, 2)) + _weights_out(["m1", "m2"]))  # M18, 51 points
+def _(i: Inputs) -> DataFrame:
+    models = MODELS[:2]
+    return _weights(i, blend.search_weights(_train_ranks(i, models), 2), models)
+
+
 @query("blend_ablation", _blend_sql(["m1", "m2", "m4"], _simplex_sql(3, 5)) + f"""SELECT 'without m3' AS blend,
        {rounded('avg(auc) FILTER (WHERE p > 0 AND p < n)', 6)} AS mean_auc, (count(*) FILTER (WHERE p > 0 AND p < n)) AS n_labels FROM best""")  # M20 U5
 def _(i: Inputs) -> DataFrame:
@@ -758,6 +919,50 @@ def _(i: Inputs) -> DataFrame:
                                    F.count("*").alias("n_labels")).select("blend", "mean_auc", "n_labels"), 6)
 
 
+_WITHOUT = ["m1", "m2", "m4"]
+_SOLO_WIDE = "solo AS (SELECT target, " + ", ".join(f"max(auc) FILTER (WHERE model='{m}') AS solo_{m}" for m in MODELS) + " FROM solo_auc GROUP BY 1)"
+
+
+def _four_models(i: Inputs) -> DataFrame:
+    """Weights and AUC of the full blend by label and model."""
+    return blend.weights_table(i.spark, blend.search_weights(_train_ranks(i), 4), MODELS)
+
+
+@query("blend_label_report", _FOUR.rstrip() + ", " + _SOLO_WIDE + f""" SELECT target, {', '.join(f"{rounded(f'solo_{m}', 6)} AS solo_{m}" for m in MODELS)},
+       {', '.join(f"{rounded(f'w{m[1]}', 6)} AS weight_{m}" for m in MODELS)}, {rounded('auc', 6)} AS blend_auc,
+       {' + '.join(f'(w{m[1]} > 0.01)::INTEGER' for m in MODELS)} AS n_used FROM blended JOIN solo USING (target)""")  # M23
+def _(i: Inputs) -> DataFrame:
+    solo = metrics.auc(_train_scores(i), ["model", "target"])
+    return round_doubles(blend.label_report(_four_models(i), solo, MODELS), 6)
+
+
+@query("worst_best_blend_labels", _FOUR + f"""SELECT 'worst' AS side, target, {rounded('auc', 6)} AS auc FROM (SELECT * FROM blended
+       ORDER BY auc, target LIMIT 5) UNION ALL SELECT 'best', target, {rounded('auc', 6)} FROM (SELECT * FROM blended
+       ORDER BY auc DESC, target DESC LIMIT 5)""")  # T5 by the blend's AUC
+def _(i: Inputs) -> DataFrame:
+    return round_doubles(blend.worst_and_best(_four_models(i).select("target", "auc").distinct()), 6)
+
+
+def _summary_sql(name: str, table: str, auc: str) -> str:
+    both = "FILTER (WHERE p > 0 AND p < n)"
+    return f"""SELECT '{name}' AS blend, (count(*) {both}) AS n_labels, {rounded(f'avg({auc}) {both}', 6)} AS mean_auc,
+       {rounded(f'avg({auc}) FILTER (WHERE {auc} > 0.5)', 6)} AS mean_auc_above_half, {rounded(f'min({auc}) {both}', 6)} AS min_auc,
+       {rounded(f'max({auc}) {both}', 6)} AS max_auc FROM {table}"""
+
+
+@query("blend_comparison_full", _FOUR + _summary_sql("all models", "blended", "auc"))  # M20 U5: the full side
+def _(i: Inputs) -> DataFrame:
+    usable = labels.eligible(labels.label_stats(i.train_targets(), S.TARGETS), both_classes=True)
+    return round_doubles(blend.blend_summary(_four_models(i), usable, "all models"), 6)
+
+
+@query("blend_comparison_without", _blend_sql(_WITHOUT, _simplex_sql(3, 5)) + _summary_sql("without m3", "best", "auc"))  # M20 U5: the other side
+def _(i: Inputs) -> DataFrame:
+    usable = labels.eligible(labels.label_stats(i.train_targets(), S.TARGETS), both_classes=True)
+    found = blend.search_weights(_train_ranks(i, _WITHOUT), 3)
+    return round_doubles(blend.blend_summary(blend.weights_table(i.spark, found, _WITHOUT), usable, "without m3"), 6)
+
+
 @query("degenerate_label_fallback", cte("wide_ranks") + f"""SELECT customer_id, target,
        {rounded('(r1+r2+r3+r4)/4.0/(2.0*n)', 6)} AS score FROM wide_ranks WHERE split='test' AND target='target_6_1'""")  # M19
 def _(i: Inputs) -> DataFrame:
@@ -802,6 +1007,33 @@ def _(i: Inputs) -> DataFrame:
     return round_doubles(publish.submission(blended, i.template(), S.TARGETS))
 
 
+def _submission_sql(blend_value: str) -> str:
+    """Wide submission from ``blend_value``, a CTE of (customer_id, target, s)."""
+    columns = ", ".join(f"coalesce({rounded(f'max(l) FILTER (WHERE target={chr(39)}{t}{chr(39)})')}, -10.0) AS predict_{t[7:]}" for t in S.TARGETS)
+    return f""", s AS ({blend_value}) SELECT customer_id::INTEGER AS customer_id, {columns}
+       FROM (SELECT customer_id FROM splits WHERE split='test' UNION ALL SELECT -1)
+       LEFT JOIN (SELECT customer_id, target, {_LOGIT.format(p='s')} AS l FROM s) USING (customer_id) GROUP BY 1"""
+
+
+def _submission(i: Inputs, found: dict, models: list[str]) -> DataFrame:
+    test = align.align_scores(S.test_keys(i.target()), i.score(), models, S.TARGETS)
+    blended = blend.apply_weights(blend.rank_table(test, models), found)
+    return round_doubles(publish.submission(blended, i.template(), S.TARGETS))
+
+
+@query("publish_four_models", _FOUR.rstrip() + _submission_sql(
+    "SELECT customer_id, target, (b.w1*r1+b.w2*r2+b.w3*r3+b.w4*r4)/(2.0*t.n) AS s FROM wide_ranks t JOIN blended b USING (target) WHERE split='test'"))  # M22
+def _(i: Inputs) -> DataFrame:
+    return _submission(i, blend.search_weights(_train_ranks(i), 4), MODELS)
+
+
+@query("publish_without_m3", _blend_sql(_WITHOUT, _simplex_sql(3, 5)).rstrip() + _submission_sql(
+    """SELECT customer_id, target, (CASE WHEN p=0 OR p=b.n THEN (r1+r2+r4)/3.0 ELSE (w1*r1+w2*r2+w3*r4)/100.0 END)/(2.0*t.n) AS s
+       FROM wide_ranks t JOIN best b USING (target) JOIN grid USING (o) WHERE split='test'"""))  # M22 U5
+def _(i: Inputs) -> DataFrame:
+    return _submission(i, blend.search_weights(_train_ranks(i, _WITHOUT), 3), _WITHOUT)
+
+
 # -- models (rows only) ------------------------------------------------------------------------
 
 @query("pca_features")  # M7

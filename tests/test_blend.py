@@ -58,6 +58,47 @@ def test_search_is_exhaustive(spark, levels):
     assert got["target_2_1"] == {"weights": (100 / 3,) * 3, "auc": 0.5}
 
 
+@pytest.mark.parametrize("limit,levels", [(30, ()), (200, (8, 64)), (4000, ())])
+@pytest.mark.parametrize("k,step", [(2, 2), (3, 10)])
+def test_coarse_cells_never_change_the_winner(spark, limit, levels, k, step):
+    """Whether cells decide, only rule out, or say nothing."""
+    scores, _ = make(spark, n=300, models=k, seed=11)
+    models = [f"m{m}" for m in range(k)]
+    ranks = blend.rank_table(scores, models)
+    got = blend.search_weights(ranks, k, step=step, levels=levels, limit=limit)
+    for t, (w, value) in brute(scores.toPandas(), models, blend.simplex_grid(k, step)).items():
+        assert got[t]["weights"] == w and got[t]["auc"] == pytest.approx(value)
+
+
+def test_cells_are_bounded_and_keep_all_rows(spark):
+    scores, y = make(spark, n=500, models=3, seed=13)
+    ranks = blend.rank_table(scores, ["m0", "m1", "m2"])
+    for limit in (27, 64, 10_000):
+        cells = blend.rank_cells(ranks, 3, limit).toPandas()
+        for t, part in cells.groupby("target"):
+            assert len(part) <= max(limit, 0) and part.pos.sum() == y[t].sum() and (part.pos + part.neg).sum() == 500
+            low, high = np.stack(part.low), np.stack(part.high)
+            assert (low <= high).all() and (limit < 500 or (low == high).all())
+    plan = blend.rank_cells(ranks, 3, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # rows are not multiplied by the candidates
+
+
+def test_bounds_hold_the_exact_count():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        n = int(rng.integers(2, 40))
+        pos, neg = rng.integers(0, 4, n), rng.integers(0, 4, n)
+        low = rng.integers(0, 30, n)
+        high = low + rng.integers(0, 6, n)
+        value = rng.integers(low, high + 1)
+        exact = sum(int(pos[i] * neg[j]) * (2 * (value[i] > value[j]) + (value[i] == value[j])) for i in range(n) for j in range(n))
+        least, most = blend.pair_bounds(pos, neg, low, high)
+        assert least <= exact <= most
+        assert blend.pair_bounds(pos, neg, value, value) == (exact, exact)
+    big = np.array([10 ** 10, 0]), np.array([0, 10 ** 10])
+    assert blend.pair_bounds(*big, np.array([5, 3]), np.array([5, 3])) == (2 * 10 ** 20, 2 * 10 ** 20)
+
+
 def test_pruning_drops_losers(spark):
     scores, _ = make(spark, n=400, models=2, seed=3)
     ranks = blend.rank_table(scores, ["m0", "m1"]).where("target = 'target_1_1'")
@@ -119,6 +160,18 @@ def test_reports(spark):
     assert {(r["side"], r["target"]) for r in blend.worst_and_best(frame, 1).collect()} == {("worst", "b"), ("best", "a")}
 
 
+def test_label_report_and_summary(spark):
+    found = {"a": {"weights": (99, 1), "auc": 0.8}, "b": {"weights": (50, 50), "auc": 0.4}, "c": {"weights": (50, 50), "auc": 0.5}}
+    weights = blend.weights_table(spark, found, ["x", "y"])
+    solo = spark.createDataFrame([("x", "a", 0.75), ("y", "a", 0.6), ("x", "b", None)], "model string, target string, auc double")
+    rows = {r["target"]: r for r in blend.label_report(weights, solo, ["x", "y"]).collect()}
+    assert (rows["a"].solo_x, rows["a"].solo_y, rows["a"].weight_x, rows["a"].blend_auc, rows["a"].n_used) == (0.75, 0.6, 0.99, 0.8, 1)
+    assert rows["b"].solo_x is None and rows["c"].n_used == 2
+    usable = spark.createDataFrame([("a",), ("b",)], "target string")
+    row = blend.blend_summary(weights, usable, "all").first()
+    assert row.n_labels == 2 and row.mean_auc == pytest.approx(0.6) and row.mean_auc_above_half == 0.8 and row.min_auc == 0.4
+
+
 def test_fold_average(spark):
     df = spark.createDataFrame([(1, "m", "t", 0.2), (1, "m", "t", 0.4)], f"{KEY} long, model string, target string, score double")
     assert align.fold_average(df).first()["score"] == pytest.approx(0.3)
