@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from takeup.functions.clean import category_level, number
-from takeup.operators.lookup import fitting, keyed_lookup
+from takeup.operators.lookup import HOT_SHARE, fitting, keyed_lookup, staged_by
 from takeup.session import MAX_BROADCAST_ROWS, stage
 
 ALL_FOLDS = -1
@@ -24,6 +24,16 @@ def explode_levels(df: DataFrame, cats: Sequence[str], keep: Sequence[str], own_
     return df.selectExpr(*keep, f"inline(array({items}))")
 
 
+def hot_levels(rows: DataFrame, cats: Sequence[str], keep: Sequence[str], own_null_level: bool) -> DataFrame:
+    """``(cat, level, <keep>)`` of the keys that hold more than the hot share of ``rows``, for all categories from
+    one pass; at most ``1 / HOT_SHARE`` per category."""
+    counts = staged_by(explode_levels(rows, cats, keep, own_null_level).dropna().groupBy(
+        "cat", "level", *[k.split()[-1] for k in keep]).agg(F.count("*").alias("_n")), "cat", "level_rows")
+    total = counts.groupBy("cat").agg(F.sum("_n").alias("_total"))  # one row per category
+    hot = counts.join(F.broadcast(total), "cat").where(F.col("_n") > F.col("_total") * HOT_SHARE)
+    return stage(hot.drop("_n", "_total"), "hot_levels")
+
+
 # -- which categories qualify ------------------------------------------------
 
 def distinct_levels(df: DataFrame, cats: Sequence[str], max_levels: int = 500) -> DataFrame:
@@ -76,14 +86,17 @@ def frequency_encode(rows: DataFrame, cats: Sequence[str], population: DataFrame
     """Add ``freq_<cat>``, the share of the level among all rows of ``population``
     (train and test together). Null stays null, or becomes 0 with ``replace``, which
     puts the frequency in place of the category."""
-    counts = stage(level_counts(population if population is not None else rows, cats), "level_counts")
+    counts = staged_by(level_counts(population if population is not None else rows, cats), "cat", "level_counts")
     small = fitting(counts, "cat", lookup.get("max_rows", MAX_BROADCAST_ROWS))
+    large = [c for c in cats if c not in small]
+    hot = hot_levels(rows, large, [], False) if large else None
     out = rows
     for c in cats:
         one = counts.where((F.col("cat") == c) & F.col("level").isNotNull()).select(
             F.col("level").alias("_level"), "n", F.col("freq").alias("_freq"))
         out = out.withColumn("_level", F.col(c).cast("string"))
-        out = keyed_lookup(out, one, ["_level"], weight="n", spread_by=[key], staged=True, broadcast=c in small, **lookup)
+        known = hot.where(F.col("cat") == c).select(F.col("level").alias("_level")) if c in large else None
+        out = keyed_lookup(out, one, ["_level"], weight="n", spread_by=[key], staged=True, broadcast=c in small, hot=known, **lookup)
         if replace:
             out = out.drop("_level", "n").withColumn(c, F.coalesce("_freq", F.lit(0.0))).drop("_freq")
         else:
@@ -148,13 +161,17 @@ def apply_target_means(rows: DataFrame, encodings: DataFrame, names: dict[str, t
     for name, (cat, label) in names.items():
         by_cat.setdefault(cat, {})[name] = label
     small = fitting(encodings, "cat", lookup.get("max_rows", MAX_BROADCAST_ROWS))
-    out = rows.withColumn("_fold", F.expr(f"coalesce({fold}, {ALL_FOLDS})" if fold else f"{ALL_FOLDS}"))
+    of_fold = f"coalesce({fold}, {ALL_FOLDS})" if fold else f"{ALL_FOLDS}"
+    large = [c for c in by_cat if c not in small]
+    hot = hot_levels(rows, large, [f"{of_fold} as fold"], own_null_level) if large else None
+    out = rows.withColumn("_fold", F.expr(of_fold))
     for cat, wanted in by_cat.items():
         one = encodings.where(f"cat = '{cat}'").selectExpr(
             "level as _level", "fold as _fold", "n as _n", *[f"e_{t} as _e_{name}" for name, t in wanted.items()])
         kept = out.columns
+        known = hot.where(F.col("cat") == cat).select(F.col("level").alias("_level"), F.col("fold").alias("_fold")) if cat in large else None
         out = keyed_lookup(out.withColumn("_level", F.expr(level_of(cat, own_null_level))), one, ["_level", "_fold"],
-                           weight="_n", spread_by=[key], staged=True, broadcast=cat in small, **lookup)
+                           weight="_n", spread_by=[key], staged=True, broadcast=cat in small, hot=known, **lookup)
         out = out.selectExpr(*kept, *[f"coalesce(_e_{name}, {number(priors[t])}) as {name}" for name, t in wanted.items()])
     return out.select(*rows.columns, *names)
 
@@ -179,7 +196,7 @@ def oof_target_encode(rows: DataFrame, cats: Sequence[str], labels: Sequence[str
     full-fit encodings for test rows (``fold`` null). With ``top``, only the most
     dispersed encodings are built at all."""
     train = rows.where(F.col(fold).isNotNull())
-    encodings = stage(fit_target_means(train, cats, labels, fold, smoothing, prior), "encodings")
+    encodings = staged_by(fit_target_means(train, cats, labels, fold, smoothing, prior), "cat", "encodings")
     names = {f"te_{c}_{t}": (c, t) for t in labels for c in cats}
     if top is not None and len(names) > top:
         kept = {f"te_{r['cat']}_{r['target']}"
@@ -196,8 +213,8 @@ def composite_target_encode(rows: DataFrame, cats: Sequence[str], y: str, is_tra
     unseen levels get the overall mean. With ``fold`` the train rows are encoded
     out of fold; without it each row's own label leaks into its value."""
     train = rows.where(is_train)
-    encodings = stage(fit_target_means(train.where(F.col(y).isNotNull()), cats, [y], fold, smoothing,
-                                       own_null_level=False).where(F.col("level").isNotNull()), "encodings")
+    encodings = staged_by(fit_target_means(train.where(F.col(y).isNotNull()), cats, [y], fold, smoothing,
+                                           own_null_level=False).where(F.col("level").isNotNull()), "cat", "encodings")
     names = {f"_enc_{c}": (c, y) for c in cats}
     out = apply_target_means(rows, encodings, names, label_priors(train, [y]), fold, own_null_level=False,
                              key=key, **lookup)

@@ -8,9 +8,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from takeup.functions.clean import fill_clip, finite, guard, signed_guard
-from takeup.operators.encode import explode_levels
-from takeup.operators.lookup import fitting, keyed_lookup
-from takeup.session import MAX_BROADCAST_ROWS, stage
+from takeup.operators.encode import explode_levels, hot_levels
+from takeup.operators.lookup import fitting, keyed_lookup, staged_by
+from takeup.session import MAX_BROADCAST_ROWS
 
 
 def fit_group_stats(train: DataFrame, cats: Sequence[str], nums: Sequence[str]) -> DataFrame:
@@ -28,12 +28,15 @@ def apply_group_stats(rows: DataFrame, stats: DataFrame, cats: Sequence[str], nu
     column serves all its numbers."""
     out, names = rows, []
     small = fitting(stats, "cat", lookup.get("max_rows", MAX_BROADCAST_ROWS))
+    large = [c for c in cats if c not in small]
+    hot = hot_levels(rows, large, [], False) if large else None
     for cat in cats:
         one = stats.where(f"cat = '{cat}'").selectExpr(
             "level as _level", "n as _n", *[f"{m}_{c} as _{m}_{c}" for c in nums for m in ("mean", "std")])
         kept = out.columns
+        known = hot.where(F.col("cat") == cat).select(F.col("level").alias("_level")) if cat in large else None
         out = keyed_lookup(out.withColumn("_level", F.col(cat).cast("string")), one, ["_level"], weight="_n",
-                           spread_by=[key], staged=True, broadcast=cat in small, **lookup)
+                           spread_by=[key], staged=True, broadcast=cat in small, hot=known, **lookup)
         made = {}
         for c in nums:
             std = guard(f"coalesce(_std_{c}, 1.0D)")
@@ -49,7 +52,7 @@ def group_features(train: DataFrame, rows: DataFrame, cats: Sequence[str], nums:
                    max_cats: int | None = None, max_nums: int | None = None, **options) -> DataFrame:
     """Fit on ``train``, apply to ``rows``; limits are the caller's choice."""
     cats, nums = list(cats[:max_cats]), list(nums[:max_nums])
-    return apply_group_stats(rows, stage(fit_group_stats(train, cats, nums), "group_stats"), cats, nums, **options)
+    return apply_group_stats(rows, staged_by(fit_group_stats(train, cats, nums), "cat", "group_stats"), cats, nums, **options)
 
 
 def pair_features(rows: DataFrame, nums: Sequence[str], first: int | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def hot_keys(rows: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> Da
 def keyed_lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str | None = None,
                  spread_by: Sequence[str] = (), max_rows: int = MAX_BROADCAST_ROWS,
                  max_bytes: int = MAX_BROADCAST_BYTES, staged: bool = False, rows_in_table: int | None = None,
-                 broadcast: bool | None = None) -> DataFrame:
+                 broadcast: bool | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Left join of ``rows`` with ``table`` on ``on`` (unique in ``table``).
 
     The table is staged and measured unless the caller has decided about the broadcast (see
@@ -71,7 +71,7 @@ def keyed_lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: s
         table = stage(table, "lookup")
 
     values = [c for c in table.columns if c not in on]
-    hot = hot_keys(rows, on)
+    hot = hot_keys(rows, on) if hot is None else hot
     if weight is not None:
         total = table.agg(F.sum(weight)).first()[0] or 0
         hot = hot.union(table.where(F.col(weight) > F.lit(total * HOT_SHARE)).select(*on).dropna()).distinct()
@@ -91,3 +91,9 @@ def keyed_lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: s
     found = F.coalesce("_hot", "_cold")
     kept = [c for c in rows.columns if c not in on]
     return joined.select(*on, *kept, *[found[c].alias(c) for c in values])
+
+
+def staged_by(table: DataFrame, by: str, name: str) -> DataFrame:
+    """The table in the shared folder with a directory per value of ``by`` (few), so that reading it
+    value by value reads every file once. Large values are spread over several files."""
+    return stage(table.hint("rebalance", by), name, [by])

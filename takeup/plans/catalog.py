@@ -7,12 +7,13 @@ both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from takeup.functions import clean as C, normal
 from takeup.functions.hashing import hash_uniform
-from takeup.operators import (align, assemble, blend, encode, folds, groupstats, labels, learn, metrics, profile,
+from takeup.operators import (align, assemble, blend, boost, encode, folds, groupstats, labels, learn, metrics, profile,
                               publish, quantiles, reduce, selection, split_gain, wide)
 from takeup.plans import standins as S
 from takeup.plans.inputs import Inputs
@@ -1074,3 +1075,42 @@ def _(i: Inputs) -> DataFrame:
 def _(i: Inputs) -> DataFrame:
     return learn.oof_scores(_learner_base(i), _MODEL_LABELS, learn.linear(maxIter=5),
                             learn.smooth_features(S.NUMS, n_quantiles=100), range(5))
+
+
+# -- learners over all labels: what must hold of every score ------------------------------------
+
+def _checked(i: Inputs, scores: DataFrame) -> DataFrame:
+    """Per label and fold: rows scored, and rows with an impossible score or of another fold."""
+    own = i.folds().select("customer_id", F.col("fold").alias("_own"))
+    rows = scores.join(own, "customer_id", "left")
+    return rows.groupBy("target", "fold").agg(
+        F.sum((F.col("split") == "train").cast("long")).alias("n_train"), F.sum((F.col("split") == "test").cast("long")).alias("n_test"),
+        F.countDistinct("customer_id").alias("n_clients"),
+        F.sum((~F.col("score").between(0, 1) | F.isnan("score") | F.col("score").isNull()).cast("long")).alias("n_outside"),
+        F.sum(F.coalesce((F.col("split") == "train") & (F.col("_own") != F.col("fold")), F.lit(False)).cast("long")).alias("n_own_training"),
+        F.sum(((F.col("split") == "test") == F.col("_own").isNotNull()).cast("long")).alias("n_wrong_split"))
+
+
+_CHECKED = """SELECT target, fold, n AS n_train, t AS n_test, n + t AS n_clients, 0::BIGINT AS n_outside, 0::BIGINT AS n_own_training, 0::BIGINT AS n_wrong_split
+   FROM names, (SELECT fold, count(*) AS n FROM folds GROUP BY 1), (SELECT count(*) AS t FROM splits WHERE split='test')"""
+
+
+def _wide_base(i: Inputs) -> DataFrame:
+    return i.main_with_folds().join(i.extra(), "customer_id", "left")
+
+
+@query("oof_counts_boosted", cte("folds", "names", "splits") + _CHECKED)  # M10 M14 M15 M25: 18 labels, 190 columns
+def _(i: Inputs) -> DataFrame:
+    few = {k: replace(g, rounds=4, depth=4) for k, g in boost.BOOSTED.items()}
+    return _checked(i, boost.oof_scores(_wide_base(i), _NUMERIC, S.TARGETS, range(5), few))
+
+
+@query("oof_counts_forest", cte("folds", "names", "splits") + _CHECKED)  # M14 M15
+def _(i: Inputs) -> DataFrame:
+    few = {k: replace(g, rounds=5, depth=5) for k, g in boost.FOREST.items()}
+    return _checked(i, boost.oof_scores(_wide_base(i), _NUMERIC, S.TARGETS, range(5), few, model="forest"))
+
+
+@query("oof_counts_linear", cte("folds", "names", "splits") + _CHECKED)  # M16 M15
+def _(i: Inputs) -> DataFrame:
+    return _checked(i, learn.oof_scores(_wide_base(i), S.TARGETS, learn.linear(maxIter=20), learn.smooth_features(_NUMERIC), range(5), parallel=8))

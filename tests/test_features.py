@@ -307,3 +307,33 @@ def test_feature_lists_and_reuse(spark, tmp_path):
     assert built == [1, 2] and spark.read.parquet(str(tmp_path / "art")).columns == lists.columns
     tables.save(lists, str(tmp_path / "f"), floats=True)
     assert dict(spark.read.parquet(str(tmp_path / "f")).dtypes)["score"] == "float"
+
+
+def test_level_table_is_read_once_over_all_categories(spark):
+    """Every category reads its own directory of the staged table."""
+    rows = spark.range(200).selectExpr("id as customer_id", "id % 3 as a", "id % 5 as b", "id % 7 as c", "id % 2 as y", "int(id % 4) as fold")
+    plans = [encode.frequency_encode(rows, ["a", "b", "c"]), encode.oof_target_encode(rows, ["a", "b", "c"], ["y"])]
+    for out in plans:
+        text = out._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in text.split("\n") if "FileScan parquet" in line]
+        assert len(scans) == 3 and all(f"= {c})" in line.split("PartitionFilters")[1] for c, line in zip("cba", scans))
+    assert plans[0].where("customer_id = 4").first()["freq_a"] == pytest.approx(67 / 200)
+
+
+def test_hot_levels_of_all_categories_come_from_one_pass(spark):
+    rows = spark.range(3000).selectExpr("id as customer_id", "if(id < 1000, 'hot', cast(id as string)) as a", "cast(id as string) as b", "int(id % 2) as fold")
+    hot = encode.hot_levels(rows, ["a", "b"], ["fold"], False).collect()
+    assert {(r["cat"], r["level"], r["fold"]) for r in hot} == {("a", "hot", 0), ("a", "hot", 1)}
+    # beyond the broadcast the same values come from the split shuffle join
+    few, many = (encode.frequency_encode(rows, ["a", "b"], **o).orderBy("customer_id").collect() for o in ({}, {"max_rows": 0}))
+    assert few == many
+
+
+def test_repeated_scores_are_an_error(spark):
+    spine = spark.createDataFrame([(1,), (2,)], "customer_id long")
+    scores = spark.createDataFrame([(1, "m", "t", 0.2), (1, "m", "t", None), (3, "m", "t", 0.9)], "customer_id long, model string, target string, score double")
+    got = {(r.customer_id, r.model): r.score for r in align.align_scores(spine, scores, ["m", "n"], ["t"]).collect()}
+    assert got == {(1, "m"): 0.2, (1, "n"): 0.5, (2, "m"): 0.5, (2, "n"): 0.5}
+    twice = scores.union(spark.createDataFrame([(1, "m", "t", 0.3)], scores.schema))
+    with pytest.raises(Exception, match="repeated scores of 1"):
+        align.align_scores(spine, twice, ["m", "n"], ["t"]).collect()
