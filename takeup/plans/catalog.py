@@ -1114,3 +1114,16 @@ def _(i: Inputs) -> DataFrame:
 @query("oof_counts_linear", cte("folds", "names", "splits") + _CHECKED)  # M16 M15
 def _(i: Inputs) -> DataFrame:
     return _checked(i, learn.oof_scores(_wide_base(i), S.TARGETS, learn.linear(maxIter=20), learn.smooth_features(_NUMERIC), range(5), parallel=8))
+
+
+# sum of the variances is the trace of the covariance, sum of their squares that of its squared entries; the parts' sums follow from both
+@query("pca_variances", cte("extra_cells", wide_=f"SELECT customer_id, ord, coalesce(x, 0) AS x FROM extra_cells",
+       cov="SELECT a.ord AS i, b.ord AS j, covar_samp(a.x, b.x) AS c FROM wide_ a JOIN wide_ b USING (customer_id) WHERE a.ord <= b.ord GROUP BY 1,2")
+       + f"""SELECT count(DISTINCT i) AS n_columns, {rounded('sum(c) FILTER (WHERE i = j) / 1e6', 3)} AS total_variance,
+       {rounded('sum(CASE WHEN i = j THEN c*c ELSE 2*c*c END) / 1e12', 3)} AS squared_entries FROM cov""")  # M7
+def _(i: Inputs) -> DataFrame:
+    factor = reduce.row_factor(S.train_keys(i.extra()), S.EXTRAS)
+    _, variances = factor.components(30)
+    row = i.spark.createDataFrame([(len(factor.mean), float(variances.sum()) / 1e6, float((variances ** 2).sum()) / 1e12)],
+                                  "n_columns long, total_variance double, squared_entries double")
+    return round_doubles(row, 3)

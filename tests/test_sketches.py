@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from takeup.functions.normal import normal_score
-from takeup.operators import learn, quantiles, sketches
+from takeup.operators import learn, quantiles, reduce, sketches
 from takeup.operators.blocks import matrix, with_matrix
 
 
@@ -116,3 +116,23 @@ def test_matrix_reads_missing_as_nan(spark):
     df = spark.createDataFrame([(1.0, None), (float("inf"), 2.0), (float("nan"), -0.0)], "a double, b double").coalesce(1)
     table = with_matrix(df, ["a", "b"]).toArrow()
     assert np.isnan(matrix(table.column(0), 2)).tolist() == [[False, True], [True, False], [True, False]]
+
+
+def test_factors_merge_to_that_of_all_rows(spark):
+    df, x = wide(spark, n=900, parts=9)
+    cols, x = [f"c{j}" for j in range(5)], np.nan_to_num(x)
+    want = np.cov(x.T)
+    for fan_in in (2, 8):
+        factor = reduce.row_factor(df, cols, fan_in)
+        assert factor.n == 900 and factor.mean == pytest.approx(x.mean(axis=0))
+        assert factor.triangle.T @ factor.triangle / 899 == pytest.approx(want)
+    loadings, variances = factor.components(2)
+    values, vectors = np.linalg.eigh(want)
+    assert variances == pytest.approx(values[::-1]) and np.abs(loadings.T @ vectors[:, ::-1][:, :2]) == pytest.approx(np.eye(2), abs=1e-6)
+    got = reduce.pca_features(df, df, cols, 2).orderBy("customer_id").toPandas()
+    assert got[["pca_extra_0", "pca_extra_1"]].to_numpy() == pytest.approx((x - x.mean(axis=0)) @ loadings)
+    assert reduce.row_factor(df.where("false"), cols) is None
+    assert reduce.pca_features(df.where("false"), df.limit(3), cols, 2).count() == 3
+    # fewer rows than columns and components
+    few = reduce.pca_features(df.limit(2), df.limit(2), cols, 4)
+    assert few.count() == 2 and len(few.columns) == 5
