@@ -18,7 +18,7 @@ from takeup.operators import (align, assemble, blend, boost, encode, folds, grou
 from takeup.plans import standins as S
 from takeup.plans.inputs import Inputs
 from takeup.plans.oracle import cte, rounded, uniform
-from takeup.roles import clean_feature_list, conform, infer_roles, target_groups
+from takeup.roles import check_features, clean_feature_list, conform, infer_roles, target_groups
 from takeup.session import new_path
 from takeup.sources import tables
 
@@ -1127,3 +1127,112 @@ def _(i: Inputs) -> DataFrame:
     row = i.spark.createDataFrame([(len(factor.mean), float(variances.sum()) / 1e6, float((variances ** 2).sum()) / 1e12)],
                                   "n_columns long, total_variance double, squared_entries double")
     return round_doubles(row, 3)
+
+
+# -- all feature sets, side by side ----------------------------------------------------------------
+
+_SETS = ["frequency_encode", "oof_target_encode", "composite_target_encode", "group_zscore_ratio", "pairwise_interactions", "numeric_transforms",
+         "row_global_aggs", "null_pattern_blocks", "subgroup_aggs", "cross_target_features"]
+
+
+def _set_columns() -> dict[str, list[str]]:
+    """Names of the features that every set gives."""
+    groups = ["all", *[f"grp{g}" for g, ts in target_groups(S.TARGETS).items() if len(ts) > 1]]
+    meta = [f"meta_{t}" for t in S.TARGETS] + [f"meta_{g}_{n}" for g in groups for n in ("mean", "max", "std")]
+    blocks = range(len(_BLOCKS))
+    return {
+        "frequency_encode": [f"freq_{c}" for c in S.CATS], "composite_target_encode": list(S.CATS),
+        "oof_target_encode": [f"te_{c}_{t}" for t in S.TARGETS for c in S.CATS],
+        "group_zscore_ratio": [f"{f}_{c}_{n}" for f in ("zscore", "ratio") for c in S.CATS for n in S.NUMS],
+        "pairwise_interactions": [f"{f}_{a}_{b}" for f in ("mult", "div") for a, b in _PAIRS],
+        "numeric_transforms": [f"{f}_{c}" for f in ("log1p", "sqrt") for c in S.NUMS],
+        "row_global_aggs": [f"global_extra_{n}" for n in ("sum", "mean", "nonnull", "nonzero")],
+        "null_pattern_blocks": [f"{n}_{g}" for n in ("nullcnt", "nonzero") for g in blocks],
+        "subgroup_aggs": [f"subgroup_{n}_{g}" for n in ("sum", "mean", "std") for g in blocks],
+        "cross_target_features": meta + ["meta_all_min", "meta_all_q25", "meta_all_q75"] + [f"meta_rank_{t}" for t in S.TARGETS]}
+
+
+def _feature_sets(i: Inputs) -> dict[str, DataFrame]:
+    return {name: QUERIES[name](i.spark, i.dir) for name in _SETS} | {
+        "numbers": i.main().select("customer_id", *S.NUMS), "extra": i.extra()}
+
+
+_SET_SQL = {name: ORACLE[name] for name in _SETS} | {
+    "numbers": cte("main") + f"SELECT customer_id, {', '.join(S.NUMS)} FROM main", "extra": cte("extra") + "SELECT * FROM extra"}
+_ALL_FEATURES = [c for cs in _set_columns().values() for c in cs] + S.NUMS + S.EXTRAS
+
+
+@query("base_assembly_full", "WITH " + ", ".join(f"set_{k} AS ({q})" for k, q in enumerate(_SET_SQL.values())) + ", " + cte("template")[5:]
+       + "SELECT template.customer_id, " + ", ".join(f"coalesce({c}, 0)::FLOAT::DOUBLE AS {c}" for c in _ALL_FEATURES) + " FROM template "
+       + " ".join(f"LEFT JOIN set_{k} ON set_{k}.customer_id = template.customer_id" for k in range(len(_SET_SQL))))  # M12 J1-J3 P5: every set
+def _(i: Inputs) -> DataFrame:
+    buckets = int(i.spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = tables.co_located({"spine": i.template(), **_feature_sets(i)}, new_path(i.spark, "sets"), buckets)
+    base = assemble.base_features(sets.pop("spine"), list(sets.values()))
+    return base.selectExpr("customer_id", *[f"cast({c} as double) as {c}" for c in base.columns if c != "customer_id"])
+
+
+@query("feature_contract", "WITH " + ", ".join(f"set_{k} AS ({q})" for k, q in enumerate(_SET_SQL.values())) + " " + " UNION ALL ".join(
+    f"SELECT '{name}' AS name, {len(_set_columns().get(name, S.NUMS if name == 'numbers' else S.EXTRAS))}::INTEGER AS n_features, count(*) AS n_rows, "
+    f"count(DISTINCT customer_id) AS n_keys FROM set_{k}" for k, name in enumerate(_SET_SQL)))  # P19
+def _(i: Inputs) -> DataFrame:
+    parts = [df.agg(F.lit(name).alias("name"), F.lit(len(check_features(df))).alias("n_features"), F.count("*").alias("n_rows"),
+                    F.countDistinct("customer_id").alias("n_keys")).select("name", "n_features", "n_rows", "n_keys")
+             for name, df in _feature_sets(i).items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_LOCAL = 100
+
+
+@query("row_local_aggs_ranked", cte("train_target", "long_target", "extra_cells", "extra", **{
+       k: v for k, v in _SEL_ALL.items() if k in ("sample", "cells", "kept", "scor")}, **_SPLIT, **_TWO,
+       ranked_="SELECT feature, row_number() OVER (ORDER BY round(score, 9) DESC, ord) AS place FROM mixed QUALIFY place <= 100",
+       picked=f"""SELECT customer_id, list(x ORDER BY place) FILTER (WHERE x IS NOT NULL) AS xs
+         FROM (SELECT * FROM extra UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(S.EXTRAS)}))) JOIN ranked_ USING (feature) GROUP BY 1""")
+       + f"""SELECT customer_id, {rounded('coalesce(list_sum(xs), 0)', 6)} AS local_extra_sum, {rounded('list_avg(xs)', 6)} AS local_extra_mean,
+       coalesce(len([v FOR v IN xs IF v <> 0]), 0)::INTEGER AS local_extra_nonzero FROM picked""")  # A10: the ranked list
+def _(i: Inputs) -> DataFrame:
+    rows, df = i.train_extra_targets(), i.extra()
+    lists = selection.select_features(rows, S.EXTRAS, S.TARGETS, lambda kept: split_gain.split_gain(rows, kept, S.TARGETS),
+                                      top_global=_LOCAL, top_per_target=1, min_valid=20)
+    path = new_path(i.spark, "lists")
+    tables.save_feature_lists(lists, path)
+    wanted = clean_feature_list(tables.load_feature_list(i.spark, path, limit=_LOCAL), df.columns, _LOCAL)
+    return round_doubles(wide.row_aggregates(df, wanted, "local_extra", with_nonnull=False), 6)
+
+
+@query("score_store_all_labels", cte("score") + """SELECT model, target, 0::INTEGER AS fold, count(*) AS n,
+       sum(floor(score*100+0.5)::BIGINT)::BIGINT AS cents FROM score GROUP BY 1,2""")  # S8: every model and label
+def _(i: Inputs) -> DataFrame:
+    path = new_path(i.spark, "scores")
+    scores = i.all_scores().selectExpr("*", "0 as fold")
+    tables.save_scores(scores.where("model != 'm1'"), path)
+    tables.save_scores(scores.where("model = 'm1'"), path)
+    return tables.load_scores(i.spark, path).groupBy("model", "target", "fold").agg(
+        F.count("*").alias("n"), F.expr("sum(cast(floor(score * 100 + 0.5) as bigint)) as cents"))
+
+
+@query("resume_all_labels", cte("folds", "names") + """SELECT model, target, fold FROM (VALUES ('m1'),('m2'),('m3'),('m4')) a(model), names,
+       (SELECT DISTINCT fold FROM folds) WHERE NOT (model='m1' OR (model='m2' AND fold < 2) OR (model='m3' AND target LIKE 'target_2%'))""")  # S10
+def _(i: Inputs) -> DataFrame:
+    path = new_path(i.spark, "scores")
+    done = (i.all_scores().join(i.folds().select("customer_id", "fold"), "customer_id")
+            .where("model = 'm1' OR model = 'm2' AND fold < 2 OR model = 'm3' AND target LIKE 'target_2%'"))
+    tables.save_scores(done, path)
+    models = ", ".join(f"struct('{m}' as model)" for m in MODELS)
+    named = ", ".join(f"struct('{t}' as target)" for t in S.TARGETS)
+    units = i.folds().select("fold").distinct().selectExpr("fold", f"inline(array({models}))").selectExpr("model", f"inline(array({named}))", "fold")
+    return tables.remaining_units(units, tables.load_scores(i.spark, path))
+
+
+@query("label_lookup_all", cte("template", "target", "train_target") + f"""SELECT 'lenient' AS mode, customer_id, {', '.join(S.TARGETS)}
+       FROM template LEFT JOIN target USING (customer_id)
+       UNION ALL SELECT 'strict', customer_id, {', '.join(S.TARGETS)} FROM train_target""")  # J4 J5: every label
+def _(i: Inputs) -> DataFrame:
+    lenient = assemble.attach_labels(i.template(), i.target(), S.TARGETS, strict=False)
+    strict = assemble.attach_labels(S.train_keys(i.main()).select("customer_id"), i.target(), S.TARGETS)
+    return lenient.selectExpr("'lenient' as mode", "*").unionByName(strict.selectExpr("'strict' as mode", "*"))

@@ -123,3 +123,30 @@ def test_selection_sees_every_train_row(spark, sf_dir, monkeypatch):
 def test_components_are_the_operators_thirty(spark, sf_dir):
     out = catalog.QUERIES["pca_features"](spark, sf_dir)
     assert sum(f.name != "customer_id" for f in out.schema.fields) == 30
+
+
+def test_co_located_sets_are_joined_without_an_exchange(spark, tmp_path):
+    from takeup.sources import tables
+
+    spine = spark.range(50).selectExpr("id as customer_id")
+    sets = {f"s{k}": spark.range(60).selectExpr("id as customer_id", f"double(id * {k}) as x{k}") for k in range(4)}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = tables.co_located({"spine": spine, **sets}, f"{tmp_path}/sets", 8)
+        out = assemble.base_features(placed.pop("spine"), list(placed.values()))
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert text.count("SortMergeJoin") == 4 and "Exchange" not in text
+        assert out.count() == 50 and out.where("customer_id = 7").first()["x3"] == 21.0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_half_written_sets_are_none(spark, tmp_path):
+    from takeup.sources import tables
+
+    spark.range(3).write.parquet(f"{tmp_path}/whole")
+    spark.range(3).write.parquet(f"{tmp_path}/half")
+    (tmp_path / "half" / "_SUCCESS").unlink()
+    found = tables.optional_sets(spark, {n: f"{tmp_path}/{n}" for n in ("whole", "half", "none")})
+    assert set(found) == {"whole"}
