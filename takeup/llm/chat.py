@@ -7,6 +7,12 @@ turn is counted in ``rewrites``. The part of an assistant turn to learn from lie
 render with a generation prompt and the closing markup, whose length the same turn with
 an empty text shows.
 
+Spans hold for the final output. Those that reach beyond the place of a later rewrite, and turns whose markup was not
+recognised, are looked for anew: the text is marked at both ends in an otherwise equal conversation, and if the output differs
+by the two marks alone, the text stands between them. What is not found so has no span (null), and if it was to be
+learnt from, it is counted in ``lost_loss``: nothing but what the template makes of a learnt turn's own text is ever under the mask. Every
+learnt turn costs four renders of its prefix, so the work grows with the square of a conversation's length.
+
 Conversations are grouped with their rows sorted by turn, then role and text; a conversation is
 the unit of work, as its rendering needs all of it. Null texts and roles are empty, a null
 conversation id is a conversation of its own, a repeated row is a further turn. Other
@@ -33,7 +39,7 @@ _SPECIAL = re.compile("|".join(re.escape(c) for c in ("\\", *CONTROL)))
 _TURN = re.compile(r"<s>\[INST\] (?P<user>.*) \[/INST\]| (?P<assistant>.*) </s>|"
                    r"<s>\[ROLE\] (?P<role>.*) \[TEXT\] (?P<text>.*) \[/ROLE\]", re.DOTALL)
 OUTPUT = ("struct<formatted string, turns array<struct<role string, start int, stop int>>,"
-          " loss array<struct<start int, stop int>>, rewrites int>")
+          " loss array<struct<start int, stop int>>, rewrites int, lost_loss int>")
 
 
 def escape(text: str) -> str:
@@ -90,34 +96,60 @@ def _common(a: str, b: str) -> int:
     return low
 
 
+_OPEN, _CLOSE = "\ue000", "\ue001"
+
+
+def find_text(turns: Turns, at: int, template: Template, final: str) -> tuple[int, int] | None:
+    """Where the text of a turn stands in the final output, if marks around it are all that changes."""
+    role, text = turns[at]
+    marked = template([*turns[:at], (role, _OPEN + text + _CLOSE), *turns[at + 1:]], False)
+    if _OPEN in final or _CLOSE in final or marked.count(_OPEN) != 1 or marked.count(_CLOSE) != 1:
+        return None
+    start, stop = marked.index(_OPEN), marked.index(_CLOSE) - 1
+    return (start, stop) if start <= stop and marked[:start] + marked[start + 1:stop + 1] + marked[stop + 2:] == final else None
+
+
 def render(turns: Turns, template: Template, learn: tuple[str, ...] = ("assistant",)) -> dict:
-    """Final output, span of every turn, spans to learn from, turns that rewrote history."""
-    before, spans, loss, rewrites = template([], False), [], [], 0
+    """Final output, span of every turn, spans to learn from, turns that rewrote history, learnt turns without a span."""
+    before, spans, loss, rewrites = template([], False), [], {}, 0
+    unsure: set[int] = set()
     for i, (role, text) in enumerate(turns):
         now = template(turns[:i + 1], False)
         start = _common(before, now)
         if start < len(before):
             rewrites += 1
+            unsure |= {j for j in range(i) if spans[j]["stop"] > start}
+            unsure.add(i)
         spans.append({"role": role, "start": start, "stop": len(now)})
         if role in learn:
             opened, empty = template(turns[:i], True), template([*turns[:i], (role, "")], False)
             closing = len(empty) - len(opened)
             if now.startswith(opened) and closing >= 0 and empty.endswith(now[len(now) - closing:] if closing else ""):
-                loss.append({"start": len(opened), "stop": len(now) - closing})
+                loss[i] = {"start": len(opened), "stop": len(now) - closing}
+            else:
+                loss[i] = None
         before = now
-    return {"formatted": before, "turns": spans, "loss": loss, "rewrites": rewrites}
+    lost = 0
+    for i in sorted(unsure | {i for i, span in loss.items() if span is None}):
+        place = find_text(turns, i, template, before)
+        if i in unsure:
+            spans[i].update(start=place and place[0], stop=place and place[1])
+        if i in loss:
+            loss[i] = {"start": place[0], "stop": place[1]} if place else None
+            lost += place is None
+    return {"formatted": before, "turns": spans, "loss": [loss[i] for i in sorted(loss) if loss[i]], "rewrites": rewrites, "lost_loss": lost}
 
 
 def format_conversations(rows: DataFrame, template: Template = instruct_template, id_column: str = "conv_id",
                          turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
-    """One row per conversation: id, formatted, turns, loss, rewrites (positions in code points)."""
+    """One row per conversation: id, formatted, turns, loss, rewrites, lost_loss (positions in code points)."""
     bounded_batches(rows.sparkSession)
 
     @F.arrow_udf(OUTPUT)
     def formatted(conversations: pa.Array) -> pa.Array:
         span = [("start", pa.int32()), ("stop", pa.int32())]
         kind = pa.struct([("formatted", pa.string()), ("turns", pa.list_(pa.struct([("role", pa.string()), *span]))),
-                          ("loss", pa.list_(pa.struct(span))), ("rewrites", pa.int32())])
+                          ("loss", pa.list_(pa.struct(span))), ("rewrites", pa.int32()), ("lost_loss", pa.int32())])
         out = []
         for c in conversations:
             out.append(render([(t["role"], t["text"]) for t in c.as_py()], template))
