@@ -44,6 +44,33 @@ def test_whole_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
 
 
+def test_open_calls_of_a_stage_keep_their_tables(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    quality, near = corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[1][1]
+    first, second = quality(spark, docs, small), quality(spark, docs, small)
+    assert first.count() == second.count() > 0
+    kept = stage(first, "tested")
+    near(spark, kept, small)
+    assert second.count() == kept.count()  # which of the two is the input is unknown, so both stay
+    corpus_pipeline._open.clear()
+    kept = stage(quality(spark, docs, small), "tested")
+    (scope,) = corpus_pipeline._open[spark.sparkContext.applicationId, 0]
+    near(spark, kept, small)
+    assert scope.paths == []  # deleted once the next stage begins
+
+
+def test_odd_documents_and_empty_tables(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = docs.limit(60).unionByName(docs.limit(1)).withColumn("text", F.when(F.col("doc_id") % 7 > 0, F.col("text"))).withColumn(
+        "lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang"))).withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.col("source")))
+    odd = odd.selectExpr("*", "'x' as kept", "1 as component_id", "text as w", "doc_id as id")
+    for name, rows in (("odd", odd), ("none", docs.limit(0))):
+        rows.coalesce(2).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{small}/benchmark.parquet").limit(0 if name == "none" else 5).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert set(rows.columns) <= set(out.columns) and (out.count() > 0) == (name == "odd")
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, small, name):
     got = QUERIES[name](spark, small).toPandas()
