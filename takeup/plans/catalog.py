@@ -727,7 +727,8 @@ _LEVELS = dict(
       WINDOW z AS (PARTITION BY feature ORDER BY v)""",
     levels="""SELECT customer_id, c.feature, CASE WHEN v IS NULL THEN 0.0 WHEN x > last THEN 1.0 WHEN x = v THEN (low+high)/2
         ELSE high + (low2-high)*((x-v)/(v2-v)) END AS level
-      FROM cells c ASOF LEFT JOIN brackets b ON c.feature = b.feature AND c.x >= b.v""")
+      FROM (SELECT * FROM cells WHERE feature IN (SELECT feature FROM knots)) c
+      ASOF LEFT JOIN brackets b ON c.feature = b.feature AND c.x >= b.v""")
 
 
 @query("quantile_normal_all", cte("main", "extra", **_LEVELS) + f"SELECT customer_id, feature, {rounded('level')} AS level FROM levels")  # F10 to the CDF
