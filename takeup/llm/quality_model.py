@@ -3,12 +3,12 @@
 Texts become sparse vectors: words and runs of symbols, and pairs of neighbours, hashed into
 ``2 ** bits`` places, with log-scaled counts of unit length. Training reads the labelled rows that
 are not held out, at most ``sample`` of them (those with the smallest hashed ids; a
-documented bound, not a cut of the corpus), in one task that keeps a vector per row and
+documented bound, not a cut of the corpus) with one document each (of several under one id, that with the smallest hash), in one task that keeps a vector per row and
 runs FTRL-proximal updates in a fixed order, so reruns agree. The model has at most
 ``2 ** bits`` weights. Every document is scored as a sparse dot product.
 
 Null and empty texts score the bias alone. A null id counts as not held out; null labels and labels
-without a document are ignored; a repeated label is a repeated training row. Ids, labels,
+without a document are ignored; a repeated label counts once, an id with two labels has a row for each. Ids, labels,
 language and source are no inputs of a score. Other columns are not read.
 """
 
@@ -88,7 +88,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     def vector(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([features(t, bits) for t in texts], columns=["places", "values"])
 
-    vectors = rows.select("_order", "_id", "_label", vector("_text").alias("v"))
+    # one document per labelled row, chosen before rows meet: the training task holds at most ``sample`` vectors
+    vectors = rows.select("_order", "_id", "_label", vector("_text").alias("v")).groupBy("_order", "_id", "_label").agg(
+        F.min_by("v", F.xxhash64("v.places")).alias("v"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = [(p.astype(np.int32), x.astype(np.float32), y) for batch in batches

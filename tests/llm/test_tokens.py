@@ -259,3 +259,35 @@ def test_shift_of_long_spans():
     for a, b in ((0, 70_001), (1, 70_000), (5, 6), (123, 65_659)):
         crc = np.array([zlib.crc32(body[:a])], dtype=np.uint32)
         assert int(np.uint32(zlib.crc32(body[:b])) ^ shift(crc, np.array([b - a]))[0]) == zlib.crc32(body[a:b])
+
+
+# -- 7 ----------------------------------------------------------------------------
+
+def test_training_rows_are_bounded_where_many_documents_share_a_labelled_id(spark):
+    """A plain follow-the-leader over one document per labelled id gives the same weights."""
+    from takeup.llm import quality_model
+
+    many = [(i % 40, prose(i, 30) + (" good" if i % 2 else " bad")) for i in range(200)] + [(7, prose(900 + i, 30)) for i in range(300)] + [(41, None)]
+    docs = spark.createDataFrame(many, "doc_id long, text string").repartition(5)
+    marks = [(i, i % 2, 0) for i in range(42)] + [(3, 1, 0), (3, 1, 1), (None, 1, 0), (5, None, 0)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = quality_model.train(docs, labels, "doc_id", "text", "quality", bits=12, epochs=2)
+
+    order = {i: spark.sql(f"select xxhash64({i}L)").first()[0] for i in range(42)}
+    by_id = collections.defaultdict(list)
+    for i, text in many:
+        by_id[i].append(text)
+    model, rows = quality_model.FollowTheLeader(12), []
+    for i in sorted({i for i, y, _ in marks if i is not None and y is not None and zlib.crc32(str(i).encode()) % 4 != 2}, key=order.get):
+        vectors = [quality_model.features(t, 12) for t in by_id.get(i, [])]
+        if vectors:
+            hashes = [spark.createDataFrame([([int(p) for p in v[0]],)], "p array<long>").selectExpr("xxhash64(p)").first()[0] for v in set_of(vectors)]
+            rows.append((set_of(vectors)[int(np.argmin(hashes))], i % 2))
+    for _ in range(2):
+        for (places, values), y in rows:
+            model.learn(places.astype(np.int32), values.astype(np.float32), y)
+    assert np.count_nonzero(got) > 50 and got == pytest.approx(model.weights(slice(None)), abs=1e-6)
+
+
+def set_of(vectors):
+    return list({tuple(v[0].tolist()): v for v in vectors}.values())
