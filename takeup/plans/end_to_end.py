@@ -15,9 +15,9 @@ from hashlib import md5
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from takeup.operators import (align, assemble, blend, encode, folds, groupstats, labels, learn, metrics, profile,
-                              publish, reduce, selection, wide)
+                              publish, reduce, selection, split_gain, wide)
+from takeup.operators.lookup import staged_by
 from takeup.roles import check_features, clean_feature_list, infer_roles
-from takeup.session import stage
 from takeup.sources import tables
 
 
@@ -38,6 +38,7 @@ class Settings:
     block: int = 500
     parallel: int = 4
     use_gain: bool = True
+    gain_by: str = "splits"                   # best splits of all rows; "trees": boosted models on a sample
     gain: dict = field(default_factory=dict)
     first_stage: dict = field(default_factory=dict)
     boosted: dict = field(default_factory=dict)
@@ -79,12 +80,14 @@ def run(spark: SparkSession, data: Data, out: str, settings: Settings = Settings
     def select() -> DataFrame:
         labels = data.target.select(key, *targets)
         rows, gain = data.extra.join(labels, key), None
-        if s.use_gain:
+        sample = data.extra.join(folds.reduce_rows(labels, targets, s.sample_ratio, s.seed), key)
+        if s.use_gain and s.gain_by == "trees":
             # statistics see every row; only the importance models are fitted on a share of them
-            sample = data.extra.join(folds.reduce_rows(labels, targets, s.sample_ratio, s.seed), key)
-            kept = [r["feature"] for r in profile.varying(profile.column_profile(rows, extra_cols), s.min_valid)
-                    .orderBy("ordinal").select("feature").collect()]
-            gain = learn.gain_importance(sample, kept, targets, parallel=s.parallel, seed=s.seed, **s.gain)
+            def gain(kept: list[str]) -> DataFrame:
+                return learn.gain_importance(sample, kept, targets, parallel=s.parallel, seed=s.seed, **s.gain)
+        elif s.use_gain:
+            def gain(kept: list[str]) -> DataFrame:
+                return split_gain.split_gain(rows, kept, targets, **s.gain)
         return selection.select_features(rows, extra_cols, targets, gain, s.top_global, s.top_per_target, s.min_valid)
 
     step("feature_lists", select)
@@ -124,7 +127,7 @@ def run(spark: SparkSession, data: Data, out: str, settings: Settings = Settings
         train = rows.join(spine.where(is_train).select(key), key)
         made = encode.frequency_encode(rows, main_roles.cats)
         made = groupstats.apply_group_stats(
-            made, stage(groupstats.fit_group_stats(train, main_roles.cats, main_roles.nums), "group_stats"),
+            made, staged_by(groupstats.fit_group_stats(train, main_roles.cats, main_roles.nums), "cat", "group_stats"),
             main_roles.cats, main_roles.nums)
         made = groupstats.transform_features(groupstats.pair_features(made, main_roles.nums), main_roles.nums)
         sets = [wide.null_pattern(data.extra, extra_cols, s.block), wide.block_aggregates(data.extra, extra_cols, s.block)]
