@@ -10,7 +10,6 @@ from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -111,21 +110,26 @@ def cell_bounds(cells: DataFrame, candidates: Candidates, parts: int = 4) -> lis
     """``(target, o, low, high)`` of every candidate from the cells. The candidates of a label are dealt to ``parts``
     tasks, each of which reads the label's cells, a bounded table, and orders them once per candidate."""
     shared = {t: [points[p::parts] for p in range(parts)] for t, points in candidates.items()}
+    k = len(next(iter(candidates.values()))[0][1])
+    sides = [f"{side}{m}" for side in ("low", "high") for m in range(k)]
 
-    def bound(table: pd.DataFrame) -> pd.DataFrame:
-        t, part = table["target"].iloc[0], table["part"].iloc[0]
-        low, high = (np.stack(table[c].to_numpy()).astype(np.int64) for c in ("low", "high"))
+    def bound(group: pa.Table) -> pa.Table:
+        t, part = group.column("target")[0].as_py(), group.column("part")[0].as_py()
+        values = {c: group.column(c).to_numpy() for c in ("pos", "neg", *sides)}
+        low, high = (np.stack([values[f"{side}{m}"] for m in range(k)], axis=1) for side in ("low", "high"))
         points = bool((low == high).all())
-        pos, neg = (table[c].to_numpy(dtype=np.int64) for c in ("pos", "neg"))
-        found = []
+        found: list[tuple] = []
         for o, w in shared[t][part]:
             least = low @ np.array(w, dtype=np.int64)
             most = least if points else high @ np.array(w, dtype=np.int64)
-            found.append((t, o, *map(str, pair_bounds(pos, neg, least, most))))
-        return pd.DataFrame(found, columns=["target", "o", "low", "high"])
-
-    dealt = cells.where(F.col("target").isin(*candidates)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    rows = dealt.groupBy("target", "part").applyInPandas(bound, "target string, o int, low string, high string").collect()
+            found.append((o, *pair_bounds(values["pos"], values["neg"], least, most)))
+        return pa.table({"target": [t] * len(found), "o": pa.array([f[0] for f in found], pa.int32()),
+                         "low": [str(f[1]) for f in found], "high": [str(f[2]) for f in found]})
+
+    flat = [f"{side}[{m}] as {side}{m}" for side in ("low", "high") for m in range(k)]
+    dealt = cells.where(F.col("target").isin(*candidates)).selectExpr(
+        "target", "pos", "neg", *flat, f"explode(sequence(0, {parts - 1})) as part")
+    rows = dealt.groupBy("target", "part").applyInArrow(bound, "target string, o int, low string, high string").collect()
     return [(r["target"], r["o"], int(r["low"]), int(r["high"])) for r in rows]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from takeup.operators.folds import multilabel_folds
 from takeup.plans import standins as S
-from takeup.session import new_path
+from takeup.session import importable_in_workers, new_path
 
 _paths: dict[tuple[str, str, str], str] = {}
 
@@ -19,7 +19,7 @@ class Inputs:
     many queries, so each is written once to the shared folder and read back."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self.spark, self.dir = importable_in_workers(spark), sf_dir.rstrip("/")
 
     def _staged(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         slot = (self.spark.sparkContext.applicationId, self.dir, name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -34,7 +35,18 @@ def build_session(app: str = "takeup", master: str | None = None, **conf: str) -
     }
     for name, value in {**defaults, **conf}.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    return importable_in_workers(builder.getOrCreate())
+
+
+def importable_in_workers(spark: SparkSession) -> SparkSession:
+    """Put the folder of this package on the path of the session's Python workers, for where it is not installed and the
+    working folder is another. On a cluster the package is installed or sent along (``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
