@@ -3,15 +3,16 @@
 1. One pass over the texts finds the base spans (assignments, access keys, long hexadecimal
    runs) and every token of their alphabet and least length that is not inside one of them, with
    its parts between dots.
-2. The values of the base spans are the labelled credentials. Per kind, a bounded sample of
-   distinct values (``sample`` with the smallest hashes) forms a prefix tree over character
-   classes. States whose endings and transitions agree within Hoeffding's bound are merged
-   (red-blue order), which leaves a small probabilistic automaton per format. Kinds with few values
-   share one automaton.
+2. The values of the base spans are the labelled credentials. Per kind, all distinct values form
+   a prefix tree over character classes, counted in the tasks; prefixes of at least ``state_share`` of
+   the values (and two of them) are its states. States whose endings and transitions agree within
+   Hoeffding's bound are merged (red-blue order), which leaves a small probabilistic automaton per
+   format. All values, whole, then run through it: their visits are its counts, their scores its
+   threshold. Kinds with few values share one automaton.
 3. All candidates are scored: the mean log2 likelihood of their characters under an automaton
    must reach what 95 % of its training values reach, and beat a model of uniform
-   characters as well as one of the character pairs of the corpus's own candidates (a bounded
-   sample), which is what ordinary words follow. Those that do are spans of kind ``inferred``.
+   characters as well as one of the character pairs of all the corpus's own candidates, which is
+   what ordinary words follow. Those that do are spans of kind ``inferred``.
 
 Null and empty texts have no spans. Very long texts are scanned whole. Repeated rows count like
 any other; without any credential there is no automaton and only base spans remain. Other
@@ -20,15 +21,18 @@ columns travel in one struct and may have any name.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from takeup.llm.common import bounded_batches, stage
+from takeup.operators.ordering import cumulate, distinct_values
 
 # fixed values: the base patterns and their least lengths
 KINDS = ("assign", "access", "hex")
@@ -47,6 +51,9 @@ CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "
 _CLASS_OF = {c: (name, len(members)) for name, members in CLASSES.items() for c in members}
 _ALPHABET = len(CLASSES) + 5
 
+#: the start of every value in a counted prefix tree, and what follows its last character
+ROOT, END = b"", ""
+
 
 def scan(text: str | None) -> tuple[list[tuple], list[tuple]]:
     """Base spans by start, then kind; candidate tokens outside of them."""
@@ -94,7 +101,7 @@ def classes(value: str) -> list[tuple[str, int]]:
 class Automaton:
     """Probabilistic automaton learned from strings by state merging."""
 
-    def __init__(self, values: list[str], alpha: float = 0.05, quantile: float = 0.05):
+    def __init__(self, values: list[str] = (), alpha: float = 0.05, quantile: float = 0.05):
         self.alpha = alpha
         self.step: list[dict[str, int]] = [{}]
         self.seen, self.ended, self.passed = [0], [0], [{}]
@@ -105,19 +112,73 @@ class Automaton:
         scores = sorted(self.score(v) for v in values)
         self.least = scores[int(quantile * len(scores))] if scores else math.inf
 
+    @classmethod
+    def of_prefixes(cls, nodes: dict[bytes, list[tuple[str, bytes, int]]], alpha: float = 0.05) -> "Automaton":
+        """Merged states of a counted prefix tree: per node the next symbols (or ``END``) with their node and count.
+
+        Children without an entry are no states. The counts of the merged states are those of ``count``."""
+        model = cls(alpha=alpha)
+        todo = [(0, ROOT)] if ROOT in nodes else []
+        for state, key in todo:
+            for symbol, child, n in sorted(nodes[key]):
+                model.seen[state] += n
+                if symbol == END:
+                    model.ended[state] += n
+                    continue
+                model.passed[state][symbol] = n
+                if child in nodes:
+                    todo.append((model._new(state, symbol), child))
+        model._merge_all()
+        return model._reachable()
+
+    def _new(self, state: int, symbol: str) -> int:
+        self.step[state][symbol] = len(self.step)
+        self.step.append({}), self.seen.append(0), self.ended.append(0), self.passed.append({})
+        self.above.append((state, symbol))
+        return self.step[state][symbol]
+
     def _add(self, symbols: list[str]) -> None:
         state = 0
         self.seen[0] += 1
         for s in symbols:
             self.passed[state][s] = self.passed[state].get(s, 0) + 1
             if s not in self.step[state]:
-                self.step[state][s] = len(self.step)
-                self.step.append({}), self.seen.append(0), self.ended.append(0), self.passed.append({})
-                self.above.append((state, s))
+                self._new(state, s)
             state = self.step[state][s]
             self.seen[state] += 1
         self.ended[state] += 1
 
+    def _reachable(self) -> "Automaton":
+        """Without the states that were merged into others."""
+        order, number = [0], {0: 0}
+        for state in order:
+            for s, child in sorted(self.step[state].items()):
+                if child not in number:
+                    number[child] = len(order)
+                    order.append(child)
+        self.step = [{s: number[c] for s, c in self.step[q].items()} for q in order]
+        self.seen, self.ended, self.passed = ([part[q] for q in order] for part in (self.seen, self.ended, self.passed))
+        self.above = []
+        return self
+
+    def visits(self, value: str) -> list[tuple[int, str]]:
+        """The states a value passes, each with the symbol read there, ``END`` in the last."""
+        state, found = 0, []
+        for name, _ in classes(value):
+            found.append((state, name))
+            state = self.step[state].get(name, state)
+        return found + [(state, END)]
+
+    def count(self, visits: dict[tuple[int, str], int]) -> None:
+        """Take the summed visits of all values as the counts of the states."""
+        self.seen, self.ended, self.passed = [0] * len(self.step), [0] * len(self.step), [{} for _ in self.step]
+        for (state, symbol), n in visits.items():
+            self.seen[state] += n
+            if symbol == END:
+                self.ended[state] = n
+            else:
+                self.passed[state][symbol] = n
+
     def _differ(self, x: int, n: int, y: int, m: int) -> bool:
         bound = math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
         return abs(x / n - y / m) > bound
@@ -199,6 +260,16 @@ class Background:
             self.pairs.update(self._pairs(value))
             self.seen.update("^" + value)
 
+    @classmethod
+    def of_pairs(cls, pairs: dict[tuple[str, str], int]) -> "Background":
+        """From the pairs of all values that will be scored, each distinct one counted once."""
+        model = cls([])
+        model.values = None
+        for (a, b), n in pairs.items():
+            model.pairs[a, b] = n
+            model.seen[a] += n
+        return model
+
     @staticmethod
     def _pairs(value: str) -> list[tuple[str, str]]:
         return list(zip("^" + value, value + "$"))
@@ -207,7 +278,8 @@ class Background:
         """Mean log2 likelihood per character, the ending included, without what the value itself added; at
         least that of uniform characters."""
         pairs, total = self._pairs(value), 0.0
-        own, left = (Counter(pairs), Counter("^" + value)) if value in self.values else ({}, {})
+        counted = self.values is None or value in self.values
+        own, left = (Counter(pairs), Counter("^" + value)) if counted else ({}, {})
         for a, b in pairs:
             total += math.log2((self.pairs[a, b] - own.get((a, b), 0) + 1) / (self.seen[a] - left.get(a, 0) + 66))
         return max(total / max(1, len(value)), uniform(value))
@@ -228,38 +300,122 @@ def find_spans(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([_spans([f[0] for f in found]), _spans([f[1] for f in found])], ["base", "others"])
 
 
-def train(found: DataFrame, sample: int = 400, longest: int = 128, least: int = 8) -> dict[str, Automaton]:
+def train(found: DataFrame, least: int = 8, state_share: float = 0.001, quantile: float = 0.05) -> dict[str, Automaton]:
     """An automaton per kind with at least ``least`` distinct labelled values; the values of all smaller kinds
     share one, with those of the other kinds if they are fewer than ``least`` together.
 
-    ``sample`` values per kind of at most ``longest`` characters come to the driver.
+    All values take part with all their characters. The prefixes that at least ``state_share`` of an automaton's values
+    begin with, and two, come to the driver: at most 1 / ``state_share`` of them per length. A single value cannot
+    speak against a merge, as Hoeffding's bound is above 1 for it.
     """
-    values = _distinct(found, "base", longest)
-    models, small, large = {}, [], []
-    for kind in KINDS:
-        rows = [r["value"] for r in _first(values.where(F.col("kind") == kind), sample)]
-        if len(rows) >= least:
-            models[kind] = Automaton(rows)
-            large += rows
-        else:
-            small += rows
-    if small:
-        models["pooled"] = Automaton(small if len(small) >= least else small + large)
+    values = stage(_distinct(found, "base"), "secret_values")
+    sizes = {r["kind"]: r["n"] for r in values.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    small = [k for k in KINDS if 0 < sizes.get(k, 0) < least]
+    few = small and sum(sizes[k] for k in small) < least
+    fed = {k: (["pooled"] if k in small else [k]) + (["pooled"] if few and k not in small else []) for k in sizes}
+    totals = Counter()
+    for kind, names in fed.items():
+        for name in names:
+            totals[name] += sizes[kind]
+    models = {name: Automaton.of_prefixes(nodes) for name, nodes in _prefixes(values, fed, totals, state_share).items()}
+    for name, visits in _visits(values, fed, models).items():
+        models[name].count(visits)
+    for name, score in _lowest(values, fed, models, sum(totals.values()), quantile).items():
+        models[name].least = score
     return models
 
 
-def background(found: DataFrame, sample: int = 4000, longest: int = 128) -> Background:
-    """From ``sample`` distinct candidates of at most ``longest`` characters, which come to the driver."""
-    return Background([r["value"] for r in _first(_distinct(found, "others", longest), sample)])
-
-
-def _distinct(found: DataFrame, spans: str, longest: int) -> DataFrame:
-    return found.select(F.explode(spans).alias("s")).select("s.kind", "s.value").where(
-        F.length("value") <= longest).distinct()
-
-
-def _first(values: DataFrame, sample: int) -> list:
-    return values.orderBy(F.xxhash64("value"), "value").limit(sample).collect()
+def _fed(batch: pa.RecordBatch, fed: dict[str, list[str]]):
+    for kind, value in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist()):
+        for name in fed[kind]:
+            yield name, value
+
+
+def _prefixes(values: DataFrame, fed: dict, totals: dict, share: float) -> dict[str, dict[bytes, list]]:
+    """Per automaton the prefixes that enough of its values begin with, and how these go on."""
+    names = ["model", "node", "symbol", "child"]
+
+    def walked(batches):
+        for batch in batches:
+            rows = []
+            for name, value in _fed(batch, fed):
+                node = ROOT
+                for symbol, _ in [*classes(value), (END, 1)]:
+                    # a prefix is known by the hash of its classes
+                    child = hashlib.blake2b(node + symbol.encode(), digest_size=16).digest()
+                    rows.append((name, node, symbol, child))
+                    node = child
+                    if len(rows) >= 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+    rows = values.mapInArrow(walked, "model string, node binary, symbol string, child binary")
+    nodes = rows.groupBy(*names).agg(F.count("*").alias("n")).groupBy("model", "node").agg(
+        F.sum("n").alias("all_n"), F.collect_list(F.struct("symbol", "child", "n")).alias("next"))
+    enough = F.lit(False)
+    for name, n in totals.items():
+        enough = enough | ((F.col("model") == name) & (F.col("all_n") >= max(2, math.ceil(share * n))))
+    found = {}
+    for r in nodes.where(enough | (F.col("node") == F.lit(ROOT))).select("model", "node", "next").collect():
+        found.setdefault(r["model"], {})[bytes(r["node"])] = [(s["symbol"], bytes(s["child"]), s["n"]) for s in r["next"]]
+    return found
+
+
+def _visits(values: DataFrame, fed: dict, models: dict[str, Automaton]) -> dict[str, dict[tuple[int, str], int]]:
+    """Per automaton how often all its values pass each state with each symbol."""
+    def counted(batches):
+        total = Counter()
+        for batch in batches:
+            for name, value in _fed(batch, fed):
+                total.update((name, *visit) for visit in models[name].visits(value))
+        if total:
+            rows = [(*key, n) for key, n in total.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["model", "state", "symbol", "n"])
+
+    rows = values.mapInArrow(counted, "model string, state long, symbol string, n long")
+    found = {}
+    for r in rows.groupBy("model", "state", "symbol").agg(F.sum("n").alias("n")).collect():
+        found.setdefault(r["model"], {})[r["state"], r["symbol"]] = r["n"]
+    return found
+
+
+def _lowest(values: DataFrame, fed: dict, models: dict[str, Automaton], rows: int, quantile: float) -> dict[str, float]:
+    """Per automaton the score that all but ``quantile`` of its values reach, from all of them."""
+    def scored(batches):
+        for batch in batches:
+            pairs = [(name, models[name].score(value)) for name, value in _fed(batch, fed)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()),
+                                              pa.array([p[1] for p in pairs], pa.float64())], ["model", "score"])
+
+    scores = values.mapInArrow(scored, "model string, score double")
+    counts = distinct_values(scores, ["model"], "score", {"n": F.count("*")})
+    place = F.floor(F.col("all_n") * F.lit(quantile))
+    at = (F.col("below_n") <= place) & (place < F.col("below_n") + F.col("n"))
+    return {r["model"]: r["score"] for r in cumulate(counts, ["model"], "score", ["n"], rows).where(at).collect()}
+
+
+def background(found: DataFrame) -> Background:
+    """From the character pairs of all distinct candidates, summed in the tasks; at most one row per pair of
+    characters comes to the driver."""
+    def counted(batches):
+        total = np.zeros(1 << 14, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                text = np.frombuffer(("^" + "$^".join(batch.column(0).to_pylist()) + "$").encode(), np.uint8).astype(np.int64)
+                total += np.bincount((text[:-1] << 7) + text[1:], minlength=1 << 14)
+        total[(ord("$") << 7) + ord("^")] = 0  # between two values
+        codes = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(total[codes])], ["pair", "n"])
+
+    pairs = _distinct(found, "others").select("value").mapInArrow(counted, "pair long, n long")
+    rows = pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    return Background.of_pairs({(chr(r["pair"] >> 7), chr(r["pair"] & 127)): r["n"] for r in rows})
+
+
+def _distinct(found: DataFrame, spans: str) -> DataFrame:
+    return found.select(F.explode(spans).alias("s")).select("s.kind", "s.value").distinct()
 
 
 def scorer(models: dict[str, Automaton], ordinary: Background):
@@ -275,14 +431,14 @@ def scorer(models: dict[str, Automaton], ordinary: Background):
     return inferred
 
 
-def scanned(docs: DataFrame, text_column: str = "text", carry: list[str] | None = None, sample: int = 400) -> DataFrame:
+def scanned(docs: DataFrame, text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row`` (the carried columns), ``base`` and ``inferred`` spans of every document."""
     bounded_batches(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     scanner = F.arrow_udf(find_spans, f"struct<base {SPAN}, others {SPAN}>")
     rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), scanner(F.col(text_column)).alias("found"))
     rows = stage(rows.select("row", "found.base", "found.others"), "secret_spans")
-    models = train(rows, sample)
+    models = train(rows)
     ordinary = background(rows) if models else Background([])
     return rows.select("row", "base", scorer(models, ordinary)("others").alias("inferred"))
 

@@ -259,6 +259,42 @@ def test_rare_formats_share_an_automaton(spark):
     assert set(secrets.train(rows)) == {"pooled"}
 
 
+def spans_table(spark, column, spans):
+    """A scanned table with the values ``(kind, value)`` in one column of spans, some of them twice."""
+    rows = [([(k, 0, len(v), v)] * (1 + i % 2),) for i, (k, v) in enumerate(spans)]
+    return spark.createDataFrame(rows, f"{column} {secrets.SPAN}").repartition(4)
+
+
+def test_ordinary_tokens_are_counted_from_all_candidates(spark):
+    rng = np.random.default_rng(11)
+    values = ["".join(rng.choice(list("abcdeXY09+/._=-"), 12)) for _ in range(4500)] + ["q" * 129 + "Z", "z" * 70_000]
+    want = secrets.Background(values)
+    got = secrets.background(spans_table(spark, "others", [("inferred", v) for v in values]))
+    assert (got.pairs, got.seen) == (want.pairs, want.seen)
+    assert all(got.score(v) == want.score(v) for v in values[:50] + values[-2:])
+
+
+def test_automata_count_all_values(spark):
+    """More values than a driver's sample would hold, long ones and a pooled rest; threshold and counts by brute force."""
+    rng = np.random.default_rng(12)
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    spans = [("assign", "ghp_" + draw("abcdefghijklmnopqrstuvwxyz0123456789", 20)) for _ in range(1500)]
+    spans += [("assign", draw("0123456789ABCDEF", 140)) for _ in range(300)] + [("assign", "x" * 20_000)]
+    spans += [("access", "AKIA" + draw("ABCDEFGHIJ0123456789", 16)) for _ in range(3)]
+    models = secrets.train(spans_table(spark, "base", spans))
+    assert set(models) == {"assign", "pooled"}
+    for name, model in models.items():
+        values = sorted({v for k, v in spans if name == "pooled" or k == name})
+        scores = sorted(model.score(v) for v in values)
+        assert model.least == scores[int(0.05 * len(scores))]
+        assert sum(model.ended) == len(values) and sum(model.seen) == sum(len(v) + 1 for v in values)
+        assert model.seen[0] >= len(values) and len(model.step) > 1
+    assert all(models["assign"].passed[0].get(c, 0) for c in "lHd")
+    fresh = ["ghp_" + draw("abcdefghijklmnopqrstuvwxyz0123456789", 20) for _ in range(100)]
+    assert np.mean([models["assign"].accepts(v) for v in fresh]) > 0.85
+    assert not any(models["assign"].accepts(v) for v in ("ThisIsJustALongIdentifierName0", "=" * 39 + "a1"))
+
+
 # -- 2 ----------------------------------------------------------------------------
 
 def test_targets_and_mix(docs, rows):
