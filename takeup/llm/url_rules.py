@@ -6,10 +6,11 @@ of the labelled URLs reaches ``min_support`` (the same share at every size), its
 against chance where few URLs are labelled.
 
 Only minimal rules are kept, as a longer one blocks nothing more. Tokens that are rules by themselves are found by counting and
-take no further part; of tokens that occur in exactly the same labelled URLs one stands for all; FP-growth finds
-the combinations among the rest. A labelled URL enters it with at most ``most_tokens`` tokens, those with the
-highest confidence: this documented bound on the search keeps the number of combinations per URL finite. It concerns
-learning only; every page is matched with all its tokens.
+take no further part; of tokens that occur in exactly the same labelled URLs one stands for all. All combinations among the rest are
+searched level by level: each set of tokens is a node that holds the labelled URLs with these tokens, reduced to its possible
+further tokens. Every token of a URL takes part, and only what can lead to no minimal rule is left out: sets below the support, sets with
+a rule in them, tokens that leave all good URLs of a node in place, and nodes whose bad URLs would not make a rule even
+beside only those good ones that have all further tokens.
 
 Each rule is filed under its rarest token, so a URL meets only the rules of its own tokens and then checks the rest of
 the combination.
@@ -25,7 +26,6 @@ without a label and null labels are left out of mining. Other columns are not re
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from takeup.llm.common import stage
@@ -34,7 +34,6 @@ from takeup.operators.lookup import keyed_lookup
 # fixed values: verdict, rule
 HOST_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
               ("block", "net/fr/"))
-BLOCK = "label:block"
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -76,46 +75,86 @@ def lower_bound(hits: Column, n: Column, z: float) -> Column:
     return (share + F.lit(z * z) / (2 * n) - F.lit(z) * spread) / (1 + F.lit(z * z) / n)
 
 
-def mine(labelled: DataFrame, min_support: float = 0.004, min_confidence: float = 0.6, min_lower: float = 0.5, z: float = 2.33,
-         most_tokens: int = 12) -> DataFrame:
-    """Minimal rules ``(rule, confidence, support)`` from rows ``tokens`` and boolean ``bad``; the support is the share of the
+def mine(labelled: DataFrame, min_support: float = 0.004, min_confidence: float = 0.6, min_lower: float = 0.5,
+         z: float = 2.33) -> DataFrame:
+    """All minimal rules ``(rule, confidence, support)`` from rows ``tokens`` and boolean ``bad``; the support is the share of the
     labelled URLs that have the tokens and are bad."""
     items = labelled.where("size(tokens) > 0").select("tokens", "bad", F.monotonically_increasing_id().alias("row"))
     items = stage(items, "url_items")
     total = items.count()
     share, n, hits = F.col("hits") / F.lit(max(total, 1)), F.col("n"), F.col("hits")
-    holds = (share >= min_support) & (hits / n >= min_confidence) & (lower_bound(hits, n, z) >= min_lower)
 
+    def makes_rule(hits: Column, n: Column) -> Column:
+        return (hits / F.lit(max(total, 1)) >= min_support) & (hits / n >= min_confidence) & (lower_bound(hits, n, z) >= min_lower)
+
+    holds = makes_rule(hits, n)
     one = items.select("row", "bad", F.explode("tokens").alias("token"))
     # a hash over the rows tells sets of rows apart
     single = stage(one.groupBy("token").agg(
         F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("hits"),
         F.bit_xor(F.xxhash64("row", F.lit(7))).alias("rows")), "url_tokens_counted")
-    alone = single.where(holds).select(F.array("token").alias("rule"), (hits / n).alias("confidence"), share.alias("support"))
+    measured = [(hits / n).alias("confidence"), share.alias("support")]
+    alone = single.where(holds).select(F.array("token").alias("rule"), *measured)
     # tokens in exactly the same rows are one; what can never reach the support takes no part
-    rest = single.where(~holds & (share >= min_support)).groupBy("n", "hits", "rows").agg(
-        F.min("token").alias("token")).select("token", (hits / n).alias("weight"))
-    picked = one.join(rest, "token").groupBy("row", "bad").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("weight", "token")), asc=False), 1, most_tokens).alias("t"))
-    baskets = stage(picked.select(F.col("t.token").alias("tokens"), "bad"), "url_baskets")
-    words = baskets.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = max(baskets.count(), 1)
-    # the least share of the baskets that is ``min_support`` of all labelled URLs, a little less for rounding
-    least = min(1.0, max((min_support * total - 0.5) / size, 0.5 / size))
-    model = FPGrowth(minSupport=least, minConfidence=min_confidence * 0.999, numPartitions=parts).fit(words)
-    found = model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") > 1))
-    # counts as whole numbers: of the rows with the antecedent, and of the bad ones
-    longer = found.select(F.array_sort("antecedent").alias("rule"), F.round(F.col("support") * size).alias("hits"),
-                          F.round(F.col("support") * size / F.col("confidence")).alias("n")).where(holds)
-    longer = longer.select("rule", (hits / n).alias("confidence"), share.alias("support"))
-    rules = stage(alone.unionByName(longer), "url_rules")
-    # a rule is redundant if another one is a part of it: few rules, met by token
-    tokens_of = rules.select("rule", F.explode("rule").alias("token"))
-    both = tokens_of.alias("a").join(tokens_of.alias("b"), F.expr("a.token = b.token and size(a.rule) < size(b.rule)"))
-    redundant = both.groupBy(F.col("a.rule").alias("part"), F.col("b.rule").alias("rule")).agg(
-        F.count("*").alias("common")).where("common = size(part)").select("rule").distinct()
-    return rules.join(redundant, "rule", "left_anti")
+    rest = single.where(~holds & (share >= min_support)).groupBy("n", "hits", "rows").agg(F.min("token").alias("token"))
+    picked = one.join(rest.select("token"), "token").groupBy("row", "bad").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    bad, good = F.sum(F.col("bad").cast("long")).alias("bad"), F.sum((~F.col("bad")).cast("long")).alias("good")
+    # URLs with equal tokens are one row
+    rows = stage(picked.groupBy("tokens").agg(bad, good).select(F.lit(0).cast("long").alias("node"), "tokens", "bad", "good"),
+                 "url_baskets")
+    nodes = rows.groupBy("node").agg(F.sum("good").alias("all_good")).withColumn("head", F.array().cast("array<string>"))
+    rules = None
+    while not rows.isEmpty():
+        longer, rows, nodes = extend(rows, nodes, rules, makes_rule, share >= min_support)
+        rules = longer if rules is None else stage(rules.unionByName(longer), "url_rules")
+    return alone if rules is None else alone.unionByName(rules.select("rule", *measured))
+
+
+def extend(rows: DataFrame, nodes: DataFrame, rules: DataFrame | None, makes_rule, frequent: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One token more: the rules ``(rule, hits, n)`` that appear, and the rows and nodes of the next level.
+
+    ``rows`` are ``(node, tokens, bad, good)``, the tokens being those of the URLs that may extend the node's ``head``; ``nodes``
+    are ``(node, head, all_good)``, ``rules`` those that are known.
+    """
+    counted = rows.select("node", F.explode("tokens").alias("token"), "bad", "good").groupBy("node", "token").agg(
+        F.sum("bad").alias("hits"), F.sum(F.col("bad") + F.col("good")).alias("n"))
+    # a token in all good URLs of the node adds nothing to any rule
+    found = lookup(counted.where(frequent), nodes, ["node"]).where(F.col("n") - F.col("hits") < F.col("all_good"))
+    found = stage(found.select("node", "token", "hits", "n", F.array_sort(F.concat("head", F.array("token"))).alias("rule")), "url_sets")
+    if rules is not None:
+        found = stage(found.join(containing(found, rules), "rule", "left_anti"), "url_sets_kept")
+    new = makes_rule(F.col("hits"), F.col("n"))
+    longer = stage(found.where(new & (F.size("rule") > 1)).select("rule", "hits", "n"), "url_rules_found")
+    # the rarest tokens of a node go first, so that those of nearly all its URLs are the further tokens of most nodes
+    tails = found.where(~new).groupBy("node").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("tail"))
+    ordered = lookup(rows, tails, ["node"]).where("tail is not null").select(
+        "node", "bad", "good", F.size("tail").alias("width"), "tail", F.array_intersect("tail", "tokens").alias("tokens"))
+    steps = stage(ordered.select("node", "bad", "good", "width", "tail", F.posexplode("tokens").alias("at", "token"), "tokens").select(
+        "node", "token", "bad", "good", (F.col("width") - F.array_position("tail", F.col("token"))).alias("further"),
+        F.expr("slice(tokens, at + 2, size(tokens))").alias("tokens")).where("further > 0").groupBy(
+            "node", "token", "further", "tokens").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "url_steps")
+    # good URLs that stay whatever is added
+    core = steps.groupBy("node", "token").agg(F.sum(F.when(F.size("tokens") == F.col("further"), F.col("good")).otherwise(0)).alias("core"))
+    open_ = found.join(core, ["node", "token"]).where(makes_rule(F.col("hits"), F.col("hits") + F.col("core")))
+    after = stage(open_.select(F.monotonically_increasing_id().alias("next"), "node", "token", "rule",
+                               (F.col("n") - F.col("hits")).alias("all_good")), "url_nodes")
+    going = lookup(steps.where("size(tokens) > 0"), after.select("node", "token", "next"), ["node", "token"]).where("next is not null")
+    going = going.groupBy(F.col("next").alias("node"), "tokens").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return longer, stage(going, "url_rows"), after.select(F.col("next").alias("node"), "all_good", F.col("rule").alias("head"))
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Few rows are broadcast, as each may hold a list of all frequent tokens."""
+    return keyed_lookup(rows, table, on, max_rows=20_000)
+
+
+def containing(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Those ``rule`` of ``sets`` that have one of ``rules`` as a part, met by token."""
+    a = sets.select(F.col("rule").alias("whole"), F.explode("rule").alias("token"))
+    b = rules.select(F.col("rule").alias("part"), F.explode("rule").alias("token"))
+    met = a.join(b, "token").groupBy("whole", "part").agg(F.count("*").alias("common"))
+    return met.where("common = size(part)").select(F.col("whole").alias("rule")).distinct()
 
 
 def matches(urls: DataFrame, rules: DataFrame, counts: DataFrame) -> DataFrame:

@@ -105,6 +105,59 @@ def test_rules_block_what_all_subsets_block(spark, seed):
     assert sorted(map(sorted, got)) == sorted(map(sorted, want)) and want
 
 
+def test_every_token_of_a_long_url_takes_part(spark):
+    """Sixteen common tokens with more bad URLs than the pair that is bad together; by brute force over pairs of tokens."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(1200):
+        pair = [t for t in ("u", "v") if rng.random() < 0.3]
+        bad = rng.random() < (0.97 if len(pair) == 2 else 0.0 if pair else 0.35)
+        if len(pair) == 2:
+            tokens = [f"c{k:02}" for k in range(16)] + pair
+        else:
+            tokens = [f"c{k:02}" for k in range(16) if rng.random() < (0.55 if bad else 0.3)] + pair
+        rows.append((tokens, bool(bad)))
+    rows = [(t, b) for t, b in rows if t]
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean").repartition(3)
+    got = {tuple(r.rule): (r.confidence, r.support) for r in url_rules.mine(df, min_support=0.05).collect()}
+    names, short = sorted({t for r, _ in rows for t in r}), []
+    for k in (1, 2):
+        for s in itertools.combinations(names, k):
+            n, hits = sum(set(s) <= set(t) for t, _ in rows), sum(set(s) <= set(t) and b for t, b in rows)
+            if n and hits / len(rows) >= 0.05 and hits / n >= 0.6 and wilson(hits, n) >= 0.5 and not any(set(o) < set(s) for o in short):
+                short.append(s)
+                assert got[s] == (hits / n, hits / len(rows))
+    assert ("u", "v") in short and {r for r in got if len(r) < 3} == set(short)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_rules_of_nearly_equal_urls(spark, seed):
+    """Keys that each miss in a few of the URLs, more than any cut of a URL's tokens would keep; all subsets by brute force."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(150):
+        tokens = [f"k{k:02}" for k in range(14) if rng.random() < 0.9] if i < 40 else []
+        tokens += ["s:http" if rng.random() < 0.5 else "s:https"] + (["x"] if rng.random() < 0.4 else [])
+        rows.append((tokens, bool(rng.random() < (0.35 + 0.55 * ("x" in tokens) if i < 40 else 0.1))))
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean").repartition(3)
+    got = [frozenset(r.rule) for r in url_rules.mine(df, min_support=0.06).collect()]
+    bits = {t: sum(1 << i for i, r in enumerate(rows) if t in r[0]) for t in {t for r, _ in rows for t in r}}
+    bad = sum(1 << i for i, r in enumerate(rows) if r[1])
+    shown = {}
+    for t in sorted(bits):  # one name per set of rows, as in mine
+        shown.setdefault(bits[t], t)
+    want = []
+    for k in range(1, 18):
+        for s in itertools.combinations(sorted(shown.values()), k):
+            held = (1 << len(rows)) - 1
+            for t in s:
+                held &= bits[t]
+            n, hits = held.bit_count(), (held & bad).bit_count()
+            if n and hits / len(rows) >= 0.06 and hits / n >= 0.6 and wilson(hits, n) >= 0.5 and not any(o < set(s) for o in want):
+                want.append(frozenset(s))
+    assert sorted(map(sorted, got)) == sorted(map(sorted, want)) and max(map(len, want)) > 1
+
+
 def test_many_equal_query_keys_end_quickly(spark):
     """Sixty of 2,000 URLs with the same 25 query keys, half of them bad, so that no key is a rule by itself."""
     keys = "&".join(f"k{i}=1" for i in range(25))
