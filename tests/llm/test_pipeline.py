@@ -1,5 +1,6 @@
 """The pipeline against its operators' rules, stage by stage."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,20 @@ def test_whole_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
 
 
+def test_secret_stage_learns_from_all_credentials(spark, small):
+    """Six hundred credentials, half of them long: the long format is found without its keyword too."""
+    rng = np.random.default_rng(13)
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = [f"so token={draw('0123456789', 12)} it is" for _ in range(300)] + [f"so token={draw(capitals, 140)} it is" for _ in range(300)]
+    hidden = [draw(capitals, 140) for _ in range(50)]
+    rows = list(enumerate(texts + [f"so {t} it is" for t in hidden]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, small).collect()}
+    assert len(out) == len(rows) and all("[SECRET]" in out[i] for i in range(len(texts)))
+    assert np.mean([out[len(texts) + i] == "so [SECRET] it is" for i in range(len(hidden))]) > 0.8
+
+
 def test_open_calls_of_a_stage_keep_their_tables(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     quality, near = corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[1][1]
