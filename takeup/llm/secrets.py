@@ -4,11 +4,12 @@
    runs) and every token of their alphabet and least length that is not inside one of them, with
    its parts between dots.
 2. The values of the base spans are the labelled credentials. Per kind, all distinct values form
-   a prefix tree over character classes, counted in the tasks; prefixes of at least ``state_share`` of
-   the values (and two of them) are its states. States whose endings and transitions agree within
+   a prefix tree over character classes. States whose endings and transitions agree within
    Hoeffding's bound are merged (red-blue order), which leaves a small probabilistic automaton per
-   format. All values, whole, then run through it: their visits are its counts, their scores its
-   threshold. Kinds with few values share one automaton.
+   format. The tree stays in Spark: in every round all values, whole, run through the states known
+   so far, the prefixes of what is left of them are counted and compared, and one more state is
+   known. The last visits of all values are the counts, their scores the threshold. Kinds with few
+   values share one automaton.
 3. All candidates are scored: the mean log2 likelihood of their characters under an automaton
    must reach what 95 % of its training values reach, and beat a model of uniform
    characters as well as one of the character pairs of all the corpus's own candidates, which is
@@ -21,7 +22,6 @@ columns travel in one struct and may have any name.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -51,8 +51,13 @@ CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "
 _CLASS_OF = {c: (name, len(members)) for name, members in CLASSES.items() for c in members}
 _ALPHABET = len(CLASSES) + 5
 
-#: the start of every value in a counted prefix tree, and what follows its last character
-ROOT, END = b"", ""
+#: what follows the last character of a value; the symbols of a state's counts, in their order
+END = ""
+SYMBOLS = (*CLASSES, *"+/_.=-", END)
+_PLACE = {s: i for i, s in enumerate(SYMBOLS)}
+
+#: rolling hash of the symbols on the way to a prefix
+_MODULUS, _BASE = (1 << 61) - 1, 0x1B873593A7C15F39 % ((1 << 61) - 1)
 
 
 def scan(text: str | None) -> tuple[list[tuple], list[tuple]]:
@@ -112,25 +117,6 @@ class Automaton:
         scores = sorted(self.score(v) for v in values)
         self.least = scores[int(quantile * len(scores))] if scores else math.inf
 
-    @classmethod
-    def of_prefixes(cls, nodes: dict[bytes, list[tuple[str, bytes, int]]], alpha: float = 0.05) -> "Automaton":
-        """Merged states of a counted prefix tree: per node the next symbols (or ``END``) with their node and count.
-
-        Children without an entry are no states. The counts of the merged states are those of ``count``."""
-        model = cls(alpha=alpha)
-        todo = [(0, ROOT)] if ROOT in nodes else []
-        for state, key in todo:
-            for symbol, child, n in sorted(nodes[key]):
-                model.seen[state] += n
-                if symbol == END:
-                    model.ended[state] += n
-                    continue
-                model.passed[state][symbol] = n
-                if child in nodes:
-                    todo.append((model._new(state, symbol), child))
-        model._merge_all()
-        return model._reachable()
-
     def _new(self, state: int, symbol: str) -> int:
         self.step[state][symbol] = len(self.step)
         self.step.append({}), self.seen.append(0), self.ended.append(0), self.passed.append({})
@@ -148,27 +134,33 @@ class Automaton:
             self.seen[state] += 1
         self.ended[state] += 1
 
-    def _reachable(self) -> "Automaton":
-        """Without the states that were merged into others."""
-        order, number = [0], {0: 0}
-        for state in order:
-            for s, child in sorted(self.step[state].items()):
-                if child not in number:
-                    number[child] = len(order)
-                    order.append(child)
-        self.step = [{s: number[c] for s, c in self.step[q].items()} for q in order]
-        self.seen, self.ended, self.passed = ([part[q] for q in order] for part in (self.seen, self.ended, self.passed))
-        self.above = []
-        return self
-
-    def visits(self, value: str) -> list[tuple[int, str]]:
-        """The states a value passes, each with the symbol read there, ``END`` in the last."""
+    def visits(self, word: str) -> list[tuple[int, str]]:
+        """The states that a string of classes passes, each with the symbol read there, ``END`` in the last. The way ends
+        at a transition that is not known yet."""
         state, found = 0, []
-        for name, _ in classes(value):
-            found.append((state, name))
-            state = self.step[state].get(name, state)
+        for symbol in word:
+            found.append((state, symbol))
+            if symbol not in self.step[state]:
+                return found
+            state = self.step[state][symbol]
         return found + [(state, END)]
 
+    def open_transitions(self) -> list[tuple[int, str]]:
+        """Counted transitions that lead to no known state."""
+        return [(q, s) for q, passed in enumerate(self.passed) for s in sorted(passed) if s not in self.step[q]]
+
+    def settle(self, differing: set[tuple[int, str, int]]) -> None:
+        """Lead every open transition to the first state that it does not differ from; of those that differ from all
+        states, the first becomes a state and the others wait."""
+        known, grown = len(self.step), False
+        for q, s in self.open_transitions():
+            same = next((r for r in range(known) if (q, s, r) not in differing), None)
+            if same is not None:
+                self.step[q][s] = same
+            elif not grown:
+                grown = True
+                self._new(q, s)
+
     def count(self, visits: dict[tuple[int, str], int]) -> None:
         """Take the summed visits of all values as the counts of the states."""
         self.seen, self.ended, self.passed = [0] * len(self.step), [0] * len(self.step), [{} for _ in self.step]
@@ -234,13 +226,20 @@ class Automaton:
 
     def score(self, value: str, prior: float = 0.02) -> float:
         """Mean log2 likelihood per character, the ending included."""
+        return self._likelihood(classes(value), prior)
+
+    def score_word(self, word: str, prior: float = 0.02) -> float:
+        """The score of the values with these classes."""
+        return self._likelihood([(s, len(CLASSES.get(s, s))) for s in word], prior)
+
+    def _likelihood(self, symbols: list[tuple[str, int]], prior: float) -> float:
         state, total = 0, 0.0
-        for name, size in classes(value):
+        for name, size in symbols:
             weight = self.seen[state] + prior * _ALPHABET
             total += math.log2((self.passed[state].get(name, 0) + prior) / weight / size)
             state = self.step[state].get(name, state)
         total += math.log2((self.ended[state] + prior) / (self.seen[state] + prior * _ALPHABET))
-        return total / max(1, len(value))
+        return total / max(1, len(symbols))
 
     def accepts(self, value: str, floor: float | None = None) -> bool:
         return self.score(value) >= max(self.least, uniform(value) if floor is None else floor)
@@ -300,97 +299,161 @@ def find_spans(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([_spans([f[0] for f in found]), _spans([f[1] for f in found])], ["base", "others"])
 
 
-def train(found: DataFrame, least: int = 8, state_share: float = 0.001, quantile: float = 0.05) -> dict[str, Automaton]:
+def train(found: DataFrame, least: int = 8, quantile: float = 0.05, alpha: float = 0.05) -> dict[str, Automaton]:
     """An automaton per kind with at least ``least`` distinct labelled values; the values of all smaller kinds
     share one, with those of the other kinds if they are fewer than ``least`` together.
 
-    All values take part with all their characters. The prefixes that at least ``state_share`` of an automaton's values
-    begin with, and two, come to the driver: at most 1 / ``state_share`` of them per length. A single value cannot
-    speak against a merge, as Hoeffding's bound is above 1 for it.
+    All values take part with all their characters. A round adds at most one state to every automaton and costs two jobs
+    over the distinct strings of classes. The automata and which of their open transitions differ from which states come
+    to the driver, the prefix tree does not.
     """
     values = stage(_distinct(found, "base"), "secret_values")
     sizes = {r["kind"]: r["n"] for r in values.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     small = [k for k in KINDS if 0 < sizes.get(k, 0) < least]
     few = small and sum(sizes[k] for k in small) < least
     fed = {k: (["pooled"] if k in small else [k]) + (["pooled"] if few and k not in small else []) for k in sizes}
-    totals = Counter()
-    for kind, names in fed.items():
-        for name in names:
-            totals[name] += sizes[kind]
-    models = {name: Automaton.of_prefixes(nodes) for name, nodes in _prefixes(values, fed, totals, state_share).items()}
-    for name, visits in _visits(values, fed, models).items():
-        models[name].count(visits)
-    for name, score in _lowest(values, fed, models, sum(totals.values()), quantile).items():
+    models = {name: Automaton(alpha=alpha) for names in fed.values() for name in names}
+    if not models:
+        return {}
+    words = stage(_words(values, fed), "secret_words")
+    growing = set(models)
+    while growing:
+        for name, visits in _visits(words.where(F.col("model").isin(*growing)), models).items():
+            models[name].count(visits)
+        growing = {name for name in growing if models[name].open_transitions()}
+        differing = _differing(words, {name: models[name] for name in growing}, alpha)
+        for name in growing:
+            models[name].settle(differing.get(name, set()))
+    for name, score in _lowest(words, models, sum(sizes[k] * len(names) for k, names in fed.items()), quantile).items():
         models[name].least = score
     return models
 
 
-def _fed(batch: pa.RecordBatch, fed: dict[str, list[str]]):
-    for kind, value in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist()):
-        for name in fed[kind]:
-            yield name, value
-
+def _words(values: DataFrame, fed: dict[str, list[str]]) -> DataFrame:
+    """Per automaton the distinct strings of classes with the number ``n`` of their values."""
+    model = F.lit(None).cast("array<string>")
+    for kind, names in fed.items():
+        model = F.when(F.col("kind") == kind, F.array(*[F.lit(n) for n in names])).otherwise(model)
+    word = F.translate("value", "".join(_CLASS_OF), "".join(name for name, _ in _CLASS_OF.values()))
+    return values.select(F.explode(model).alias("model"), word.alias("word")).groupBy("model", "word").agg(F.count("*").alias("n"))
 
-def _prefixes(values: DataFrame, fed: dict, totals: dict, share: float) -> dict[str, dict[bytes, list]]:
-    """Per automaton the prefixes that enough of its values begin with, and how these go on."""
-    names = ["model", "node", "symbol", "child"]
 
-    def walked(batches):
-        for batch in batches:
-            rows = []
-            for name, value in _fed(batch, fed):
-                node = ROOT
-                for symbol, _ in [*classes(value), (END, 1)]:
-                    # a prefix is known by the hash of its classes
-                    child = hashlib.blake2b(node + symbol.encode(), digest_size=16).digest()
-                    rows.append((name, node, symbol, child))
-                    node = child
-                    if len(rows) >= 1 << 16:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
-                        rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
-
-    rows = values.mapInArrow(walked, "model string, node binary, symbol string, child binary")
-    nodes = rows.groupBy(*names).agg(F.count("*").alias("n")).groupBy("model", "node").agg(
-        F.sum("n").alias("all_n"), F.collect_list(F.struct("symbol", "child", "n")).alias("next"))
-    enough = F.lit(False)
-    for name, n in totals.items():
-        enough = enough | ((F.col("model") == name) & (F.col("all_n") >= max(2, math.ceil(share * n))))
-    found = {}
-    for r in nodes.where(enough | (F.col("node") == F.lit(ROOT))).select("model", "node", "next").collect():
-        found.setdefault(r["model"], {})[bytes(r["node"])] = [(s["symbol"], bytes(s["child"]), s["n"]) for s in r["next"]]
-    return found
+def _rows(batch: pa.RecordBatch):
+    return zip(*[batch.column(c).to_pylist() for c in ("model", "word", "n")])
 
 
-def _visits(values: DataFrame, fed: dict, models: dict[str, Automaton]) -> dict[str, dict[tuple[int, str], int]]:
+def _visits(words: DataFrame, models: dict[str, Automaton]) -> dict[str, dict[tuple[int, str], int]]:
     """Per automaton how often all its values pass each state with each symbol."""
     def counted(batches):
         total = Counter()
         for batch in batches:
-            for name, value in _fed(batch, fed):
-                total.update((name, *visit) for visit in models[name].visits(value))
+            for name, word, n in _rows(batch):
+                for visit, times in Counter(models[name].visits(word)).items():
+                    total[name, *visit] += n * times
         if total:
             rows = [(*key, n) for key, n in total.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["model", "state", "symbol", "n"])
 
-    rows = values.mapInArrow(counted, "model string, state long, symbol string, n long")
+    rows = words.mapInArrow(counted, "model string, state long, symbol string, n long")
     found = {}
     for r in rows.groupBy("model", "state", "symbol").agg(F.sum("n").alias("n")).collect():
         found.setdefault(r["model"], {})[r["state"], r["symbol"]] = r["n"]
     return found
 
 
-def _lowest(values: DataFrame, fed: dict, models: dict[str, Automaton], rows: int, quantile: float) -> dict[str, float]:
+def _left(word: str, model: Automaton):
+    """What follows the open transition that a word takes: its number, then per prefix the hash, the next symbol's place and
+    the states or prefixes that each known state reaches on the same way (``blue`` is null for states)."""
+    state, at = 0, 0
+    while at < len(word) and word[at] in model.step[state]:
+        state, at = model.step[state][word[at]], at + 1
+    # a single value differs from nothing: the bound is above 1
+    if at == len(word) or model.passed[state][word[at]] < 2:
+        return
+    blue, rest = state * len(SYMBOLS) + _PLACE[word[at]], word[at + 1:]
+    sums, powers = [0], [1]
+    states = {r: [r] for r in range(len(model.step))}
+    entered = {}  # (open transition, where it was taken): the known states that took it
+    for i, symbol in enumerate([*rest, END]):
+        near = [(None, r, starts) for r, starts in states.items()]
+        near += [(b, (sums[i] - sums[j] * powers[i - j]) % _MODULUS, starts) for (b, j), starts in entered.items()]
+        yield blue, sums[i], _PLACE[symbol], near
+        sums.append((sums[i] * _BASE + _PLACE[symbol] + 1) % _MODULUS)
+        powers.append(powers[i] * _BASE % _MODULUS)
+        moved = {}
+        for r, starts in states.items():
+            if symbol in model.step[r]:
+                moved[model.step[r][symbol]] = moved.get(model.step[r][symbol], []) + starts
+            elif model.passed[r].get(symbol, 0) > 1:
+                entered[r * len(SYMBOLS) + _PLACE[symbol], i + 1] = starts
+        states = moved
+
+
+def _differing(words: DataFrame, models: dict[str, Automaton], alpha: float) -> dict[str, set[tuple[int, str, int]]]:
+    """Per automaton its open transitions with the states that they may not lead to: somewhere on the same way
+    endings or transitions differ by more than Hoeffding's bound."""
+    models = {name: m for name, m in models.items() if any(m.passed[q][s] > 1 for q, s in m.open_transitions())}
+    if not models:
+        return {}
+    near = "array<struct<blue int, node long, starts array<int>>>"
+    kinds = pa.list_(pa.struct([("blue", pa.int32()), ("node", pa.int64()), ("starts", pa.list_(pa.int32()))]))
+
+    def table(rows):
+        columns = list(zip(*rows))
+        near = pa.array([[dict(zip(("blue", "node", "starts"), p)) for p in ps] for ps in columns[5]], kinds)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()),
+             pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int64()), near], ["model", "blue", "node", "place", "n", "near"])
+
+    def walked(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for name, word, n in _rows(batch):
+                for blue, node, place, reached in _left(word, models[name]):
+                    rows.append((name, blue, node, place, n, reached))
+                    size += 1 + len(reached)
+                    if size >= 1 << 15:
+                        yield table(rows)
+                        rows, size = [], 0
+        if rows:
+            yield table(rows)
+
+    rows = words.where(F.col("model").isin(*models)).mapInArrow(
+        walked, f"model string, blue int, node long, place int, n long, near {near}")
+    counts = [F.sum(F.when(F.col("place") == i, F.col("n")).otherwise(0)) for i in range(len(SYMBOLS))]
+    nodes = rows.groupBy("model", "blue", "node").agg(
+        F.array(*counts).alias("counts"), F.sum("n").alias("all_n"), F.first("near").alias("near"))
+    known = words.sparkSession.createDataFrame(
+        [(name, state, [m.ended[state] if s == END else m.passed[state].get(s, 0) for s in SYMBOLS], m.seen[state])
+         for name, m in models.items() for state in range(len(m.step))],
+        "model string, node long, other_counts array<long>, other_n long")
+    others = nodes.where("all_n > 1").select("model", F.col("blue").alias("to_blue"), F.col("node").alias("to_node"),
+                          F.col("counts").alias("other_counts"), F.col("all_n").alias("other_n"))
+    pairs = nodes.where("all_n > 1").select("model", "blue", "counts", "all_n", F.explode("near").alias("to")).select(
+        "model", "blue", "counts", "all_n", F.col("to.blue").alias("to_blue"), F.col("to.node").alias("to_node"), "to.starts")
+    states = pairs.where("to_blue is null").join(F.broadcast(known.withColumnRenamed("node", "to_node")), ["model", "to_node"])
+    prefixes = pairs.where("to_blue is not null").join(others, ["model", "to_blue", "to_node"])
+    bound = math.sqrt(0.5 * math.log(2 / alpha))
+    differ = F.expr(f"exists(zip_with(counts, other_counts, (x, y) -> abs(x / all_n - y / other_n) > "
+                    f"{bound!r}D * (1 / sqrt(all_n) + 1 / sqrt(other_n))), d -> d)")
+    columns = ["model", "blue", "starts"]
+    found = states.where("other_n > 0").where(differ).select(*columns).unionByName(prefixes.where(differ).select(*columns))
+    out = {}
+    for r in found.select("model", "blue", F.explode("starts").alias("state")).distinct().collect():
+        out.setdefault(r["model"], set()).add((r["blue"] // len(SYMBOLS), SYMBOLS[r["blue"] % len(SYMBOLS)], r["state"]))
+    return out
+
+
+def _lowest(words: DataFrame, models: dict[str, Automaton], rows: int, quantile: float) -> dict[str, float]:
     """Per automaton the score that all but ``quantile`` of its values reach, from all of them."""
     def scored(batches):
         for batch in batches:
-            pairs = [(name, models[name].score(value)) for name, value in _fed(batch, fed)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()),
-                                              pa.array([p[1] for p in pairs], pa.float64())], ["model", "score"])
+            found = [(name, models[name].score_word(word), n) for name, word, n in _rows(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(
+                (pa.string(), pa.float64(), pa.int64()))], ["model", "score", "n"])
 
-    scores = values.mapInArrow(scored, "model string, score double")
-    counts = distinct_values(scores, ["model"], "score", {"n": F.count("*")})
+    scores = words.mapInArrow(scored, "model string, score double, n long")
+    counts = distinct_values(scores, ["model"], "score", {"n": F.sum("n")})
     place = F.floor(F.col("all_n") * F.lit(quantile))
     at = (F.col("below_n") <= place) & (place < F.col("below_n") + F.col("n"))
     return {r["model"]: r["score"] for r in cumulate(counts, ["model"], "score", ["n"], rows).where(at).collect()}

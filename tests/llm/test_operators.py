@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -295,6 +296,65 @@ def test_automata_count_all_values(spark):
     assert not any(models["assign"].accepts(v) for v in ("ThisIsJustALongIdentifierName0", "=" * 39 + "a1"))
 
 
+def merged_states(words):
+    """The states learned from strings of classes with their counts, by brute force over all prefixes."""
+    step = [{}]
+    while True:
+        seen = collections.defaultdict(collections.Counter)  # by state, or by open transition and prefix behind it
+        for word, n in words.items():
+            at = 0
+            for i, s in enumerate(word):
+                seen[at][s] += n
+                if s not in step[at]:
+                    for j in range(i + 1, len(word) + 1):
+                        seen[(at, s), word[i + 1:j]][word[j:j + 1]] += n
+                    break
+                at = step[at][s]
+            else:
+                seen[at][""] += n
+
+        def differ(a, b):
+            n, m = sum(a.values()), sum(b.values())
+            bound = n and m and math.sqrt(0.5 * math.log(2 / 0.05)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            return bool(bound) and any(abs(a[s] / n - b[s] / m) > bound for s in {*a, *b})
+
+        def reached(state, way):
+            for i, s in enumerate(way):
+                if s not in step[state]:
+                    return (state, s), way[i + 1:]
+                state = step[state][s]
+            return state
+
+        prefixes = [k for k in seen if isinstance(k, tuple)]
+        left, known, grown = sorted({b for b, _ in prefixes}), len(step), False
+        if not left:
+            return step, {q: dict(c) for q, c in seen.items()}
+        same = {b: [r for r in range(known) if not any(differ(seen[k], seen.get(reached(r, k[1]), collections.Counter()))
+                                                       for k in prefixes if k[0] == b)] for b in left}
+        for q, s in left:
+            if same[q, s]:
+                step[q][s] = same[q, s][0]
+            elif not grown:
+                step[q][s], grown = len(step), True
+                step.append({})
+
+
+def test_states_merge_over_all_prefixes(spark):
+    rng = np.random.default_rng(15)
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    spans = [("assign", "sk-" + draw("abcdxyzXYZ019", 15)) for _ in range(120)] + [("assign", draw("0123456789", 12)) for _ in range(60)]
+    spans += [("assign", "=" + draw("AZ", 3) + "." + draw("09", 9)) for _ in range(9)] + [("assign", "x" * 3000)]
+    spans += [("hex", draw("0123456789abcdef", 40)) for _ in range(80)]
+    models = secrets.train(spans_table(spark, "base", spans))
+    for name, model in models.items():
+        words = collections.Counter("".join(c for c, _ in secrets.classes(v)) for v in {v for k, v in spans if k == name})
+        step, seen = merged_states(words)
+        assert model.step == step
+        for q, counts in seen.items():
+            assert counts == {**model.passed[q], **({"": model.ended[q]} if model.ended[q] else {})}
+    assert len(models["assign"].step) > 10
+
+
 # -- 2 ----------------------------------------------------------------------------
 
 def test_targets_and_mix(docs, rows):

@@ -59,6 +59,20 @@ def test_secret_stage_learns_from_all_credentials(spark, small):
     assert np.mean([out[len(texts) + i] == "so [SECRET] it is" for i in range(len(hidden))]) > 0.8
 
 
+def test_secret_stage_learns_rare_formats(spark, small):
+    """Six credentials of a format among eight thousand others: it is found without its keyword too."""
+    rng = np.random.default_rng(14)
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    digits = "0123456789"
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + digits
+    texts = [f"so token={draw(letters, 20)} it is" for _ in range(8000)] + [f"so token=/{draw(digits, 13)} it is" for _ in range(6)]
+    hidden = [f"/{draw(digits, 13)}" for _ in range(5)]
+    rows = list(enumerate(texts + [f"so {t} it is" for t in hidden]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, small).collect()}
+    assert [out[len(texts) + i] for i in range(len(hidden))] == ["so [SECRET] it is"] * len(hidden)
+
+
 def test_open_calls_of_a_stage_keep_their_tables(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     quality, near = corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[1][1]
