@@ -24,11 +24,15 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from functools import lru_cache
+from itertools import chain, pairwise
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from takeup.llm.common import bounded_batches, stage
@@ -286,17 +290,37 @@ class Background:
 
 # -- Spark ------------------------------------------------------------------------
 
-def _span_type():
-    return pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]))
+def _lists(counts, spans: pa.StructArray) -> pa.ListArray:
+    """The first ``counts[0]`` spans in one list, the next ``counts[1]`` in the next."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), pa.int32()), spans)
 
 
-def _spans(rows: list[list[tuple]]):
-    return pa.array([[dict(zip(("kind", "start", "stop", "value"), s)) for s in row] for row in rows], type=_span_type())
+class _Spans:
+    """Spans of many texts, column by column: no tuple or dict of a span outlives its text."""
+
+    def __init__(self):
+        self.counts, self.kinds, self.starts, self.stops, self.values = array("i"), [], array("i"), array("i"), []
+
+    def add(self, spans: list[tuple]) -> None:
+        self.counts.append(len(spans))
+        for kind, start, stop, value in spans:
+            self.kinds.append(kind)
+            self.starts.append(start)
+            self.stops.append(stop)
+            self.values.append(value)
+
+    def arrow(self) -> pa.ListArray:
+        whole = [pa.array(np.frombuffer(x, np.int32)) if len(x) else pa.array([], pa.int32()) for x in (self.starts, self.stops)]
+        return _lists(self.counts, pa.StructArray.from_arrays(
+            [pa.array(self.kinds, pa.string()), *whole, pa.array(self.values, pa.string())], ["kind", "start", "stop", "value"]))
 
 
 def find_spans(texts: pa.Array) -> pa.Array:
-    found = [scan(t.as_py()) for t in texts]
-    return pa.StructArray.from_arrays([_spans([f[0] for f in found]), _spans([f[1] for f in found])], ["base", "others"])
+    base, others = _Spans(), _Spans()
+    for text in texts:
+        for spans, found in zip((base, others), scan(text.as_py())):
+            spans.add(found)
+    return pa.StructArray.from_arrays([base.arrow(), others.arrow()], ["base", "others"])
 
 
 def train(found: DataFrame, least: int = 8, quantile: float = 0.05, alpha: float = 0.05) -> dict[str, Automaton]:
@@ -361,32 +385,83 @@ def _visits(words: DataFrame, models: dict[str, Automaton]) -> dict[str, dict[tu
     return found
 
 
-def _left(word: str, model: Automaton):
-    """What follows the open transition that a word takes: its number, then per prefix the hash, the next symbol's place and
-    the states or prefixes that each known state reaches on the same way (``blue`` is null for states)."""
+def _left(word: str, model: Automaton) -> tuple[int, str] | None:
+    """The number of the open transition that a word takes and what follows it."""
     state, at = 0, 0
     while at < len(word) and word[at] in model.step[state]:
         state, at = model.step[state][word[at]], at + 1
     # a single value differs from nothing: the bound is above 1
     if at == len(word) or model.passed[state][word[at]] < 2:
-        return
-    blue, rest = state * len(SYMBOLS) + _PLACE[word[at]], word[at + 1:]
-    sums, powers = [0], [1]
-    states = {r: [r] for r in range(len(model.step))}
-    entered = {}  # (open transition, where it was taken): the known states that took it
-    for i, symbol in enumerate([*rest, END]):
-        near = [(None, r, starts) for r, starts in states.items()]
-        near += [(b, (sums[i] - sums[j] * powers[i - j]) % _MODULUS, starts) for (b, j), starts in entered.items()]
-        yield blue, sums[i], _PLACE[symbol], near
-        sums.append((sums[i] * _BASE + _PLACE[symbol] + 1) % _MODULUS)
-        powers.append(powers[i] * _BASE % _MODULUS)
-        moved = {}
+        return None
+    return state * len(SYMBOLS) + _PLACE[word[at]], word[at + 1:]
+
+
+class _Way:
+    """The prefixes of one string behind an open transition: of each the hash, the counts of the symbols that follow it and
+    where the known states lead on the same way."""
+
+    def __init__(self, model: Automaton):
+        self.model, self.places = model, array("b")
+        self.sums, self.powers, self.counts = array("q", [0]), array("q", [1]), array("q", bytes(8 * len(SYMBOLS)))
+        self.states = [{r: [r] for r in range(len(model.step))}]
+        # open transitions that known states took, with the prefix before them; how many there are at each prefix
+        self.entered, self.marks = [], array("q", [0])
+
+    def add(self, symbol: str, n: int) -> None:
+        self.counts[_PLACE[symbol] - len(SYMBOLS)] += n
+
+    def push(self, symbol: str) -> None:
+        model, place, states, moved = self.model, _PLACE[symbol], self.states[-1], {}
+        self.places.append(place)
         for r, starts in states.items():
             if symbol in model.step[r]:
                 moved[model.step[r][symbol]] = moved.get(model.step[r][symbol], []) + starts
             elif model.passed[r].get(symbol, 0) > 1:
-                entered[r * len(SYMBOLS) + _PLACE[symbol], i + 1] = starts
-        states = moved
+                self.entered.append((r * len(SYMBOLS) + place, len(self.places), starts))
+        self.states.append(states if moved == states else moved)
+        self.marks.append(len(self.entered))
+        self.sums.append((self.sums[-1] * _BASE + place + 1) % _MODULUS)
+        if len(self.powers) < len(self.sums):
+            self.powers.append(self.powers[-1] * _BASE % _MODULUS)
+        self.counts.frombytes(bytes(8 * len(SYMBOLS)))
+
+    def pop(self, kept: bool) -> tuple[int, list[int], list[tuple]] | None:
+        """End the longest prefix and add its values to the one before. If they are several or it is ``kept``: its hash, its
+        counts and what the known states reach there, states (``blue`` is null) or prefixes."""
+        depth, counts = len(self.places), self.counts[-len(SYMBOLS):].tolist()
+        del self.counts[-len(SYMBOLS):]
+        node, states, found = self.sums.pop(), self.states.pop(), None
+        if kept or sum(counts) > 1:
+            near = [(None, r, starts) for r, starts in states.items()]
+            near += [(b, (node - self.sums[j] * self.powers[depth - j]) % _MODULUS if j < depth else 0, starts)
+                     for b, j, starts in self.entered]
+            found = node, counts, near
+        self.marks.pop()
+        if depth:
+            del self.entered[self.marks[-1]:]
+            self.counts[self.places.pop() - len(SYMBOLS)] += sum(counts)
+        return found
+
+
+def _prefixes(rows, models: dict[str, Automaton]):
+    """Prefixes of the sorted ``(model, blue, rest, n)``, each once: model, blue, hash, counts, near. Those of a single value
+    differ from nothing and are left out, but for those of the first and the last string, with which the neighbouring tasks
+    may go on. Of a single value no more is walked than it shares with the strings beside it."""
+    group, way, same, edge = None, None, 0, -1
+    for (name, blue, rest, n), after in pairwise(chain(rows, [None])):
+        first, depth = group is None, len(rest)
+        if (name, blue) != group:  # a new way; ``edge``: so many of its symbols begin the first string too
+            group, way, same, edge = (name, blue), _Way(models[name]), 0, len(rest) if first else -1
+        ahead = len(commonprefix((rest, after[2]))) if after and after[:2] == group else -1
+        if n == 1 and not first and after:
+            depth = max(same, ahead)
+        for symbol in rest[same:depth]:
+            way.push(symbol)
+        way.add(rest[depth:depth + 1], n)
+        while len(way.sums) > ahead + 1:
+            if found := way.pop(not after or len(way.places) <= edge):
+                yield *group, *found
+        same, edge = ahead, min(edge, ahead)
 
 
 def _differing(words: DataFrame, models: dict[str, Automaton], alpha: float) -> dict[str, set[tuple[int, str, int]]]:
@@ -397,39 +472,50 @@ def _differing(words: DataFrame, models: dict[str, Automaton], alpha: float) ->
         return {}
     near = "array<struct<blue int, node long, starts array<int>>>"
     kinds = pa.list_(pa.struct([("blue", pa.int32()), ("node", pa.int64()), ("starts", pa.list_(pa.int32()))]))
+    places = [f"n{i}" for i in range(len(SYMBOLS))]
+
+    def left(batches):
+        for batch in batches:
+            total = Counter()  # many values may leave a state in the same way
+            for name, word, n in _rows(batch):
+                if way := _left(word, models[name]):
+                    total[name, *way] += n
+            columns = list(zip(*((*key, n) for key, n in total.items()))) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(
+                columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["model", "blue", "rest", "n"])
 
     def table(rows):
-        columns = list(zip(*rows))
-        near = pa.array([[dict(zip(("blue", "node", "starts"), p)) for p in ps] for ps in columns[5]], kinds)
+        names, blues, nodes, counts, reached = zip(*rows)
+        reached = pa.array([[dict(zip(("blue", "node", "starts"), p)) for p in ps] for ps in reached], kinds)
         return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()),
-             pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int64()), near], ["model", "blue", "node", "place", "n", "near"])
+            [pa.array(names, pa.string()), pa.array(blues, pa.int32()), pa.array(nodes, pa.int64()),
+             *[pa.array(c, pa.int64()) for c in zip(*counts)], reached], ["model", "blue", "node", *places, "near"])
 
     def walked(batches):
         rows, size = [], 0
-        for batch in batches:
-            for name, word, n in _rows(batch):
-                for blue, node, place, reached in _left(word, models[name]):
-                    rows.append((name, blue, node, place, n, reached))
-                    size += 1 + len(reached)
-                    if size >= 1 << 15:
-                        yield table(rows)
-                        rows, size = [], 0
+        for row in _prefixes((r for b in batches for r in zip(*[c.to_pylist() for c in b.columns])), models):
+            rows.append(row)
+            size += 1 + len(row[-1])
+            if size >= 1 << 15:
+                yield table(rows)
+                rows, size = [], 0
         if rows:
             yield table(rows)
 
-    rows = words.where(F.col("model").isin(*models)).mapInArrow(
-        walked, f"model string, blue int, node long, place int, n long, near {near}")
-    counts = [F.sum(F.when(F.col("place") == i, F.col("n")).otherwise(0)) for i in range(len(SYMBOLS))]
+    rests = words.where(F.col("model").isin(*models)).mapInArrow(left, "model string, blue int, rest string, n long")
+    rows = rests.orderBy("model", "blue", "rest").mapInArrow(
+        walked, f"model string, blue int, node long, {', '.join(f'{c} long' for c in places)}, near {near}")
     nodes = rows.groupBy("model", "blue", "node").agg(
-        F.array(*counts).alias("counts"), F.sum("n").alias("all_n"), F.first("near").alias("near"))
+        F.array(*[F.sum(c) for c in places]).alias("counts"), F.first("near").alias("near"))
+    nodes = nodes.withColumn("all_n", F.expr("aggregate(counts, 0L, (x, y) -> x + y)")).where("all_n > 1")
+    nodes = stage(nodes, "secret_prefixes")  # three branches read them
     known = words.sparkSession.createDataFrame(
         [(name, state, [m.ended[state] if s == END else m.passed[state].get(s, 0) for s in SYMBOLS], m.seen[state])
          for name, m in models.items() for state in range(len(m.step))],
         "model string, node long, other_counts array<long>, other_n long")
-    others = nodes.where("all_n > 1").select("model", F.col("blue").alias("to_blue"), F.col("node").alias("to_node"),
+    others = nodes.select("model", F.col("blue").alias("to_blue"), F.col("node").alias("to_node"),
                           F.col("counts").alias("other_counts"), F.col("all_n").alias("other_n"))
-    pairs = nodes.where("all_n > 1").select("model", "blue", "counts", "all_n", F.explode("near").alias("to")).select(
+    pairs = nodes.select("model", "blue", "counts", "all_n", F.explode("near").alias("to")).select(
         "model", "blue", "counts", "all_n", F.col("to.blue").alias("to_blue"), F.col("to.node").alias("to_node"), "to.starts")
     states = pairs.where("to_blue is null").join(F.broadcast(known.withColumnRenamed("node", "to_node")), ["model", "to_node"])
     prefixes = pairs.where("to_blue is not null").join(others, ["model", "to_blue", "to_node"])
@@ -489,7 +575,11 @@ def scorer(models: dict[str, Automaton], ordinary: Background):
             floor = ordinary.score(value)
             return any(m.accepts(value, floor) for m in models.values())
 
-        return _spans([[tuple(s.values()) for s in row if accepted(s["value"])] for row in rows.to_pylist()])
+        spans = rows.flatten()
+        values = spans.field("value").dictionary_encode()
+        good = pa.array([accepted(v.as_py()) for v in values.dictionary], pa.bool_()).take(values.indices)
+        row = pc.list_parent_indices(rows).filter(good).to_numpy()
+        return _lists(np.bincount(row, minlength=len(rows)), spans.filter(good))
 
     return inferred
 

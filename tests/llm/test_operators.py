@@ -355,6 +355,28 @@ def test_states_merge_over_all_prefixes(spark):
     assert len(models["assign"].step) > 10
 
 
+def test_prefixes_of_single_values_stay_in_their_task(spark, monkeypatch):
+    """Six hundred different strings of sixty symbols: of their 36,000 prefixes few belong to two, and only those leave the walk."""
+    rng, made = np.random.default_rng(16), spark.sparkContext.accumulator(0)
+    words = sorted({"".join(rng.choice(list("dh"), 60)) for _ in range(600)})
+    frame = type(spark.range(0))
+
+    def counting(self, walk, schema, original=frame.mapInArrow):
+        def counted(batches):
+            for batch in walk(batches):
+                made.add(batch.num_rows if "near" in batch.schema.names else 0)
+                yield batch
+
+        return original(self, counted, schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", counting)
+    model = secrets.Automaton()
+    model.count(collections.Counter(v for w in words for v in model.visits(w)))
+    table = spark.createDataFrame([("hex", w, 1) for w in words], "model string, word string, n long").repartition(4)
+    secrets._differing(table, {"hex": model}, 0.05)
+    assert 0 < made.value < 6 * len(words)
+
+
 # -- 2 ----------------------------------------------------------------------------
 
 def test_targets_and_mix(docs, rows):
